@@ -203,7 +203,7 @@ def linked(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataF
             options = F.create_map(*[x for way in sorted({w for w, _, _ in choice}) for x in (F.lit(way), F.array(*[F.struct(F.lit(p).alias("path"), F.lit(m).alias("mask")) for w, p, m in choice if w == way]))])
             blocks = rows.select(F.explode(F.element_at(options, F.col("path"))).alias("y"), "fp").select(F.struct(F.col("y.path").alias("path"), F.col("fp").bitwiseAND(F.col("y.mask")).alias("part")).alias("x"), "fp")
         # the masked bits name a block together with its path, whatever it was split from
-        blocks = blocks.select(F.col("x.path").cast("int").alias("path"), F.col("x.part").alias("part"), "fp").distinct()
+        blocks = blocks.select(F.col("x.path").cast("int").alias("path"), F.col("x.part").alias("part"), "fp")
         ranked = blocks.repartition("path", "part").sortWithinPartitions("path", "part", "fp")
         made = written(ranked.mapInArrow(_links(radius, max_block if level < 2 else None), "a long, b long, path int"), "links")
         found.append(made.where("b is not null").select("a", "b"))
