@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import media, simhash, tokens
 from .common import table
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    text = F.col("text")
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), tokens.token_count(spark, text, public_tokenizers.path("word_bpe_49k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -18,6 +30,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media": op2_media,
+        "op7_tokens": op7_tokens,
         "op10_simhash": op10_simhash,
     }
 
