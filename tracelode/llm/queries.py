@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, simhash, tokens
+from . import media, mixing, simhash, tokens, topk
 from .common import table
 
 
@@ -15,6 +15,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.floored(F.col("embedding")).alias("vec"))
+    return topk.top_k(vectors.where("id % 20 = 0"), vectors)
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +40,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media": op2_media,
+        "op3_mixing": op3_mixing,
+        "op6_topk": op6_topk,
         "op7_tokens": op7_tokens,
         "op10_simhash": op10_simhash,
     }
