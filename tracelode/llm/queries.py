@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, simhash, tokens, topk
+from . import chat, media, mixing, packing, simhash, tokens, topk, urls
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
+    got = chat.link(calls, results)
+    return got.select(F.col("conv").alias("conv_id"), "call_id", "position", "level", "status", "valid", F.array_join("errors", ",").alias("errors"), "json")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.floored(F.col("embedding")).alias("vec"))
     return topk.top_k(vectors.where("id % 20 = 0"), vectors)
@@ -32,6 +38,15 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes).withColumnRenamed("id", "page_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -41,8 +56,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media": op2_media,
         "op3_mixing": op3_mixing,
+        "op4_chat": op4_chat,
         "op6_topk": op6_topk,
         "op7_tokens": op7_tokens,
+        "op8_urls": op8_urls,
+        "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
 
