@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, simhash, tokens, topk, urls
-from .common import table
+from . import chat, media, mixing, packing, quality, simhash, tokens, topk, toxicity, urls
+from .common import crc_fold, table
+
+
+def _scored(docs: DataFrame, score, folds: int, kept_out: int, threshold: float) -> DataFrame:
+    held = (crc_fold(F.col("doc_id"), folds) == kept_out).alias("held_out")
+    return docs.select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_tables(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.score(model, F.col("text"), spark), 4, 2, toxicity.THRESHOLD)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +36,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("conv").alias("conv_id"), "call_id", "position", "level", "status", "valid", F.array_join("errors", ",").alias("errors"), "json")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_tables(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, quality.score(model, F.col("text"), spark), 5, 0, quality.THRESHOLD)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.floored(F.col("embedding")).alias("vec"))
     return topk.top_k(vectors.where("id % 20 = 0"), vectors)
@@ -54,9 +71,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_media": op2_media,
         "op3_mixing": op3_mixing,
         "op4_chat": op4_chat,
+        "op5_quality": op5_quality,
         "op6_topk": op6_topk,
         "op7_tokens": op7_tokens,
         "op8_urls": op8_urls,
