@@ -11,7 +11,7 @@ from .common import WORD, word_count, written
 #: Words of a block; a source's blocks are equal to within one word.
 BLOCK_WORDS = 32
 #: Shards of a source; each holds at least MIN_BLOCKS of its blocks.
-SHARDS, MIN_BLOCKS = 1024, 16
+SHARDS, MIN_BLOCKS = 1024, 256
 #: Hash ranges that a source's documents are laid out by.
 BUCKETS = 1024
 #: Weights of the sources in code point order, null last, repeating.

@@ -82,21 +82,33 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities, by Newton steps on smoothed targets."""
+    """Slope and offset that turn margins into probabilities: Newton steps, halved until the loss falls, on smoothed targets."""
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+    middle, scale = float(margin.mean()), float(margin.std()) or 1.0
+    x = (margin - middle) / scale
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((np.logaddexp(0, z) - t * z).sum()) + 5e-4 * a * a
+
+    a, b = 1.0, float(np.log((n1 + 1) / (n0 + 1)))
+    now = loss(a, b)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g, h = p - t, p * (1 - p) + 1e-9
-        ga, gb = float(g @ margin) + 1e-3 * a, float(g.sum())
-        haa, hab, hbb = float(h @ (margin * margin)) + 1e-3, float(h @ margin), float(h.sum())
-        det = haa * hbb - hab * hab + 1e-12
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
+        g, h = p - t, p * (1 - p)
+        ga, gb = float(g @ x) + 1e-3 * a, float(g.sum())
+        haa, hab, hbb = float(h @ (x * x)) + 1e-3, float(h @ x), float(h.sum()) + 1e-9
+        det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-8:
+        step = 1.0
+        while step > 1e-6 and (new := loss(a - step * da, b - step * db)) > now:
+            step /= 2
+        if step <= 1e-6 or now - new < 1e-9:
             break
-    return max(a, 1e-6), b
+        a, b, now = a - step * da, b - step * db, new
+    a = max(a, 1e-6)
+    return a / scale, b - a * middle / scale
 
 
 @dataclass

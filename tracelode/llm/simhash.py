@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -241,6 +242,13 @@ def roots(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def components(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, max_block: int) -> DataFrame:
+    """(id, fp, root) of every row; root names the fingerprints that reach each other."""
+    known = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
+    of = roots(linked(known.select("fp").distinct(), radius, max_block)).withColumnRenamed("node", "fp")
+    return known.join(of, "fp", "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
     """(id, fp, component): the smallest id that a row reaches over fingerprints within the radius.
 
@@ -248,9 +256,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts, and repeated rows, share a component. A null id takes part and is never
     the smallest; a component of null ids only has a null name. No rows, no result.
     """
-    known = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
-    first = known.groupBy("fp").agg(F.min("id").alias("first"))
-    of = roots(linked(known.select("fp").distinct(), radius, max_block)).withColumnRenamed("node", "fp")
-    named = written(first.join(of, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return known.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    known = written(components(docs, id_col, text_col, words, radius, max_block), "components")
+    least = known.groupBy("root").agg(F.min("id").alias("component"))
+    return known.join(least, "root").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, nulls last, and of its smallest fingerprint.
+
+    Where an id is on several rows, the fingerprint tells them apart, and of rows equal in
+    both one stays.
+    """
+    known = written(components(docs, id_col, text_col, words, radius, max_block), "components")
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("r")).select("r.id", "r.fp")
+    several = written(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated")
+    own = docs[id_col]
+    if several.isEmpty():
+        return docs.join(first.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
+    once = first.join(several.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+    kept = docs.join(once.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
+    again = docs.join(several.select(F.col("id").alias("_id")), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fingerprint(F.col(text_col), words))
+    again = again.join(first.select(F.col("id").alias("_id"), F.col("fp").alias("_first")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_first")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "_fp").orderBy(text_col))
+    return kept.unionByName(again.withColumn("_nth", nth).where("_nth = 1").drop("_fp", "_nth"))

@@ -136,12 +136,12 @@ def _train(words: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, weig
             model.base -= rate * d_base / np.sqrt(g_base)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 4, seed: int = 9) -> Model:
+def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int = 9) -> Model:
     """The model of whole texts with labels 0 and 1; with one class only, or none, a model that always says its share.
 
     A text of label 1 says only that some of its bags are bad. The first pass takes all of
     them as such; the second keeps those that the first holds for bad, at least the worst
-    one, and starts anew. Every fifth text stays out of both and turns log odds into probabilities.
+    one, and starts anew. A pass goes over its bags 3 to 30 times, about visits in all. Every fifth text stays out of both and turns log odds into probabilities.
     """
     rng = np.random.default_rng(seed)
     start = lambda: Model((rng.random((SLOTS, DIM)) - 0.5) / DIM, (rng.random((DIM, 2)) - 0.5), np.zeros(2))
@@ -170,14 +170,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4, seed: int = 9) ->
     def some(texts: list[list[np.ndarray]]) -> list[np.ndarray]:
         return [b for t in texts for b in (t if len(t) <= BAGS else [t[i] for i in sorted(rng.choice(len(t), BAGS, replace=False))])]
 
-    def passed(chosen: list[np.ndarray], heavy: float, rounds: int) -> Model:
+    def passed(chosen: list[np.ndarray], heavy: float) -> Model:
         rows = some(clean)
+        rounds = min(30, max(3, visits // (len(rows) + len(chosen))))
         y = np.r_[np.zeros(len(rows), int), np.ones(len(chosen), int)]
         model = start()
         _train(words, rows + chosen, y, np.where(y == 1, heavy * len(rows) / len(chosen), 1.0), model, rounds, seed)
         return model
 
-    first = passed(some(bad), 1.0, max(1, rounds // 2))
+    first = passed(some(bad), 1.0)
     value = np.array([first.vectors[g].mean(0) for g in words]) @ (first.out[:, 1] - first.out[:, 0]) / BAG
     base = first.base[1] - first.base[0]
     chosen = []
@@ -185,7 +186,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4, seed: int = 9) ->
         odds = np.array([value[b].sum() for b in t]) + base
         keep = np.flatnonzero(odds >= max(0.0, odds.max() / 2))
         chosen += [t[i] for i in (keep if len(keep) else [int(odds.argmax())])]
-    model = passed(chosen, 0.3, rounds)
+    model = passed(chosen, 0.3)
     scorer = Scorer(model)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
     model.slope, model.shift = platt(np.array([scorer.worst(texts[i]) for i in check]), np.where(y_all[check] == 1, 1, -1))
