@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +20,6 @@ BAG = 12
 #: Bags of a text that a pass of the fit sees at most, drawn with a seed.
 BAGS = 16
 DIM, SLOTS, SHORTEST, LONGEST = 8, 1 << 17, 3, 5
-#: Characters of a word that its n-grams are taken from, at its start and at its end.
-EDGE = 24
 #: Words whose scores a worker remembers; when full, it starts anew.
 MEMORY = 300_000
 THRESHOLD = 0.3
@@ -30,16 +27,35 @@ THRESHOLD = 0.3
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def subwords(word: str) -> set[int]:
-    """Slots of a word: itself and its character n-grams, between marks for its ends.
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all words in one array, and the index of the word that each belongs to: the word itself and its character n-grams, between marks for its ends.
 
-    A word is lower-cased and loses the signs at its ends. Of a very long word the first
-    and last EDGE characters give the n-grams.
+    A word is lower-cased and loses the signs at its ends. Hashes of all words are taken at once.
     """
-    w = f"<{_EDGES.sub('', word.lower())}>".encode("utf-32-le", "surrogatepass")
-    parts = (w,) if len(w) <= 8 * EDGE else (w[: 4 * EDGE], w[-4 * EDGE :])
-    crc, last = zlib.crc32, SLOTS - 1
-    return {crc(w) & last, *(crc(p[i : i + n]) & last for p in parts for n in range(4 * SHORTEST, 4 * LONGEST + 4, 4) for i in range(0, len(p) - n + 4, 4))}
+    marked = [f"<{_EDGES.sub('', w.lower())}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    start, owner = _starts(size), np.repeat(np.arange(len(marked)), size)
+    left = np.repeat(start + size, size) - np.arange(len(codes))
+    weight = _POWERS[(np.arange(len(codes)) - start[owner]) % len(_POWERS)]
+    found, owners = [_mixed(np.add.reduceat(codes * weight, start))], [np.arange(len(marked))]
+    for n in range(SHORTEST, LONGEST + 1):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _BASE + codes[at + k]
+        found.append(_mixed(h))
+        owners.append(owner[at])
+    return np.concatenate(found), np.concatenate(owners)
+
+
+_BASE = np.uint64(0x100000001B3)
+_POWERS = np.cumprod(np.full(64, _BASE), dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def tokens(text: str) -> list[str]:
@@ -70,28 +86,40 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.pull = (model.vectors @ (model.out[:, 1] - model.out[:, 0]) / BAG).tolist()
+        self.pull = model.vectors @ (model.out[:, 1] - model.out[:, 0]) / BAG
         self.base, self.slope, self.shift = float(model.base[1] - model.base[0]), model.slope, model.shift
         self.known: dict[str, float] = {}
 
-    def worst(self, text: str) -> float:
-        """The highest log odds of label 1 among the text's bags."""
-        known, words = self.known, tokens(text)
-        if len(known) > MEMORY:
-            known.clear()
-        pull = self.pull.__getitem__
-        for w in {w for w in words if w not in known}:
-            slots = subwords(w)
-            known[w] = sum(map(pull, slots)) / len(slots)
-        if not words:
-            return self.base
-        up = np.zeros(len(words) + 1)
-        np.cumsum(np.fromiter(map(known.__getitem__, words), float, len(words)), out=up[1:])
-        start = np.arange(0, max(1, len(words) - BAG // 2), BAG // 2)
-        return float((up[np.minimum(start + BAG, len(words))] - up[start]).max()) + self.base
-
-    def __call__(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, self.slope * self.worst(text) + self.shift)))))
+    def _learn(self, words: set[str]) -> None:
+        new = sorted(words)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            slots, owner = subwords(some)
+            value = np.bincount(owner, self.pull[slots]) / np.bincount(owner)
+            self.known.update(zip(some, value.tolist()))
+
+    def worst(self, texts: list[str]) -> list[float]:
+        """The highest log odds of label 1 among each text's bags."""
+        if len(self.known) > MEMORY:
+            self.known = {}
+        known, rows = self.known, [tokens(t) for t in texts]
+        new = {w for words in rows for w in words if w not in known}
+        if new:
+            self._learn(new)
+        out, get = [], known.__getitem__
+        for words in rows:
+            if not words:
+                out.append(self.base)
+                continue
+            up = np.zeros(len(words) + 1)
+            np.cumsum(np.fromiter(map(get, words), float, len(words)), out=up[1:])
+            start = np.arange(0, max(1, len(words) - BAG // 2), BAG // 2)
+            out.append(float((up[np.minimum(start + BAG, len(words))] - up[start]).max()) + self.base)
+        return out
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        odds = self.slope * np.array([v for at in range(0, len(texts), 256) for v in self.worst(texts[at : at + 256])]) + self.shift
+        return (1 / (1 + np.exp(-np.clip(odds, -30, 30)))).tolist()
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -153,19 +181,14 @@ def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int =
     if len(set(y_all[held])) < 2 or len(set(y_all[~held])) < 2:
         held[:] = False
     ids: dict[str, int] = {}
-    words: list[np.ndarray] = []
     clean, bad = [], []
     for t, label, out in zip(texts, labels, held):
-        if out:
-            continue
-        row = []
-        for w in tokens(t) or [""]:
-            if (k := ids.get(w)) is None:
-                k = ids[w] = len(words)
-                words.append(np.fromiter(subwords(w), np.int64))
-            row.append(k)
-        row = np.array(row)
-        (bad if label == 1 else clean).append([row[a:b] for a, b in bags(len(row))])
+        if not out:
+            row = np.array([ids.setdefault(w, len(ids)) for w in tokens(t) or [""]])
+            (bad if label == 1 else clean).append([row[a:b] for a, b in bags(len(row))])
+    slots, owner = subwords(list(ids))
+    order = np.argsort(owner, kind="stable")
+    words = np.split(slots[order], np.cumsum(np.bincount(owner))[:-1])
 
     def some(texts: list[list[np.ndarray]]) -> list[np.ndarray]:
         return [b for t in texts for b in (t if len(t) <= BAGS else [t[i] for i in sorted(rng.choice(len(t), BAGS, replace=False))])]
@@ -189,7 +212,7 @@ def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int =
     model = passed(chosen, 0.3)
     scorer = Scorer(model)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    model.slope, model.shift = platt(np.array([scorer.worst(texts[i]) for i in check]), np.where(y_all[check] == 1, 1, -1))
+    model.slope, model.shift = platt(np.array(scorer.worst([texts[i] for i in check])), np.where(y_all[check] == 1, 1, -1))
     return model
 
 
@@ -201,7 +224,7 @@ def score(model: Model, text: Column, spark) -> Column:
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value)
         for texts in batches:
-            yield pd.Series([scorer(t or "") for t in texts], dtype="float64")
+            yield pd.Series(scorer([t or "" for t in texts]), dtype="float64")
 
     return toxicity(text)
 
