@@ -51,7 +51,47 @@ select d.doc_id, coalesce(d.text, '') as text, d.lang, d.source, l.quality, l.to
 from {documents} d left join {labels} l on d.doc_id = l.doc_id
 """
 
-VIEWS = {"elog": ELOG, "ollog": OLLOG, "clog": CLOG, "docs": DOCS}
+#: The events as a turn log of the checked harness, with a few faults of each kind.
+TLOG = """
+select cast(session_id as string) as key, seq as pos,
+       case when event_id % 101 = 0 then 'other' else cast(session_id as string) end as session_id,
+       seq + 1 + case when event_id % 97 = 0 then 1 else 0 end as turn_number,
+       cast(session_id as string) || ':' || cast(seq + 1 + case when event_id % 103 = 0 then 7 else 0 end as string) as turn_id,
+       case kind when 'call' then 'tool_use' when 'result' then 'tool_result' when 'assistant' then 'assistant' else 'user' end as role,
+       case when kind in ('call', 'result') then cast(call_id as string) end as tool_call_id,
+       case when event_id % 71 = 0 and kind = 'result' then 'other_tool' else tool end as tool_name,
+       cast(cast(floor((ts_us - case when event_id % 83 = 0 then 3600000000 else 0 end) / 1000) as bigint) as string) as timestamp,
+       'u' || cast(event_id as string) as uuid,
+       case when event_id % 89 = 0 then 'u-1' else 'u' || cast(lag(event_id) over (partition by session_id order by seq) as string) end as parent_uuid,
+       'swarm' as source
+from {elog}
+"""
+
+#: The events with the provider columns of the event table: three events share a response, two a message.
+RLOG = """
+select cast(session_id as string) as session_id, seq, kind, cast(call_id as string) as call_id,
+       'req' || cast(session_id as string) || '-' || cast(cast(floor(seq / 3) as bigint) as string) as request_id,
+       'msg' || cast(session_id as string) || '-' || cast(cast(floor(seq / 2) as bigint) as string) as api_msg_id,
+       case when event_id % 7 <> 0 then cast(floor(value * 10) as bigint) end as usage_in,
+       case when event_id % 5 <> 0 then cast(floor(value * 3) as bigint) end as usage_out,
+       cast(event_id % 11 as bigint) as usage_cache_read,
+       case when event_id % 3 = 0 then cast(event_id % 13 as bigint) end as usage_cache_create
+from {elog}
+"""
+
+#: Four checks of every call, by arithmetic on its event.
+CHECKS = """
+select cast(session_id as string) || ':' || cast(seq as string) as call_key, c.check_name as check_name, c.kind,
+       case when (event_id * c.m + c.a) % 11 = 0 then 'contradicted' when (event_id * c.m + c.a) % 3 = 0 then 'supported' else 'unconstrained' end as verdict,
+       c.strength, cast((event_id * c.m) % 100 as double) / 100 as confidence, (event_id + c.a) % 2 = 0 as localized,
+       case when (event_id * c.m + c.a) % 11 = 0 then 'violation:' || c.check_name when (event_id * c.m + c.a) % 3 = 0 then 'ok:' || c.check_name
+            else case when (event_id + c.a) % 4 = 0 then 'abstain:a' else 'abstain:b' end end as reason,
+       seq as cited_seq
+from {elog} e cross join (values ('alpha', 'identity', 'identity', 7, 1), ('beta', 'statistical', 'statistical', 5, 2), ('gamma', 'identity', 'strong', 3, 4), ('ref', 'reference', 'weak', 2, 0)) as c(check_name, kind, strength, m, a)
+where e.kind = 'call'
+"""
+
+VIEWS = {"checks": CHECKS, "tlog": TLOG, "rlog": RLOG, "elog": ELOG, "ollog": OLLOG, "clog": CLOG, "docs": DOCS}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
