@@ -75,25 +75,38 @@ def levels(calls: DataFrame) -> DataFrame:
     return nodes.join(all_settled, ["conv", "call_id"], "left")
 
 
+def out_of_order(calls: DataFrame) -> DataFrame:
+    """(conv) of conversations in which some call depends on one that doesn't come before it in log order."""
+    first = calls.groupBy("conv", "call_id").agg(F.min("at").alias("at"))
+    edges = calls.select("conv", "call_id", "at", F.explode("after").alias("on"))
+    met = edges.join(first.select("conv", F.col("call_id").alias("on"), F.col("at").alias("on_at")), ["conv", "on"])
+    before = F.struct(F.col("on_at"), F.col("on")) < F.struct(F.col("at"), F.col("call_id"))
+    return met.where(~F.coalesce(before, F.lit(False))).select("conv").distinct()
+
+
 def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
     """calls(conv, call_id, name, arguments, after, at) with results(conv, call_id, content, at), one row a call.
 
     status: `linked`, `missing` without a result, `duplicate` for all but an id's first
     call (by at, then name and arguments), which get no result; of several results the
-    first counts. A null conv or id never links. level and position give the
-    topological order of a conversation: by level, at and id; calls in a cycle come last, with
-    a null level. json is the canonical message.
+    first counts. A null conv or id never links. position is the topological order: log
+    order (at, then id) where every dependency comes before its call, as logs mostly have it;
+    else by levels, log order inside them, with calls in or behind a cycle last. Only
+    conversations of the second kind cost rounds. json is the canonical message.
     """
     first = Window.partitionBy("conv", "call_id").orderBy("at", "name", "arguments")
     numbered = calls.withColumn("nth", F.row_number().over(first))
     answer = results.where("conv is not null and call_id is not null").groupBy("conv", "call_id").agg(F.min(F.struct("at", "content")).alias("r"))
-    ordered = levels(calls.where("conv is not null and call_id is not null"))
+    named = calls.where("conv is not null and call_id is not null")
+    astray = written(out_of_order(named), "out-of-order")
+    ordered = named.select("conv", "call_id").limit(0).withColumn("level", F.lit(0)) if astray.isEmpty() else levels(named.join(astray, "conv", "left_semi"))
+    ordered = ordered.withColumn("level", F.coalesce("level", F.lit(2**31 - 1)))
     joined = numbered.join(answer, ["conv", "call_id"], "left").join(ordered, ["conv", "call_id"], "left")
     own = F.col("nth") == 1
     status = F.when(~own, "duplicate").when(F.col("r").isNull(), "missing").otherwise("linked")
-    order = Window.partitionBy("conv").orderBy(F.asc_nulls_last("level"), "at", "call_id", "nth")
+    order = Window.partitionBy("conv").orderBy(F.coalesce("level", F.lit(0)), "at", "call_id", "nth")
     problems = errors_of(F.col("name"), F.col("arguments"), tools)
-    out = joined.select("conv", "call_id", "name", "arguments", "level", F.row_number().over(order).alias("position"), status.alias("status"), problems.alias("errors"), F.when(own, F.col("r.content")).alias("content"))
+    out = joined.select("conv", "call_id", "name", "arguments", F.row_number().over(order).alias("position"), status.alias("status"), problems.alias("errors"), F.when(own, F.col("r.content")).alias("content"))
     message = F.concat(
         F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")),
         F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")),

@@ -33,7 +33,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
     got = chat.link(calls, results)
-    return got.select(F.col("conv").alias("conv_id"), "call_id", "position", "level", "status", "valid", F.array_join("errors", ",").alias("errors"), "json")
+    return got.select(F.col("conv").alias("conv_id"), "call_id", "position", "status", "valid", F.array_join("errors", ",").alias("errors"), "json")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
