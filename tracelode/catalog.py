@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import structure
+from .plans import aggregates, scores, structure, texts
 
-_PARTS = (structure.R,)
+_PARTS = (structure.R, aggregates.R, scores.R, texts.R)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
