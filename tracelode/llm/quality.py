@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold
 
-#: Labelled texts that the model is fitted on at most: those of each class with the smallest seeded hashes.
-PER_CLASS = 3000
+#: Labelled texts of label 0 and 1 that the model is fitted on at most: those with the smallest seeded hashes.
+PER_CLASS = (1200, 1200)
 #: N-grams in fewer of those texts are left out.
 MIN_TEXTS = 2
 #: Words whose shape a worker remembers; when full, it starts anew.
@@ -81,22 +81,27 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
     return w
 
 
-def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities: Newton steps, halved until the loss falls, on smoothed targets."""
+def platt(margin: np.ndarray, y: np.ndarray, share: float | None = None, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset that turn margins into probabilities: Newton steps, halved until the loss falls, on smoothed targets.
+
+    share: that of y > 0 where the model will be used, if the sample has another.
+    """
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
+    share = n1 / (n1 + n0) if share is None else share
+    w = np.where(y > 0, share * (n1 + n0) / max(1.0, n1), (1 - share) * (n1 + n0) / max(1.0, n0))
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     middle, scale = float(margin.mean()), float(margin.std()) or 1.0
     x = (margin - middle) / scale
 
     def loss(a: float, b: float) -> float:
         z = a * x + b
-        return float((np.logaddexp(0, z) - t * z).sum()) + 5e-4 * a * a
+        return float(w @ (np.logaddexp(0, z) - t * z)) + 5e-4 * a * a
 
-    a, b = 1.0, float(np.log((n1 + 1) / (n0 + 1)))
+    a, b = 1.0, 0.0
     now = loss(a, b)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-        g, h = p - t, p * (1 - p)
+        g, h = w * (p - t), w * p * (1 - p)
         ga, gb = float(g @ x) + 1e-3 * a, float(g.sum())
         haa, hab, hbb = float(h @ (x * x)) + 1e-3, float(h @ x), float(h.sum()) + 1e-9
         det = haa * hbb - hab * hab
@@ -128,36 +133,38 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.margin(text, shapes) + self.shift))))
 
 
-def fit(texts: list[str], labels: list[int], cost: float = 1.0, alpha: float = 1.0) -> Model:
+def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: float = 1.0, alpha: float = 1.0) -> Model:
     """The model of whole texts with labels 0 and 1; with one class only, or none, a model that always says its share.
 
     Counts of the n-grams in each class give log ratios, which scale the indicators;
     scaled rows have unit length; classes weigh alike. Every fifth text is kept out of
-    the fit and turns margins into probabilities.
+    the fit and turns margins into probabilities, label 1 having the usual share.
     """
     y = np.where(np.array(labels) == 1, 1.0, -1.0)
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return Model({}, 0.0, 1e-6, math.log(share / (1 - share)))
-    shapes = Shapes()
-    sets = [ngrams(t, shapes) for t in texts]
     held = np.arange(len(texts)) % 5 == 4
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
-    count: dict = {}
+    shapes, at_all, sets = Shapes(), {}, []  # texts are kept as numbers of their n-grams
+    for t in texts:
+        sets.append(np.fromiter((at_all.setdefault(f, len(at_all)) for f in ngrams(t, shapes)), np.int32))
+    count = np.zeros((len(at_all), 2))
     for s, sign, out in zip(sets, y, held):
         if not out:
-            for f in s:
-                c = count.setdefault(f, [0, 0])
-                c[int(sign > 0)] += 1
-    names = [f for f, c in count.items() if c[0] + c[1] >= MIN_TEXTS]
-    c = np.array([count[f] for f in names], float).reshape(-1, 2) + alpha
+            count[s, int(sign > 0)] += 1
+    common = np.flatnonzero(count.sum(1) >= MIN_TEXTS)
+    place = np.full(len(at_all), -1)
+    place[common] = np.arange(len(common))
+    at_of = {f: int(place[k]) for f, k in at_all.items() if place[k] >= 0}
+    at_all.clear()
+    c = count[common] + alpha
     ratio = np.log(c[:, 1] / c[:, 1].sum()) - np.log(c[:, 0] / c[:, 0].sum())
-    at_of = {f: k for k, f in enumerate(names)}
-    dim = len(names) + 1  # the last is the offset
+    dim = len(common) + 1  # the last is the offset
 
     def row(s) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(k for k in map(at_of.get, s) if k is not None), np.int64)
+        at = np.sort(place[s][place[s] >= 0])
         v = ratio[at]
         v = v / (math.sqrt(float(v @ v)) or 1.0)
         return np.r_[at, dim - 1], np.r_[v, 1.0]
@@ -169,21 +176,21 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0, alpha: float = 1
     w = dual_descent([rows[i] for i in own], y[own], costs, dim)
     check = np.flatnonzero(held) if held.any() else own
     margin = np.array([float(w[a] @ v) for a, v in (rows[i] for i in check)])
-    slope, shift = platt(margin, y[check])
+    slope, shift = platt(margin, y[check], usual)
     return Model({f: (float(w[k] * ratio[k]), float(ratio[k] ** 2)) for f, k in at_of.items() if ratio[k]}, float(w[-1]), slope, shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, kept_out: int, per_class: int, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: labelled rows outside the held-out fold, of each class those with the smallest hashes."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, kept_out: int, per_class: tuple[int, int], seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float | None]:
+    """Texts and labels to learn from, and the share of label 1: labelled rows outside the held-out fold, of each class those with the smallest hashes."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     own = own.where(crc_fold(F.col("id"), folds) != kept_out)
     picked = None
     for k in (0, 1):
-        some = own.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(per_class)
+        some = own.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(per_class[k])
         picked = some if picked is None else picked.unionByName(some)
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
     rows = found.select("id", "text", "y").toPandas().sort_values(["id", "text"])
-    return rows.text.tolist(), rows.y.tolist()
+    return rows.text.tolist(), rows.y.tolist(), own.agg(F.avg("y")).first()[0]
 
 
 def score(model: Model, text: Column, spark) -> Column:
@@ -199,6 +206,6 @@ def score(model: Model, text: Column, spark) -> Column:
     return quality(text)
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """The model that the quality labels outside fold 0 of 5 give; at most per_class texts of each class reach the driver."""
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """The model that the quality labels outside fold 0 of 5 give; at most per_class texts reach the driver."""
     return fit(*sample(docs, labels, "quality", 5, 0, per_class))

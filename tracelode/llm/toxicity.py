@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .quality import platt, sample
 
-#: Labelled texts of each class that the model is fitted on at most.
-PER_CLASS = 2000
+#: Labelled texts of label 0 and 1 that the model is fitted on at most.
+PER_CLASS = (2400, 1200)
 #: Words of a bag. A text is scored by its worst bag, so that length dilutes nothing.
 BAG = 12
 #: Bags of a text that a pass of the fit sees at most, drawn with a seed.
-BAGS = 16
+BAGS = 12
 DIM, SLOTS, SHORTEST, LONGEST = 8, 1 << 17, 3, 5
 #: Words whose scores a worker remembers; when full, it starts anew.
 MEMORY = 300_000
@@ -164,12 +164,13 @@ def _train(words: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, weig
             model.base -= rate * d_base / np.sqrt(g_base)
 
 
-def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int = 9) -> Model:
+def fit(texts: list[str], labels: list[int], usual: float | None = None, visits: int = 250_000, seed: int = 9) -> Model:
     """The model of whole texts with labels 0 and 1; with one class only, or none, a model that always says its share.
 
     A text of label 1 says only that some of its bags are bad. The first pass takes all of
     them as such; the second keeps those that the first holds for bad, at least the worst
-    one, and starts anew. A pass goes over its bags 3 to 30 times, about visits in all. Every fifth text stays out of both and turns log odds into probabilities.
+    one, and starts anew. A pass goes over its bags 3 to 30 times, about visits in all. Every fifth
+    text stays out of both and turns log odds into probabilities, label 1 having the usual share.
     """
     rng = np.random.default_rng(seed)
     start = lambda: Model((rng.random((SLOTS, DIM)) - 0.5) / DIM, (rng.random((DIM, 2)) - 0.5), np.zeros(2))
@@ -184,14 +185,21 @@ def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int =
     clean, bad = [], []
     for t, label, out in zip(texts, labels, held):
         if not out:
-            row = np.array([ids.setdefault(w, len(ids)) for w in tokens(t) or [""]])
-            (bad if label == 1 else clean).append([row[a:b] for a, b in bags(len(row))])
-    slots, owner = subwords(list(ids))
-    order = np.argsort(owner, kind="stable")
-    words = np.split(slots[order], np.cumsum(np.bincount(owner))[:-1])
-
-    def some(texts: list[list[np.ndarray]]) -> list[np.ndarray]:
-        return [b for t in texts for b in (t if len(t) <= BAGS else [t[i] for i in sorted(rng.choice(len(t), BAGS, replace=False))])]
+            row = np.array([ids.setdefault(w, len(ids)) for w in tokens(t) or [""]], np.int32)
+            (bad if label == 1 else clean).append(row)
+    names, words = list(ids), []
+    for at in range(0, len(names), 20_000):
+        slots, owner = subwords(names[at : at + 20_000])
+        order = np.argsort(owner, kind="stable")
+        words += np.split(slots[order].astype(np.int32), np.cumsum(np.bincount(owner))[:-1])
+
+    def some(rows: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for row in rows:
+            ranges = bags(len(row))
+            picked = range(len(ranges)) if len(ranges) <= BAGS else sorted(rng.choice(len(ranges), BAGS, replace=False))
+            out += [row[slice(*ranges[i])] for i in picked]
+        return out
 
     def passed(chosen: list[np.ndarray], heavy: float) -> Model:
         rows = some(clean)
@@ -205,14 +213,15 @@ def fit(texts: list[str], labels: list[int], visits: int = 250_000, seed: int =
     value = np.array([first.vectors[g].mean(0) for g in words]) @ (first.out[:, 1] - first.out[:, 0]) / BAG
     base = first.base[1] - first.base[0]
     chosen = []
-    for t in bad:
-        odds = np.array([value[b].sum() for b in t]) + base
+    for row in bad:
+        ranges = bags(len(row))
+        odds = np.array([value[row[a:b]].sum() for a, b in ranges]) + base
         keep = np.flatnonzero(odds >= max(0.0, odds.max() / 2))
-        chosen += [t[i] for i in (keep if len(keep) else [int(odds.argmax())])]
+        chosen += [row[slice(*ranges[i])] for i in (keep if len(keep) else [int(odds.argmax())])]
     model = passed(chosen, 0.3)
     scorer = Scorer(model)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    model.slope, model.shift = platt(np.array(scorer.worst([texts[i] for i in check])), np.where(y_all[check] == 1, 1, -1))
+    model.slope, model.shift = platt(np.array(scorer.worst([texts[i] for i in check])), np.where(y_all[check] == 1, 1, -1), usual)
     return model
 
 
@@ -229,6 +238,6 @@ def score(model: Model, text: Column, spark) -> Column:
     return toxicity(text)
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """The model that the toxicity labels outside fold 2 of 4 give; at most per_class texts of each class reach the driver."""
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """The model that the toxicity labels outside fold 2 of 4 give; at most per_class texts reach the driver."""
     return fit(*sample(docs, labels, "toxic", 4, 2, per_class))
