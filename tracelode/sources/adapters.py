@@ -91,7 +91,25 @@ from {elog} e cross join (values ('alpha', 'identity', 'identity', 7, 1), ('beta
 where e.kind = 'call'
 """
 
-VIEWS = {"checks": CHECKS, "tlog": TLOG, "rlog": RLOG, "elog": ELOG, "ollog": OLLOG, "clog": CLOG, "docs": DOCS}
+#: The events as writes and reads of five files; every thirteenth event's read shows another text.
+WLOG = """
+with f as (select session_id, seq, event_id, k, kind in ('call', 'user') as writes, '/workspace/f' || cast(k % 5 as string) || '.txt' as path from {elog} where k is not null),
+g as (select *, max(case when writes then seq * 1000 + k end) over (partition by session_id, path order by seq rows between unbounded preceding and 1 preceding) as last_write,
+             lag(writes) over (partition by session_id, path order by seq) as after_write, row_number() over (partition by session_id, path order by seq) as nth from f)
+select session_id, seq, event_id, writes, path, after_write, 'v' || cast(k as string) as text, nth,
+       'v' || cast(coalesce(last_write % 1000, 0) + case when event_id % 13 = 0 then 1000 else 0 end as string) as shown
+from g
+"""
+
+#: Conversations with the usages of their turns.
+ULOG = """
+select cast(session_id as string) as key, pos, role, case when role = 'user' then 'user' else role end as turn_type, text as content,
+       case when role = 'assistant' then cast(sum(length(text)) over (partition by session_id order by pos rows between unbounded preceding and 1 preceding) as bigint) end as input_tokens,
+       case when role = 'assistant' then cast(length(text) as bigint) end as output_tokens
+from {clog}
+"""
+
+VIEWS = {"wlog": WLOG, "ulog": ULOG, "checks": CHECKS, "tlog": TLOG, "rlog": RLOG, "elog": ELOG, "ollog": OLLOG, "clog": CLOG, "docs": DOCS}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
