@@ -375,3 +375,28 @@ def test_packing(spark, odd, none):
         assert len(rs) == per or (bucket, batch + 1) not in batches
     got = packing.pack_texts(odd).collect()
     assert len(got) == 8 and max(r.length for r in got) == 50_000 and packing.pack_texts(none).count() == 0
+
+
+def test_similar_groups_are_exact(spark, odd, none):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(60)]
+    texts = [[word() for _ in range(rng.randrange(3, 250))] + passage * (k % 2) for k in range(40)]
+    for k in range(60):
+        w = list(texts[k % 40])
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(w)
+    texts += [texts[0], texts[1], [], [" "]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets = [frozenset(" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) if t.split() else frozenset() for t in (" ".join(w) for w in texts)]
+    up = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] | sets[j])
+        if not both or len(sets[i] & sets[j]) / both >= 0.8:
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+    got = {r.doc_id for r in simhash.keep_one_similar(df).collect()}
+    assert got == {i for i, r in enumerate(up) if i == r}
+    assert simhash.keep_one_similar(odd).columns == odd.columns and simhash.keep_one_similar(none).count() == 0
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(odd).collect() if r.doc_id in (1, 2, 3, 5)) == [1, 2]

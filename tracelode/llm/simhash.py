@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
@@ -22,24 +23,38 @@ MAX_BLOCK = 1024
 _STEP = 65_536
 
 
-def fingerprint_bytes(text: bytes, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles in order, repeats included, some at a time; none without words."""
     w = text.lower().split()
     if not w:
-        return 0
+        return
     n = max(1, len(w) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = ends - np.fromiter(map(len, w), np.int64, len(w)) - 1
+    length = np.fromiter(map(len, w), np.int64, len(w))
+    ends = np.cumsum(length + 1)
     line, last = b" ".join(w), min(words, len(w)) - 1
-    begin, end = starts[:n].tolist(), (ends[last : last + n] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    begin, end = (ends - length - 1)[:n].tolist(), (ends[last : last + n] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, _STEP):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(begin[at : at + _STEP], end[at : at + _STEP])], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        yield np.array([digest(line[a:b], 42) for a, b in zip(begin[at : at + _STEP], end[at : at + _STEP])], "<u8")
+
+
+def _vote(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def fingerprint_bytes(text: bytes, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        ones += _ones(h)
+        n += len(h)
+    return _vote(ones, n)
+
+
 def fingerprint(text: Column, words: int = 3) -> Column:
     """The fingerprint as a signed long. A null text has the empty text's fingerprint, zero."""
 
@@ -261,21 +276,170 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(least, "root").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, nulls last, and of its smallest fingerprint.
+def _keep(docs: DataFrame, known: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row for each root of known(id, mark, root): that of the smallest id, nulls last, then smallest mark.
 
-    Where an id is on several rows, the fingerprint tells them apart, and of rows equal in
-    both one stays.
+    Where an id is on several rows, the mark tells them apart, and of rows equal in both
+    one stays.
     """
-    known = written(components(docs, id_col, text_col, words, radius, max_block), "components")
-    first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("r")).select("r.id", "r.fp")
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("r")).select("r.id", "r.mark")
     several = written(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated")
     own = docs[id_col]
     if several.isEmpty():
         return docs.join(first.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
     once = first.join(several.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
     kept = docs.join(once.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
-    again = docs.join(several.select(F.col("id").alias("_id")), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fingerprint(F.col(text_col), words))
-    again = again.join(first.select(F.col("id").alias("_id"), F.col("fp").alias("_first")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_first")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_fp").orderBy(text_col))
-    return kept.unionByName(again.withColumn("_nth", nth).where("_nth = 1").drop("_fp", "_nth"))
+    again = docs.join(several.select(F.col("id").alias("_id")), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_mark", mark)
+    again = again.join(first.select(F.col("id").alias("_id"), F.col("mark").alias("_first")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_first")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "_mark").orderBy(text_col))
+    return kept.unionByName(again.withColumn("_nth", nth).where("_nth = 1").drop("_mark", "_nth"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
+    """docs with one row of each component of near_duplicates; see _keep."""
+    known = written(components(docs, id_col, text_col, words, radius, max_block), "components").withColumnRenamed("fp", "mark")
+    return _keep(docs, known, fingerprint(F.col(text_col), words), id_col, text_col)
+
+
+# --- similarity of shingle sets ----------------------------------------------------------------
+
+#: Smallest shingle hashes kept of a text, those of them that are its block keys, and those that refine a large block.
+SKETCH, KEYS, FINER = 1024, 4, 8
+#: A text with more shingles than its sketch holds is compared by an estimate that is off by about 0.012; pairs this far below 0.8 then still link.
+SLACK = 0.015
+#: Texts of a similarity of 0.8 differ in about 10 of 64 bits; beyond this distance no pair is verified.
+SIMILAR_RADIUS = 22
+#: Members of a block key from which it is refined by a second hash.
+HOT_KEY = 512
+
+
+def sketch_bytes(text: bytes, words: int = 5) -> tuple[int, int, int, bytes]:
+    """(class, size, fingerprint, sketch): sorted smallest 32-bit shingle hashes, the number of distinct ones, and a digest of both as a signed long."""
+    ones, n, low = np.zeros(64, np.int64), 0, np.empty(0, np.uint32)
+    for h in shingle_hashes(text, words):
+        ones += _ones(h)
+        n += len(h)
+        low = np.unique(np.r_[low, (h >> np.uint64(32)).astype(np.uint32)])
+    sketch = low[:SKETCH].tobytes()
+    name = xxhash.xxh64_intdigest(sketch + len(low).to_bytes(8, "little"), 1)
+    return name - (1 << 64) * (name >> 63), len(low), _vote(ones, n), sketch
+
+
+def similarity(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of pairs of sketches: the share in both among the smallest of the union; exact where both sets fit."""
+    widest = max(map(len, [*a, *b]), default=0)
+    both = np.full((len(a), 2 * widest), 1 << 32, np.int64)
+    for k, (x, y) in enumerate(zip(a, b)):
+        both[k, : len(x)] = x
+        both[k, widest : widest + len(y)] = y
+    both.sort(1)
+    real = both < 1 << 32
+    new = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], 1) & real
+    order = np.cumsum(new, 1)
+    shared = (~new & real & (order <= SKETCH)).sum(1)
+    total = np.minimum(order[:, -1], SKETCH) if widest else np.zeros(len(a))
+    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+
+
+def _similar(least: float):
+    """Reads (key, class, size, fp, sketch) sorted by key; yields links that connect each block's similar members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_of = pivots()
+
+        def settle(key, name, size, fp, sketch) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            block = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(key)]))
+            fps, root = fp.view(np.uint64), np.arange(len(key))
+            distances = np.bitwise_count(fps[:, None] ^ table_of[None, :]).astype(np.int8)
+            at, step, found = np.arange(len(key)), 0, []
+            while len(at):
+                step += 1
+                at = at[at + step < len(key)]
+                at = at[block[at] == block[at + step]]
+                i = at[root[at] != root[at + step]]
+                j = i + step
+                alike = np.minimum(size[i], size[j]) >= (least - 0.1) * np.maximum(size[i], size[j])
+                i, j = survivors(fps, i[alike], j[alike], distances, SIMILAR_RADIUS)
+                joined = []
+                for k in range(0, len(i), 512):
+                    a, b = i[k : k + 512], j[k : k + 512]
+                    near = similarity([sketch[x] for x in a], [sketch[x] for x in b]) >= np.where(np.maximum(size[a], size[b]) <= SKETCH, least - 1e-9, least - SLACK)
+                    joined += zip(a[near].tolist(), b[near].tolist())
+                for a, b in joined:
+                    x, y = root[a], root[b]
+                    if x != y:
+                        inside = slice(edge[block[a]], edge[block[a] + 1] if block[a] + 1 < len(edge) else len(key))
+                        part = root[inside]
+                        part[part == max(x, y)] = min(x, y)
+                        found.append((a, b))
+            if found:
+                pick = np.array(found)
+                yield pa.record_batch([pa.array(name[pick[:, 0]]), pa.array(name[pick[:, 1]])], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            sketch = np.empty(len(batch), object)
+            sketch[:] = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(4)]
+            cols.append(sketch)
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            last = cols[0] == cols[0][-1]
+            if not last.all():
+                yield from settle(*(x[~last] for x in cols))
+            held = [x[last] for x in cols]
+        if held is not None and len(held[0]):
+            yield from settle(*held)
+
+    return run
+
+
+def similar_links(made: DataFrame, least: float) -> DataFrame:
+    """(a, b) between classes of made(class, size, fp, low array<long>, sketch) of a similarity of at least `least`.
+
+    Similar texts share one of their KEYS smallest shingle hashes all but once in 600 times at 0.8, and
+    more seldom above. A hash that many texts have, as those of a passage in wide use, names
+    no block alone: its texts meet again under pairs of it and another of their FINER
+    smallest hashes. Blocks of one are dropped before any sketch is moved. Inside a block
+    pivot distances, then fingerprints, discard; sketches verify; and pairs that are
+    already connected are passed over.
+    """
+    classes = made.where("size > 0").groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low"))
+    spread = written(classes.withColumn("s", F.explode(F.slice("low", 1, KEYS))), "block-keys")
+    hot = spread.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("s", F.lit(True).alias("hot"))
+    finer = F.transform(F.filter("low", lambda t: t != F.col("s")), lambda t: F.xxhash64(F.least(F.col("s"), t), F.greatest(F.col("s"), t)))
+    key = F.explode(F.when(F.col("hot") & (F.size(finer) > 0), finer).otherwise(F.array(F.xxhash64("s")))).alias("key")
+    keyed = written(spread.join(hot, "s", "left").select(key, "class", "size", "fp"), "keyed")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
+    keyed = written(keyed.join(shared, "key", "left_semi"), "blocks")
+    sketches = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("sketch").alias("sketch"))
+    blocks = keyed.join(sketches, "class").select("key", "class", "size", "fp", "sketch")
+    return written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(least), "a long, b long"), "similar").distinct()
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of texts whose shingle sets reach each other at a similarity of at least `least`; see _keep.
+
+    Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
+    """
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("low", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
+                name, size, fp, sketch = zip(*[sketch_bytes(t.as_py() or b"", words) for t in some])
+                low = [np.frombuffer(x[: 4 * FINER], np.uint32).tolist() for x in sketch]
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
+
+    @F.pandas_udf(T.LongType())
+    def class_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch_bytes((t or "").encode(), words)[0] for t in texts], dtype="int64")
+
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, fp long, low array<long>, sketch binary"), "sketches")
+    of = roots(similar_links(made, least)).withColumnRenamed("node", "class")
+    known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
+    return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
