@@ -214,14 +214,14 @@ def split_gain(rows: DataFrame, by: list[str], order: list[str], value: str) ->
 
 
 def huber(rows: DataFrame, xs: list[str], y: str, delta: float = 1.345, rounds: int = 20) -> np.ndarray:
-    """Coefficients (intercept last) of a robust regression: reweighted normal equations, one aggregation a round."""
+    """Coefficients (intercept last) of a robust regression: reweighted normal equations around a median scale, two aggregations a round."""
     names = [*xs, "_one"]
     df = rows.select(*[F.col(c).cast("double").alias(c) for c in [*xs, y]], F.lit(1.0).alias("_one")).na.drop()
     beta = np.zeros(len(names))
-    scale = float(df.agg(F.stddev(y)).first()[0] or 1.0)
     for _ in range(rounds):
         fit = sum((F.col(c) * float(b) for c, b in zip(names, beta)), F.lit(0.0))
         r = F.abs(F.col(y) - fit)
+        scale = 1.4826 * float(df.agg(F.percentile(r, F.lit(0.5))).first()[0] or 1e-9)
         w = F.when(r <= delta * scale, 1.0).otherwise(delta * scale / r)
         sums = df.withColumn("_w", w).agg(*[F.sum(F.col("_w") * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]], *[F.sum(F.col("_w") * F.col(a) * F.col(y)) for a in names]).first()
         m, at = np.zeros((len(names), len(names))), 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ledger, perturb, replay, scoring, structural
+from ..operators import claims, grammar, ledger, perturb, replay, scoring, structural
 from .registry import Registry
 
 R = Registry()
@@ -91,3 +91,30 @@ def perturb_detection(wlog):
 def summarize(wlog):
     fresh = wlog.where("not writes and after_write").select(F.col("session_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("call_id"))
     return scoring.summarize(replay.verdicts(file_turns(wlog)).join(fresh, ["key", "call_id"], "left_semi"))
+
+
+@R.query("claims_answers", "with c as (select event_id as claim_id, tool, cast(case when k % 10 < 9 and tool = 'read' then 0 else k % 5 end as string) as answer, event_id % 4 = 0 as grounded from {elog} where kind = 'result'), n as (select tool, answer, count(*) as n from c group by 1, 2), r as (select *, row_number() over (partition by tool order by n desc, answer) as rn, sum(n) over (partition by tool) as total from n) select claim_id, case when grounded then 'ok:answer' when total - 1 >= 10 and n - (case when c.answer = r.answer then 1 else 0 end) >= 0.8 * (total - 1) then case when c.answer = r.answer then 'ok:consensus' else 'violation:consensus' end else 'abstain:no_consensus' end as reason from c join r on c.tool = r.tool and r.rn = 1")
+def claims_answers(elog):
+    answer = F.when((F.col("k") % 10 < 9) & (F.col("tool") == "read"), 0).otherwise(F.col("k") % 5).cast("string")
+    return claims.answers(elog.where("kind = 'result'").select(F.col("event_id").alias("claim_id"), F.col("tool").alias("task_id"), answer.alias("answer"), (F.col("event_id") % 4 == 0).alias("grounded")))
+
+
+@R.query("claims_mode", "with f as (select session_id, tool, min(seq) as first from {elog} where kind = 'call' group by 1, 2), c as (select event_id as claim_id, session_id, seq, case event_id % 3 when 0 then 'shell' when 1 then 'read' else 'edit' end as tool from {elog} where kind = 'assistant') select claim_id, case when first is null or first >= seq then 'violation:mode' else 'ok:mode' end as reason from c left join f on c.session_id = f.session_id and c.tool = f.tool")
+def claims_mode(elog):
+    mode = F.element_at(F.array(F.lit("shell"), F.lit("read"), F.lit("edit")), (F.col("event_id") % 3 + 1).cast("int"))
+    said = elog.where("kind = 'assistant'").select(F.col("event_id").alias("claim_id"), "session_id", F.col("seq").alias("pos"), mode.alias("mode"))
+    return claims.mode_never_performed(said, elog.where("kind = 'call'").select("session_id", F.col("seq").alias("pos"), F.col("tool").alias("mode")))
+
+
+@R.query("claims_durable_pass", None)
+def claims_durable_pass(elog):
+    said = elog.where("kind = 'assistant'").select(F.col("event_id").alias("claim_id"), "session_id", F.col("seq").alias("pos"))
+    runs = elog.where("kind = 'result'").select("session_id", F.col("seq").alias("pos"), (~F.col("is_error")).alias("passed"))
+    return claims.durable_pass(said, runs, elog.where("kind = 'user'").select("session_id", F.col("seq").alias("pos")))
+
+
+@R.query("grammar_head", "select doc_id, len(string_split(rtrim(text), chr(10))) > 3 as broken from {documents} where text is not null and trim(text) <> '' and not regexp_matches(text, '(?m)^(?:\\S+: )?(?:.*: )?(?:No such file or directory|Permission denied|command not found|cannot access|warning:|error:|fatal:)')", ("documents",))
+def grammar_head(documents):
+    own = documents.where("text is not null and trim(text) <> ''").where(~F.col("text").rlike(grammar.DIAGNOSTIC))
+    broken, _ = grammar.violations(F.lit("head -n 3 notes.txt"), F.col("text"))
+    return own.select("doc_id", F.array_contains(broken, "line_cap").alias("broken"))
