@@ -9,6 +9,7 @@ are groups, and only their tool turns are shipped to Python.
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
 import posixpath
@@ -74,6 +75,8 @@ def pure_output(argv: list[str], cwd: str | None) -> tuple[str, int] | None:
     head, args = argv[0], argv[1:]
     if head == "echo" and not (args and re.fullmatch(r"-[neE]+", args[0])) and not any("\\" in a for a in args):
         return " ".join(args) + "\n", 0
+    if head == "printf" and len(args) == 1 and "%" not in args[0] and not re.search(r"\\[^nt\\]", args[0]):
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), args[0]), 0
     if head == "pwd" and not args and cwd:
         return cwd + "\n", 0
     if head == "seq" and 1 <= len(args) <= 3 and all(re.fullmatch(r"-?\d+", a) for a in args):
@@ -217,6 +220,19 @@ class Listing:
     by: str
 
 
+@dataclass
+class Found:
+    """What a find below a folder printed: it names every file of that name there."""
+
+    folder: str
+    name: str | None
+    paths: set[str]
+    by: str
+
+    def covers(self, path: str) -> bool:
+        return path.startswith(self.folder.rstrip("/") + "/") and "/." not in path[len(self.folder) :] and (self.name is None or fnmatch.fnmatchcase(posixpath.basename(path), self.name))
+
+
 @dataclass
 class Verdict:
     verdict: str = "unconstrained"
@@ -246,6 +262,7 @@ class Store:
         """After an event that isn't modelled."""
         self.files: dict[str, Known] = {}
         self.listings: dict[str, Listing] = {}
+        self.finds: list[Found] = []
         self.exits: dict[tuple, tuple[bool, str]] = {}
         self.tests: dict[tuple, tuple[bool, str]] = {}
         self.status: tuple[bool, str] | None = None
@@ -281,7 +298,9 @@ class Store:
         k, d, name = self.files.get(path), self.listings.get(posixpath.dirname(path)), posixpath.basename(path)
         if k is not None:
             return None if k.exists else (k.by, False)
-        return (d.by, True) if d is not None and name not in d.names and (d.hidden or not name.startswith(".")) else None
+        if d is not None and name not in d.names and (d.hidden or not name.startswith(".")):
+            return d.by, True
+        return next(((f.by, True) for f in self.finds if f.covers(path) and path not in f.paths), None)
 
     def present(self, call: str, path: str) -> None:
         denied = self.denied_by(path)
@@ -299,6 +318,9 @@ class Store:
         d = self.listings.get(posixpath.dirname(path))
         if d is not None:
             d.names.add(posixpath.basename(path))
+        for f in self.finds:
+            if f.covers(path):
+                f.paths.add(path)
 
     def absent(self, call: str, path: str) -> None:
         k = self.files.get(path)
@@ -540,6 +562,16 @@ class Store:
                 rows = [m[1].split(" -> ")[0] for m in split]
             if folder and not (k is not None and k.texts):
                 self.lists(c.id, folder, {x.rstrip("/*@") if "F" in flags else x for x in rows} - {".", ".."}, "a" in flags or "A" in flags)
+        elif head == "find" and not code:
+            m = re.fullmatch(r"find(?: ([^\s-]\S*))?(?: -type f)?(?: -name (\S+))?(?: -type f)?", " ".join(argv))
+            folder = place(m[1] or ".", cwd) if m else None
+            if folder and not re.search(r"(?m)^find:", body):
+                paths = {p for x in ("" if body == NOTHING else body).split("\n") if x and (p := place(x, cwd))}
+                f = Found(folder, m[2], paths, c.id)
+                gone = [k.by for p, k in self.files.items() if k.exists and k.texts and f.covers(p) and p not in paths]
+                if gone:
+                    self.contradict(c.id, "listing_missing", gone)
+                self.finds.append(f)
         elif head == "cat" and len(argv) == 2:
             path = place(argv[1], cwd)
             if path and code and re.search(r"^cat: .*No such file or directory\s*$", body):

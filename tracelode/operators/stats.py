@@ -234,3 +234,80 @@ def huber(rows: DataFrame, xs: list[str], y: str, delta: float = 1.345, rounds:
         if moved < 1e-9:
             break
     return beta
+
+
+def clopper_pearson(counts: DataFrame, k: str, n: str, level: float = 0.95) -> DataFrame:
+    """Adds upper: the exact upper limit of k / n."""
+
+    @F.pandas_udf("double")
+    def limit(ks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([clopper_pearson_upper(int(a), int(b), level) for a, b in zip(ks, ns)], dtype="float64")
+
+    return counts.withColumn("upper", limit(k, n))
+
+
+def cell_labels(cells: DataFrame, least: int = 20) -> DataFrame:
+    """cells(n, k, n_honest, k_honest) with label: INSUFFICIENT_N; DETECTS or PARTIAL where the recall's lower limit is above the false positives' upper one; else BLIND."""
+    p, low, _ = wilson(F.col("k"), F.col("n"))
+    _, _, high = wilson(F.col("k_honest"), F.col("n_honest"))
+    above = F.coalesce(low > high, F.lit(False))
+    return cells.withColumn("label", F.when(F.col("n") < least, "INSUFFICIENT_N").when(above & (p >= 0.5), "DETECTS").when(above, "PARTIAL").otherwise("BLIND"))
+
+
+def hill(rows: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """(by, alpha): the tail index from the k largest values over the next one; null for groups with fewer."""
+    w = Window.partitionBy(*by).orderBy(F.desc(value))
+    top = rows.where(F.col(value) > 0).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+    g = top.groupBy(*by).agg(F.sum(F.when(F.col("_r") <= k, F.ln(value))).alias("s"), F.max(F.when(F.col("_r") == k + 1, F.ln(value))).alias("base"))
+    return g.select(*by, F.try_divide(F.lit(float(k)), F.col("s") - k * F.col("base")).alias("alpha"))
+
+
+def partial_correlation(rows: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
+    g = rows.groupBy(*by).agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
+    return g.select(*by, F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))).alias("r"))
+
+
+#: Steps that values may be multiples of, from the largest down.
+STEPS = (1000.0, 500.0, 100.0, 50.0, 10.0, 5.0, 1.0, 0.5, 0.1, 0.05, 0.01)
+
+
+def step_size(rows: DataFrame, by: list[str], value: str, share: float = 0.99) -> DataFrame:
+    """(by, step): the largest of STEPS that at least this share of the non-zero values are multiples of; 0 without one."""
+    a = F.abs(F.col(value).cast("double"))
+    on = lambda s: F.abs(a / s - F.round(a / s)) <= 1e-6 + 1e-12 * (a / s)
+    g = rows.where(a > 0).groupBy(*by).agg(*[F.avg(on(s).cast("double")).alias(f"s{i}") for i, s in enumerate(STEPS)])
+    return g.select(*by, F.coalesce(*[F.when(F.col(f"s{i}") >= share, F.lit(s)) for i, s in enumerate(STEPS)], F.lit(0.0)).alias("step"))
+
+
+def segments(rows: DataFrame, by: str, order: str, value: str, model: str = "gauss", least: int = 5) -> DataFrame:
+    """(by, cuts): binary segmentation of each group's ordered values, with a penalty of 2 ln n a cut.
+
+    model: gauss (mean and variance change) or bern (rate of 0 and 1).
+    """
+
+    def cost(s: np.ndarray, q: np.ndarray, a: int, b: np.ndarray | int):
+        n = b - a
+        mean = (s[b] - s[a]) / n
+        if model == "bern":
+            p = np.clip(mean, 1e-9, 1 - 1e-9)
+            return -2 * n * (p * np.log(p) + (1 - p) * np.log(1 - p))
+        return n * np.log(np.maximum((q[b] - q[a]) / n - mean * mean, 1e-9))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(order)[value].dropna().to_numpy(float)
+        s, q = np.r_[0.0, np.cumsum(v)], np.r_[0.0, np.cumsum(v * v)]
+        penalty, cuts, todo = 2 * np.log(max(2, len(v))), [], [(0, len(v))]
+        while todo:
+            a, b = todo.pop()
+            at = np.arange(a + least, b - least + 1)
+            if not len(at):
+                continue
+            right = np.array([cost(s, q, c, b) for c in at])
+            gain = cost(s, q, a, b) - cost(s, q, a, at) - right
+            k = int(np.argmax(gain))
+            if gain[k] > penalty:
+                cuts.append(int(at[k]))
+                todo += [(a, int(at[k])), (int(at[k]), b)]
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "cuts": [sorted(cuts)]})
+
+    return rows.select(by, order, value).groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, cuts array<long>")

@@ -146,3 +146,35 @@ R.both("session_sha_keys", "select session_id, count(*) as n, count(distinct k)
 @R.query("ordered_sha", "select session_id, sha256(string_agg(coalesce(cast(seq as string), chr(0)) || chr(31) || coalesce(kind, chr(0)) || chr(31) || coalesce(cast(call_id as string), chr(0)), chr(30) order by seq)) as sha from {elog} group by 1")
 def ordered_sha(elog):
     return scoring.ordered_sha(elog, "session_id", "seq", ["seq", "kind", "call_id"])
+
+
+@R.query("hill_tail", "with r as (select tool, ln(value) as x, row_number() over (partition by tool order by value desc) as rn from {elog} where tool is not null and value > 0) select tool, round(50.0 / (sum(case when rn <= 50 then x end) - 50 * max(case when rn = 51 then x end)), 6) as alpha from r where rn <= 51 group by 1")
+def hill_tail(elog):
+    return stats.hill(elog.where("tool is not null"), ["tool"], "value", 50).select("tool", F.round("alpha", 6).alias("alpha"))
+
+
+@R.query("partial_correlation", "with c as (select tool, corr(quantity, extended) as xy, corr(quantity, price) as xz, corr(extended, price) as yz from {ollog} group by 1) select tool, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) as r from c", ("ollog",))
+def partial_correlation(ollog):
+    return stats.partial_correlation(ollog, ["tool"], "quantity", "extended", "price").select("tool", F.round("r", 6).alias("r"))
+
+
+@R.query("step_size", "select tool, cast(case when avg(case when quantity % 10 = 0 then 1.0 else 0 end) >= 0.99 then 10 when avg(case when quantity % 5 = 0 then 1.0 else 0 end) >= 0.99 then 5 else 1 end as double) as step from {ollog} where quantity > 0 group by 1", ("ollog",))
+def step_size(ollog):
+    return stats.step_size(ollog, ["tool"], "quantity")
+
+
+@R.query("cell_labels", "with c as (select tool, count(case when stream <> 'main' then 1 end) as n, count(case when stream <> 'main' and is_error then 1 end) as k, count(case when stream = 'main' then 1 end) as n_honest, count(case when stream = 'main' and k % 97 = 0 then 1 end) as k_honest from {elog} where kind = 'result' group by 1), p as (select *, (k / cast(n as double) + 1.96 * 1.96 / (2.0 * n) - 1.96 * sqrt(k / cast(n as double) * (1 - k / cast(n as double)) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n) as lo, (k_honest / cast(n_honest as double) + 1.96 * 1.96 / (2.0 * n_honest) + 1.96 * sqrt(k_honest / cast(n_honest as double) * (1 - k_honest / cast(n_honest as double)) / n_honest + 1.96 * 1.96 / (4.0 * n_honest * n_honest))) / (1 + 1.96 * 1.96 / n_honest) as hi from c) select tool, case when n < 20 then 'INSUFFICIENT_N' when lo > hi and k >= 0.5 * n then 'DETECTS' when lo > hi then 'PARTIAL' else 'BLIND' end as label from p")
+def cell_labels(elog):
+    sub = F.col("stream") != "main"
+    c = elog.where("kind = 'result'").groupBy("tool").agg(F.count_if(sub).alias("n"), F.count_if(sub & F.col("is_error")).alias("k_"), F.count_if(~sub).alias("n_honest"), F.count_if(~sub & (F.col("k") % 97 == 0)).alias("k_honest"))
+    return stats.cell_labels(c.withColumnRenamed("k_", "k")).select("tool", "label")
+
+
+@R.query("clopper_pearson", None)
+def clopper_pearson(elog):
+    return stats.clopper_pearson(elog.where("kind = 'result'").groupBy("tool").agg(F.count_if("is_error").alias("k"), F.count("*").alias("n")), "k", "n")
+
+
+@R.query("segments", None)
+def segments(elog):
+    return stats.segments(elog, "session_id", "seq", "value").select("session_id", F.size("cuts").alias("cuts"))
