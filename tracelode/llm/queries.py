@@ -84,5 +84,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP4 = """
+with t as (select conv_id, turn, role, coalesce(text, '') as text, text as raw from conversations),
+u as (select *, 'call-' || conv_id || '-' || turn as call_id from t where role = 'user'),
+r as (select conv_id, turn - 1 as turn, raw from t where role = 'assistant'),
+j as (select u.*, r.raw as answer, r.turn is not null as answered from u left join r on u.conv_id = r.conv_id and u.turn = r.turn)
+select conv_id, call_id, cast(row_number() over (partition by conv_id order by turn, call_id) as int) as position,
+       case when answered then 'linked' else 'missing' end as status, text <> '' and turn >= 0 as valid,
+       concat_ws(',', case when text = '' then 'query:min_length' end, case when turn < 0 then 'turn:min' end) as errors,
+       '{"arguments":{"query":' || cast(to_json(text) as varchar) || ',"turn":' || turn || ',"words":' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '},"id":"' || call_id || '","name":"ask","result":' || coalesce(cast(to_json(answer) as varchar), 'null') || '}' as json
+from j"""
+
+_OP6 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20"""
+
+
+def _strength(groups: str, mean: str) -> str:
+    low, high = urls.STRENGTH
+    moments = f"select count(*) as k, sum(n) as t, sum(n * n) as q, sum(n * power(bad / n - {mean}, 2) / ({mean} * (1 - {mean}))) as s from {groups} where n > 0"
+    rho = f"select t, case when t - q / t - (k - 1) > 0 then (s - (k - 1)) / (t - q / t - (k - 1)) else 0 end as rho from ({moments}) x"
+    return f"(select case when t is null or rho <= 0 then {high} else least(greatest(1 / rho - 1, {low}), {high}) end from ({rho}) y)"
+
+
+def _op8() -> str:
+    ranked = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in ranked]
+    rule = "case " + " ".join(f"when {f} then '{h + p}'" for f, (_, h, p) in zip(fits, ranked)) + " end"
+    verdict = "case " + " ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(fits, ranked)) + " end"
+    two = "array_to_string(list_slice(l, greatest(1, len(l) - 1), len(l)), '.')"
+    three = "array_to_string(list_slice(l, greatest(1, len(l) - 2), len(l)), '.')"
+    long = f"{two} in ({', '.join(repr(x) for x in urls.SUFFIXES)})"
+    return f"""
+with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from a),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from b),
+k as (select doc_id, max(case when quality = 0 then 1 else 0 end) as bad from labels where quality is not null group by 1),
+h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join k on page_id = doc_id group by 1),
+h1 as (select *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') as l from h0),
+h as (select host, n, bad, case when {long} then {three} else {two} end as domain, case when {long} then {two} else l[len(l)] end as suffix from h1),
+o as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2.0) as rate from h),
+s as (select suffix, sum(n) as n, sum(bad) as bad from h group by 1),
+sm as (select {_strength("s", "(select rate from o)")} as m),
+s2 as (select suffix, ((select rate from o) * m + bad) / (m + n) as above from s, sm),
+d as (select h.suffix, domain, sum(n) as n, sum(bad) as bad, max(above) as above from h join s2 on h.suffix = s2.suffix group by 1, 2),
+dm as (select {_strength("d", "above")} as m),
+d2 as (select domain, (above * m + bad) / (m + n) as prior from d, dm),
+g as (select host, n, bad, prior from h join d2 on h.domain = d2.domain),
+gm as (select {_strength("g", "prior")} as m),
+e as (select host, (prior * m + bad) / (m + n) as mean, m + n as size from g, gm),
+f as (select host, mean - {urls.Z} * sqrt(mean * (1 - mean) / (size + 1)) > {urls.MAX_BAD} as blocked from e)
+select page_id, p.host, path, {rule.replace("host", "p.host")} as rule, coalesce({verdict.replace("host", "p.host")}, case when blocked then 'block' else 'allow' end) as verdict
+from p left join f on p.host = f.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": _OP4, "op6_topk": _OP6, "op8_urls": _op8()}
