@@ -92,8 +92,8 @@ def survivors(fps: np.ndarray, i: np.ndarray, j: np.ndarray, distances: np.ndarr
     return i[near], j[near]
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """As few of the pairs as keep what they connect."""
+def _stars(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """What the pairs connect, as pairs of each member with the first of its kind: stars, which leave little to do afterwards."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -102,20 +102,18 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             x = y
         return x
 
-    kept = []
     for a, b in zip(i.tolist(), j.tolist()):
         x, y = top(a), top(b)
         if x != y:
-            above[x] = y
-            kept.append((a, b))
-    return kept
+            above[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in list(above) if top(x) != x]
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int32())])
 
 
 def _links(radius: int, limit: int | None):
-    """Reads (path, part, fp) sorted by (path, part); yields links and, for blocks beyond the limit, their rows (b null)."""
+    """Reads (path, part, fp) sorted by (path, part); yields stars of what is linked and, for blocks beyond the limit, their rows (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = pivots()
@@ -140,7 +138,7 @@ def _links(radius: int, limit: int | None):
                 i, j = survivors(fps, at, at + step, distances, radius)
                 near_i.append(i)
                 near_j.append(j)
-            kept = _forest(np.concatenate(near_i), np.concatenate(near_j)) if near_i else []
+            kept = _stars(np.concatenate(near_i), np.concatenate(near_j)) if near_i else []
             if kept:
                 pick = np.array(kept)
                 yield out(fp[pick[:, 0]], fp[pick[:, 1]], path[pick[:, 0]])
@@ -193,7 +191,7 @@ def _splits(free: list[int]) -> list[tuple[int, list[int]]]:
 
 
 def linked(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
-    """(a, b) for distinct fingerprints fps(fp): links whose closure is that of all pairs within the radius.
+    """(a, b) for distinct fingerprints fps(fp): pairs whose closure is that of all pairs within the radius.
 
     Two fingerprints that differ in up to two bits agree in two of four bands of 16 bits,
     so every pair meets in one of six blocks; inside a block the pivot table discards and
@@ -232,6 +230,12 @@ def linked(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataF
     return links.distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every u of edges(u, v) has one v, which is no u itself."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return several.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): the smallest node that it reaches.
 
@@ -241,8 +245,7 @@ def roots(links: DataFrame) -> DataFrame:
     the shuffle and joined back, and Spark splits a hot node's side of that join.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -250,10 +253,6 @@ def roots(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -311,6 +310,8 @@ SLACK = 0.015
 SIMILAR_RADIUS = 22
 #: Members of a block key from which it is refined by a second hash.
 HOT_KEY = 512
+#: A block of more than two tiles of so many members is compared tile by tile.
+TILE = 512
 
 
 def sketch_bytes(text: bytes, words: int = 5) -> tuple[int, int, int, bytes]:
@@ -342,7 +343,7 @@ def similarity(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _similar(least: float):
-    """Reads (key, class, size, fp, sketch) sorted by key; yields links that connect each block's similar members."""
+    """Reads (key, class, size, fp, sketch) sorted by key; yields pairs that connect each block's similar members, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = pivots()
@@ -352,7 +353,7 @@ def _similar(least: float):
             block = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(key)]))
             fps, root = fp.view(np.uint64), np.arange(len(key))
             distances = np.bitwise_count(fps[:, None] ^ table_of[None, :]).astype(np.int8)
-            at, step, found = np.arange(len(key)), 0, []
+            at, step = np.arange(len(key)), 0
             while len(at):
                 step += 1
                 at = at[at + step < len(key)]
@@ -372,10 +373,9 @@ def _similar(least: float):
                         inside = slice(edge[block[a]], edge[block[a] + 1] if block[a] + 1 < len(edge) else len(key))
                         part = root[inside]
                         part[part == max(x, y)] = min(x, y)
-                        found.append((a, b))
-            if found:
-                pick = np.array(found)
-                yield pa.record_batch([pa.array(name[pick[:, 0]]), pa.array(name[pick[:, 1]])], names=["a", "b"])
+            member = np.flatnonzero(root != np.arange(len(key)))
+            if len(member):
+                yield pa.record_batch([pa.array(name[member]), pa.array(name[root[member]])], names=["a", "b"])
 
         held = None
         for batch in batches:
@@ -403,7 +403,8 @@ def similar_links(made: DataFrame, least: float) -> DataFrame:
     Similar texts share one of their KEYS smallest shingle hashes all but once in 600 times at 0.8, and
     more seldom above. A hash that many texts have, as those of a passage in wide use, names
     no block alone: its texts meet again under pairs of it and another of their FINER
-    smallest hashes. Blocks of one are dropped before any sketch is moved. Inside a block
+    smallest hashes. Blocks of one are dropped before any sketch is moved; a large block is cut into
+    tiles by class, and every two tiles meet in a task of their own. Inside a block
     pivot distances, then fingerprints, discard; sketches verify; and pairs that are
     already connected are passed over.
     """
@@ -413,8 +414,11 @@ def similar_links(made: DataFrame, least: float) -> DataFrame:
     finer = F.transform(F.filter("low", lambda t: t != F.col("s")), lambda t: F.xxhash64(F.least(F.col("s"), t), F.greatest(F.col("s"), t)))
     key = F.explode(F.when(F.col("hot") & (F.size(finer) > 0), finer).otherwise(F.array(F.xxhash64("s")))).alias("key")
     keyed = written(spread.join(hot, "s", "left").select(key, "class", "size", "fp"), "keyed")
-    shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
-    keyed = written(keyed.join(shared, "key", "left_semi"), "blocks")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y")
+    tiles = F.when(F.col("n") > 2 * TILE, F.ceil(F.col("n") / TILE)).otherwise(1)
+    own = F.pmod(F.xxhash64("class"), F.col("m"))
+    tiled = F.explode(F.when(F.col("m") == 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.xxhash64(F.col("key"), F.least(own, t), F.greatest(own, t)))))
+    keyed = written(keyed.join(shared.select("key", tiles.alias("m")), "key").select(tiled.alias("key"), "class", "size", "fp"), "blocks")
     sketches = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("sketch").alias("sketch"))
     blocks = keyed.join(sketches, "class").select("key", "class", "size", "fp", "sketch")
     return written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(least), "a long, b long"), "similar").distinct()
