@@ -271,8 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest; a component of null ids only has a null name. No rows, no result.
     """
     known = written(components(docs, id_col, text_col, words, radius, max_block), "components")
-    least = known.groupBy("root").agg(F.min("id").alias("component"))
-    return known.join(least, "root").select("id", "fp", "component")
+    named = written(known.groupBy("fp", "root").agg(F.min("id").alias("first")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    # joined back by fingerprint, through an exchange of its own: Spark then splits a hot one
+    return known.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def _keep(docs: DataFrame, known: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
