@@ -400,3 +400,17 @@ def test_similar_groups_are_exact(spark, odd, none):
     assert got == {i for i, r in enumerate(up) if i == r}
     assert simhash.keep_one_similar(odd).columns == odd.columns and simhash.keep_one_similar(none).count() == 0
     assert sorted(r.doc_id for r in simhash.keep_one_similar(odd).collect() if r.doc_id in (1, 2, 3, 5)) == [1, 2]
+
+
+def test_similar_texts_with_repeats(spark):
+    """Repeats leave the shingle sets alike, however far they move a fingerprint."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for k in range(0, 40, 2):
+        w, line = [word() for _ in range(300)], [word() for _ in range(10)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join(w + line * 40))]
+    far = [(simhash.fingerprint_bytes(a.encode(), 5) ^ simhash.fingerprint_bytes(b.encode(), 5)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert max(far) > 22
+    got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 40, 2))

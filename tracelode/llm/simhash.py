@@ -308,22 +308,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 SKETCH, KEYS, FINER = 1024, 4, 8
 #: A text with more shingles than its sketch holds is compared by an estimate that is off by about 0.012; pairs this far below 0.8 then still link.
 SLACK = 0.015
-#: Texts of a similarity of 0.8 differ in about 10 of 64 bits; beyond this distance no pair is verified.
-SIMILAR_RADIUS = 22
 #: Members of a block key from which it is refined by a second hash.
 HOT_KEY = 512
 
 
-def sketch_bytes(text: bytes, words: int = 5) -> tuple[int, int, int, bytes]:
-    """(class, size, fingerprint, sketch): sorted smallest 32-bit shingle hashes, the number of distinct ones, and a digest of both as a signed long."""
-    ones, n, low = np.zeros(64, np.int64), 0, np.empty(0, np.uint32)
+def sketch_bytes(text: bytes, words: int = 5) -> tuple[int, int, bytes]:
+    """(class, size, sketch): sorted smallest 32-bit shingle hashes, the number of distinct ones, and a digest of both as a signed long."""
+    low = np.empty(0, np.uint32)
     for h in shingle_hashes(text, words):
-        ones += _ones(h)
-        n += len(h)
         low = np.unique(np.r_[low, (h >> np.uint64(32)).astype(np.uint32)])
     sketch = low[:SKETCH].tobytes()
     name = xxhash.xxh64_intdigest(sketch + len(low).to_bytes(8, "little"), 1)
-    return name - (1 << 64) * (name >> 63), len(low), _vote(ones, n), sketch
+    return name - (1 << 64) * (name >> 63), len(low), sketch
 
 
 def similarity(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -343,16 +339,13 @@ def similarity(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _similar(least: float):
-    """Reads (key, class, size, fp, sketch) sorted by key; yields pairs that connect each block's similar members, as stars."""
+    """Reads (key, class, size, sketch) sorted by key; yields pairs that connect each block's similar members, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = pivots()
-
-        def settle(key, name, size, fp, sketch) -> Iterator[pa.RecordBatch]:
+        def settle(key, name, size, sketch) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             block = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(key)]))
-            fps, root = fp.view(np.uint64), np.arange(len(key))
-            distances = np.bitwise_count(fps[:, None] ^ table_of[None, :]).astype(np.int8)
+            root = np.arange(len(key))
             at, step = np.arange(len(key)), 0
             while len(at):
                 step += 1
@@ -361,7 +354,7 @@ def _similar(least: float):
                 i = at[root[at] != root[at + step]]
                 j = i + step
                 alike = np.minimum(size[i], size[j]) >= (least - 0.1) * np.maximum(size[i], size[j])
-                i, j = survivors(fps, i[alike], j[alike], distances, SIMILAR_RADIUS)
+                i, j = i[alike], j[alike]
                 joined = []
                 for k in range(0, len(i), 512):
                     a, b = i[k : k + 512], j[k : k + 512]
@@ -379,9 +372,9 @@ def _similar(least: float):
 
         held = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             sketch = np.empty(len(batch), object)
-            sketch[:] = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(4)]
+            sketch[:] = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
             cols.append(sketch)
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
@@ -398,25 +391,24 @@ def _similar(least: float):
 
 
 def similar_links(made: DataFrame, least: float) -> DataFrame:
-    """(a, b) between classes of made(class, size, fp, low array<long>, sketch) of a similarity of at least `least`.
+    """(a, b) between classes of made(class, size, low array<long>, sketch) of a similarity of at least `least`.
 
     Similar texts share one of their KEYS smallest shingle hashes all but once in 600 times at 0.8, and
     more seldom above. A hash that many texts have, as those of a passage in wide use, names
     no block alone: its texts meet again under pairs of it and another of their FINER
     smallest hashes. Blocks of one are dropped before any sketch is moved. Inside a block
-    pivot distances, then fingerprints, discard; sketches verify; and pairs that are
-    already connected are passed over.
+    sizes discard; sketches verify; and pairs that are already connected are passed over.
     """
-    classes = made.where("size > 0").groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("low").alias("low"))
+    classes = made.where("size > 0").groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("low").alias("low"))
     spread = written(classes.withColumn("s", F.explode(F.slice("low", 1, KEYS))), "block-keys")
     hot = spread.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("s", F.lit(True).alias("hot"))
     finer = F.transform(F.filter("low", lambda t: t != F.col("s")), lambda t: F.xxhash64(F.least(F.col("s"), t), F.greatest(F.col("s"), t)))
     key = F.explode(F.when(F.col("hot") & (F.size(finer) > 0), finer).otherwise(F.array(F.xxhash64("s")))).alias("key")
-    keyed = written(spread.join(hot, "s", "left").select(key, "class", "size", "fp"), "keyed")
+    keyed = written(spread.join(hot, "s", "left").select(key, "class", "size"), "keyed")
     shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
     keyed = written(keyed.join(shared, "key", "left_semi"), "blocks")
     sketches = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("sketch").alias("sketch"))
-    blocks = keyed.join(sketches, "class").select("key", "class", "size", "fp", "sketch")
+    blocks = keyed.join(sketches, "class").select("key", "class", "size", "sketch")
     return written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(least), "a long, b long"), "similar").distinct()
 
 
@@ -425,21 +417,21 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
     """
-    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("low", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("low", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
-                name, size, fp, sketch = zip(*[sketch_bytes(t.as_py() or b"", words) for t in some])
+                name, size, sketch = zip(*[sketch_bytes(t.as_py() or b"", words) for t in some])
                 low = [np.frombuffer(x[: 4 * FINER], np.uint32).tolist() for x in sketch]
-                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
 
     @F.pandas_udf(T.LongType())
     def class_of(texts: pd.Series) -> pd.Series:
         return pd.Series([sketch_bytes((t or "").encode(), words)[0] for t in texts], dtype="int64")
 
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, fp long, low array<long>, sketch binary"), "sketches")
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, low array<long>, sketch binary"), "sketches")
     of = roots(similar_links(made, least)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
     return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
