@@ -414,3 +414,17 @@ def test_similar_texts_with_repeats(spark):
     assert max(far) > 22
     got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(0, 40, 2))
+
+
+def test_long_similar_texts_are_exact(spark):
+    """Pairs of 950 to 3000 shingles, a little above and below the threshold, are told apart on the whole sets."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(0, 60, 2):
+        n, near = rng.choice([950, 1500, 3000]), k % 4 == 0
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        cut = int(n * (0.8025 if near else 0.7975))
+        rows += [(k, " ".join(w)), (k + 1, " ".join(w[:cut]))]
+        want |= {k} if near else {k, k + 1}
+    got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -304,45 +304,35 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 # --- similarity of shingle sets ----------------------------------------------------------------
 
-#: Smallest shingle hashes kept of a text, those of them that are its block keys, and those that refine a large block.
-SKETCH, KEYS, FINER = 1024, 4, 8
-#: A text with more shingles than its sketch holds is compared by an estimate that is off by about 0.012; pairs this far below 0.8 then still link.
-SLACK = 0.015
+#: Smallest shingle hashes of a text that are its block keys, and those that refine a large block.
+KEYS, FINER = 4, 8
 #: Members of a block key from which it is refined by a second hash.
 HOT_KEY = 512
 
 
-def sketch_bytes(text: bytes, words: int = 5) -> tuple[int, int, bytes]:
-    """(class, size, sketch): sorted smallest 32-bit shingle hashes, the number of distinct ones, and a digest of both as a signed long."""
-    low = np.empty(0, np.uint32)
+def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
+    """(class, set): all distinct 32-bit shingle hashes in ascending order, and a digest of them as a signed long."""
+    found = np.empty(0, np.uint32)
     for h in shingle_hashes(text, words):
-        low = np.unique(np.r_[low, (h >> np.uint64(32)).astype(np.uint32)])
-    sketch = low[:SKETCH].tobytes()
-    name = xxhash.xxh64_intdigest(sketch + len(low).to_bytes(8, "little"), 1)
-    return name - (1 << 64) * (name >> 63), len(low), sketch
-
-
-def similarity(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarity of pairs of sketches: the share in both among the smallest of the union; exact where both sets fit."""
-    widest = max(map(len, [*a, *b]), default=0)
-    both = np.full((len(a), 2 * widest), 1 << 32, np.int64)
-    for k, (x, y) in enumerate(zip(a, b)):
-        both[k, : len(x)] = x
-        both[k, widest : widest + len(y)] = y
-    both.sort(1)
-    real = both < 1 << 32
-    new = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], 1) & real
-    order = np.cumsum(new, 1)
-    shared = (~new & real & (order <= SKETCH)).sum(1)
-    total = np.minimum(order[:, -1], SKETCH) if widest else np.zeros(len(a))
-    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+        found = np.unique(np.r_[found, (h >> np.uint64(32)).astype(np.uint32)])
+    held = found.astype("<u4").tobytes()
+    name = xxhash.xxh64_intdigest(held, 1)
+    return name - (1 << 64) * (name >> 63), held
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact Jaccard similarity of two ascending sets; 1 for two empty ones."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared) if len(both) else 1.0
 
 
 def _similar(least: float):
-    """Reads (key, class, size, sketch) sorted by key; yields pairs that connect each block's similar members, as stars."""
+    """Reads (key, class, size, set) sorted by key; yields pairs that connect each block's similar members, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(key, name, size, sketch) -> Iterator[pa.RecordBatch]:
+        def settle(key, name, size, members) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             block = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(key)]))
             root = np.arange(len(key))
@@ -353,13 +343,8 @@ def _similar(least: float):
                 at = at[block[at] == block[at + step]]
                 i = at[root[at] != root[at + step]]
                 j = i + step
-                alike = np.minimum(size[i], size[j]) >= (least - 0.1) * np.maximum(size[i], size[j])
-                i, j = i[alike], j[alike]
-                joined = []
-                for k in range(0, len(i), 512):
-                    a, b = i[k : k + 512], j[k : k + 512]
-                    near = similarity([sketch[x] for x in a], [sketch[x] for x in b]) >= np.where(np.maximum(size[a], size[b]) <= SKETCH, least - 1e-9, least - SLACK)
-                    joined += zip(a[near].tolist(), b[near].tolist())
+                alike = np.minimum(size[i], size[j]) >= (least - 1e-9) * np.maximum(size[i], size[j])
+                joined = [(a, b) for a, b in zip(i[alike].tolist(), j[alike].tolist()) if similarity(members[a], members[b]) >= least - 1e-9]
                 for a, b in joined:
                     x, y = root[a], root[b]
                     if x != y:
@@ -373,9 +358,9 @@ def _similar(least: float):
         held = None
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            sketch = np.empty(len(batch), object)
-            sketch[:] = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
-            cols.append(sketch)
+            members = np.empty(len(batch), object)
+            members[:] = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(3)]
+            cols.append(members)
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
@@ -391,13 +376,13 @@ def _similar(least: float):
 
 
 def similar_links(made: DataFrame, least: float) -> DataFrame:
-    """(a, b) between classes of made(class, size, low array<long>, sketch) of a similarity of at least `least`.
+    """(a, b) between classes of made(class, size, low array<long>, members) of a similarity of at least `least`.
 
     Similar texts share one of their KEYS smallest shingle hashes all but once in 600 times at 0.8, and
     more seldom above. A hash that many texts have, as those of a passage in wide use, names
     no block alone: its texts meet again under pairs of it and another of their FINER
-    smallest hashes. Blocks of one are dropped before any sketch is moved. Inside a block
-    sizes discard; sketches verify; and pairs that are already connected are passed over.
+    smallest hashes. Blocks of one are dropped before any set is moved. Inside a block
+    sizes discard; the whole shingle sets verify; and pairs that are already connected are passed over.
     """
     classes = made.where("size > 0").groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("low").alias("low"))
     spread = written(classes.withColumn("s", F.explode(F.slice("low", 1, KEYS))), "block-keys")
@@ -407,8 +392,8 @@ def similar_links(made: DataFrame, least: float) -> DataFrame:
     keyed = written(spread.join(hot, "s", "left").select(key, "class", "size"), "keyed")
     shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
     keyed = written(keyed.join(shared, "key", "left_semi"), "blocks")
-    sketches = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("sketch").alias("sketch"))
-    blocks = keyed.join(sketches, "class").select("key", "class", "size", "sketch")
+    sets = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("members").alias("members"))
+    blocks = keyed.join(sets, "class").select("key", "class", "size", "members")
     return written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(least), "a long, b long"), "similar").distinct()
 
 
@@ -417,21 +402,21 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
     """
-    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("low", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("low", pa.list_(pa.int64())), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
-                name, size, sketch = zip(*[sketch_bytes(t.as_py() or b"", words) for t in some])
-                low = [np.frombuffer(x[: 4 * FINER], np.uint32).tolist() for x in sketch]
-                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
+                name, members = zip(*[shingle_set(t.as_py() or b"", words) for t in some])
+                size, low = [len(x) // 4 for x in members], [np.frombuffer(x[: 4 * FINER], "<u4").tolist() for x in members]
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(members, pa.binary())], schema=schema)
 
     @F.pandas_udf(T.LongType())
     def class_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch_bytes((t or "").encode(), words)[0] for t in texts], dtype="int64")
+        return pd.Series([shingle_set((t or "").encode(), words)[0] for t in texts], dtype="int64")
 
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, low array<long>, sketch binary"), "sketches")
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, low array<long>, members binary"), "shingle-sets")
     of = roots(similar_links(made, least)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
     return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
