@@ -428,3 +428,16 @@ def test_long_similar_texts_are_exact(spark):
         want |= {k} if near else {k, k + 1}
     got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_similar_texts_without_a_common_small_hash(spark):
+    """Pairs of similarity 0.8 and more that share none of their four smallest shingle hashes still meet."""
+    rng, rows = random.Random(7), []
+    while len(rows) < 12:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        pair = [" ".join(w), " ".join(w[:84])]
+        low = [set(np.frombuffer(simhash.shingle_set(t.encode())[-1], "<u4")[:4].tolist()) for t in pair]
+        if not low[0] & low[1]:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 12, 2))

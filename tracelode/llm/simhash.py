@@ -304,10 +304,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 # --- similarity of shingle sets ----------------------------------------------------------------
 
-#: Smallest shingle hashes of a text that are its block keys, and those that refine a large block.
-KEYS, FINER = 4, 8
-#: Members of a block key from which it is refined by a second hash.
-HOT_KEY = 512
+#: Classes of which one in so many is looked at for common hashes, and how many of those are told apart. Both only order the hashes; no result depends on them.
+SAMPLED, COMMON = 16, 100_000
 
 
 def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
@@ -328,73 +326,134 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
-def _similar(least: float):
-    """Reads (key, class, size, set) sorted by key; yields pairs that connect each block's similar members, as stars."""
+def _prefixes(common: np.ndarray, often: np.ndarray, least: float):
+    """Reads (class, members); yields (key, class, size), a row for each hash of a set's prefix, see similar_links. common ascends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(key, name, size, members) -> Iterator[pa.RecordBatch]:
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            block = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(key)]))
-            root = np.arange(len(key))
-            at, step = np.arange(len(key)), 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(key)]
-                at = at[block[at] == block[at + step]]
-                i = at[root[at] != root[at + step]]
-                j = i + step
-                alike = np.minimum(size[i], size[j]) >= (least - 1e-9) * np.maximum(size[i], size[j])
-                joined = [(a, b) for a, b in zip(i[alike].tolist(), j[alike].tolist()) if similarity(members[a], members[b]) >= least - 1e-9]
-                for a, b in joined:
-                    x, y = root[a], root[b]
-                    if x != y:
-                        inside = slice(edge[block[a]], edge[block[a] + 1] if block[a] + 1 < len(edge) else len(key))
-                        part = root[inside]
-                        part[part == max(x, y)] = min(x, y)
-            member = np.flatnonzero(root != np.arange(len(key)))
-            if len(member):
-                yield pa.record_batch([pa.array(name[member]), pa.array(name[root[member]])], names=["a", "b"])
-
-        held = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            members = np.empty(len(batch), object)
-            members[:] = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(3)]
-            cols.append(members)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = cols[0] == cols[0][-1]
-            if not last.all():
-                yield from settle(*(x[~last] for x in cols))
-            held = [x[last] for x in cols]
-        if held is not None and len(held[0]):
-            yield from settle(*held)
+            for at in range(0, len(batch), 256):
+                keys, name, size = [], [], []
+                for c, x in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256)):
+                    own = np.frombuffer(x.as_buffer(), "<u4")
+                    n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                    if len(common):
+                        near = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        own = own[np.argsort(np.where(common[near] == own, often[near], 0), kind="stable")]
+                    keys.append(own[:n])
+                    name.append(np.full(n, c, np.int64))
+                    size.append(np.full(n, len(own), np.int32))
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int32)), pa.array(np.concatenate(name)), pa.array(np.concatenate(size))], names=["key", "class", "size"])
+
+    return run
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], read) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by their first, cut so that no block of an equal first column is torn."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = read(batch)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        last = cols[0] == cols[0][-1]
+        if not last.all():
+            yield [x[~last] for x in cols]
+        held = [x[last] for x in cols]
+    if held is not None:
+        yield held
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (key, class, size) sorted by (key, class); yields (key, class, size, first) of keys with two classes or more, first being their least."""
+    for key, name, size in _whole_blocks(batches, lambda b: [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]):
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[edge, len(key)])
+        several = np.repeat(count > 1, count)
+        if several.any():
+            first = np.repeat(name[edge], count)
+            yield pa.record_batch([pa.array(x[several]) for x in (key, name, size, first)], names=["key", "class", "size", "first"])
+
+
+def _alike(least: float):
+    """Reads (a, b, x, y), classes and their sets; yields the similar pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _across(least: float):
+    """Reads (key, class, root, size, members) sorted by key; yields pairs that connect those of a block's roots that similar members connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(b: pa.RecordBatch) -> list[np.ndarray]:
+            members = np.empty(len(b), object)
+            members[:] = [np.frombuffer(x.as_py(), "<u4") for x in b.column(4)]
+            return [*(b.column(k).to_numpy(zero_copy_only=False) for k in range(4)), members]
+
+        for key, name, root, size, members in _whole_blocks(batches, read):
+            edge, links = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)], []
+            for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                part = root[begin:end].copy()
+                for i in range(begin, end - 1):
+                    fits = np.minimum(size[i], size[i + 1 : end]) >= (least - 1e-9) * np.maximum(size[i], size[i + 1 : end])
+                    for j in (np.flatnonzero(fits & (part[i + 1 - begin :] != part[i - begin])) + i + 1).tolist():
+                        x, y = part[i - begin], part[j - begin]
+                        if x != y and similarity(members[i], members[j]) >= least - 1e-9:
+                            links.append((name[i], name[j]))
+                            part[part == max(x, y)] = min(x, y)
+            if links:
+                pairs = np.array(links)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def similar_links(made: DataFrame, least: float) -> DataFrame:
-    """(a, b) between classes of made(class, size, low array<long>, members) of a similarity of at least `least`.
+def similar_links(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b) between the classes of classes(class, members), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
 
-    Similar texts share one of their KEYS smallest shingle hashes all but once in 600 times at 0.8, and
-    more seldom above. A hash that many texts have, as those of a passage in wide use, names
-    no block alone: its texts meet again under pairs of it and another of their FINER
-    smallest hashes. Blocks of one are dropped before any set is moved. Inside a block
-    sizes discard; the whole shingle sets verify; and pairs that are already connected are passed over.
+    Two sets of that similarity share at least ceil(least * size) hashes of either. So, in
+    any one order of all hashes, they share one among the first size - ceil(least * size) + 1
+    of each: these are a set's keys, and every pair meets under one. The order puts hashes
+    that are common in a sample last, which keeps blocks small and decides nothing else.
+    First each class is compared with the least class of its blocks, once a pair, which
+    connects most of what is alike. Blocks whose classes are connected by then are done;
+    of those with the same classes one is kept; in what is left all pairs of a fitting
+    size that aren't connected yet are compared, on the whole sets.
     """
-    classes = made.where("size > 0").groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("low").alias("low"))
-    spread = written(classes.withColumn("s", F.explode(F.slice("low", 1, KEYS))), "block-keys")
-    hot = spread.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("s", F.lit(True).alias("hot"))
-    finer = F.transform(F.filter("low", lambda t: t != F.col("s")), lambda t: F.xxhash64(F.least(F.col("s"), t), F.greatest(F.col("s"), t)))
-    key = F.explode(F.when(F.col("hot") & (F.size(finer) > 0), finer).otherwise(F.array(F.xxhash64("s")))).alias("key")
-    keyed = written(spread.join(hot, "s", "left").select(key, "class", "size"), "keyed")
-    shared = keyed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
-    keyed = written(keyed.join(shared, "key", "left_semi"), "blocks")
-    sets = made.join(keyed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.any_value("members").alias("members"))
-    blocks = keyed.join(sets, "class").select("key", "class", "size", "members")
-    return written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_similar(least), "a long, b long"), "similar").distinct()
+    some = classes.where(F.pmod("class", F.lit(SAMPLED)) == 0)
+    counted = written(some.mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    often = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = often.column("h").to_numpy().view(np.uint32), often.column("n").to_numpy()
+    up = np.argsort(h)
+    keys = classes.mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int")
+    shared = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key int, class long, size int, first long"), "blocks")
+
+    fits = shared.select("class", F.col("size").alias("s")).distinct()
+    led = shared.where("first <> class").select(F.col("first").alias("a"), F.col("class").alias("b"), "size").distinct()
+    led = led.join(fits.select(F.col("class").alias("a"), "s"), "a").where(F.least("s", "size") >= (least - 1e-9) * F.greatest("s", "size"))
+    sets = lambda c, m: classes.select(F.col("class").alias(c), F.col("members").alias(m))
+    pairs = led.select("a", "b").join(sets("a", "x"), "a").join(sets("b", "y"), "b").select("a", "b", "x", "y")
+    near = written(pairs.mapInArrow(_alike(least), "a long, b long"), "similar")
+
+    known = roots(near).withColumnRenamed("node", "class")
+    rooted = written(shared.select("key", "class", "size").join(known, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("u"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("v")).where("r <> s")
+    once = apart.groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key")
+    blocks = rooted.join(once, "key", "left_semi").join(classes, "class").select("key", "class", "root", "size", "members")
+    across = written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long"), "similar")
+    return near.unionByName(across)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(1):
+            yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), "<i4"))], names=["h"])
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -402,21 +461,22 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
     """
-    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("low", pa.list_(pa.int64())), ("members", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
                 name, members = zip(*[shingle_set(t.as_py() or b"", words) for t in some])
-                size, low = [len(x) // 4 for x in members], [np.frombuffer(x[: 4 * FINER], "<u4").tolist() for x in members]
-                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(members, pa.binary())], schema=schema)
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary())], schema=schema)
 
     @F.pandas_udf(T.LongType())
     def class_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set((t or "").encode(), words)[0] for t in texts], dtype="int64")
 
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, size long, low array<long>, members binary"), "shingle-sets")
-    of = roots(similar_links(made, least)).withColumnRenamed("node", "class")
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary"), "shingle-sets")
+    several = made.groupBy("class").agg(F.any_value("members").alias("members"))
+    classes = written(several.where(F.length("members") > 0), "classes")
+    of = roots(similar_links(classes, least)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
     return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
