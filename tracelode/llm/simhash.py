@@ -327,12 +327,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _prefixes(common: np.ndarray, often: np.ndarray, least: float):
-    """Reads (class, members); yields (key, class, size), a row for each hash of a set's prefix, see similar_links. common ascends."""
+    """Reads (class, members); yields (key, class, size, at), a row for each hash of a set's prefix, see similar_links. common ascends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                keys, name, size = [], [], []
+                keys, name, size, place = [], [], [], []
                 for c, x in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256)):
                     own = np.frombuffer(x.as_buffer(), "<u4")
                     n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
@@ -342,19 +342,20 @@ def _prefixes(common: np.ndarray, often: np.ndarray, least: float):
                     keys.append(own[:n])
                     name.append(np.full(n, c, np.int64))
                     size.append(np.full(n, len(own), np.int32))
+                    place.append(np.arange(n, dtype=np.int32))
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int32)), pa.array(np.concatenate(name)), pa.array(np.concatenate(size))], names=["key", "class", "size"])
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int32)), pa.array(np.concatenate(name)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place))], names=["key", "class", "size", "at"])
 
     return run
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch], read) -> Iterator[list[np.ndarray]]:
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches that are sorted by their first, cut so that no block of an equal first column is torn."""
     held = None
     for batch in batches:
         if not len(batch):
             continue
-        cols = read(batch)
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
         last = cols[0] == cols[0][-1]
@@ -366,14 +367,14 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], read) -> Iterator[list[np.n
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, class, size) sorted by (key, class); yields (key, class, size, first) of keys with two classes or more, first being their least."""
-    for key, name, size in _whole_blocks(batches, lambda b: [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]):
+    """Reads (key, class, size, at) sorted by (key, class); yields (key, class, size, at, first) of keys with two classes or more, first being their least."""
+    for key, name, size, place in _whole_blocks(batches):
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[edge, len(key)])
         several = np.repeat(count > 1, count)
         if several.any():
             first = np.repeat(name[edge], count)
-            yield pa.record_batch([pa.array(x[several]) for x in (key, name, size, first)], names=["key", "class", "size", "first"])
+            yield pa.record_batch([pa.array(x[several]) for x in (key, name, size, place, first)], names=["key", "class", "size", "at", "first"])
 
 
 def _alike(least: float):
@@ -388,28 +389,23 @@ def _alike(least: float):
 
 
 def _across(least: float):
-    """Reads (key, class, root, size, members) sorted by key; yields pairs that connect those of a block's roots that similar members connect."""
+    """Reads (key, class, size, at, root) sorted by key; yields the pairs of a block that may be similar and have different roots.
+
+    A pair's overlap reaches need; at the first hash that it shares no more than the rest
+    of either set is left to share, so that hash is among the first size - need + 1 of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(b: pa.RecordBatch) -> list[np.ndarray]:
-            members = np.empty(len(b), object)
-            members[:] = [np.frombuffer(x.as_py(), "<u4") for x in b.column(4)]
-            return [*(b.column(k).to_numpy(zero_copy_only=False) for k in range(4)), members]
-
-        for key, name, root, size, members in _whole_blocks(batches, read):
-            edge, links = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)], []
-            for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                part = root[begin:end].copy()
-                for i in range(begin, end - 1):
-                    fits = np.minimum(size[i], size[i + 1 : end]) >= (least - 1e-9) * np.maximum(size[i], size[i + 1 : end])
-                    for j in (np.flatnonzero(fits & (part[i + 1 - begin :] != part[i - begin])) + i + 1).tolist():
-                        x, y = part[i - begin], part[j - begin]
-                        if x != y and similarity(members[i], members[j]) >= least - 1e-9:
-                            links.append((name[i], name[j]))
-                            part[part == max(x, y)] = min(x, y)
-            if links:
-                pairs = np.array(links)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for key, name, size, place, root in _whole_blocks(batches):
+            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+            end = ends[np.searchsorted(ends, np.arange(len(key)), "right")]
+            for i in range(len(key) - 1):
+                j = slice(i + 1, end[i])
+                need = np.ceil(least / (1 + least) * (size[i].astype(np.int64) + size[j]) - 1e-6)
+                fits = (root[j] != root[i]) & (size[i] - place[i] >= need) & (size[j] - place[j] >= need)
+                if fits.any():
+                    other = name[j][fits]
+                    yield pa.record_batch([pa.array(np.minimum(other, name[i])), pa.array(np.maximum(other, name[i]))], names=["a", "b"])
 
     return run
 
@@ -421,33 +417,31 @@ def similar_links(classes: DataFrame, least: float) -> DataFrame:
     any one order of all hashes, they share one among the first size - ceil(least * size) + 1
     of each: these are a set's keys, and every pair meets under one. The order puts hashes
     that are common in a sample last, which keeps blocks small and decides nothing else.
-    First each class is compared with the least class of its blocks, once a pair, which
-    connects most of what is alike. Blocks whose classes are connected by then are done;
-    of those with the same classes one is kept; in what is left all pairs of a fitting
-    size that aren't connected yet are compared, on the whole sets.
+    First each class is compared with one other, the least class of most of its blocks,
+    which connects most of what is alike. Then all pairs of a block that aren't connected
+    yet and whose sizes and places in the order allow it are compared, each once.
     """
     some = classes.where(F.pmod("class", F.lit(SAMPLED)) == 0)
-    counted = written(some.mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    counted = written(some.select("class", "members").mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
     often = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = often.column("h").to_numpy().view(np.uint32), often.column("n").to_numpy()
     up = np.argsort(h)
-    keys = classes.mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int")
-    shared = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key int, class long, size int, first long"), "blocks")
+    keys = classes.select("class", "members").mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int, at int")
+    shared = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key int, class long, size int, at int, first long"), "blocks")
 
-    fits = shared.select("class", F.col("size").alias("s")).distinct()
-    led = shared.where("first <> class").select(F.col("first").alias("a"), F.col("class").alias("b"), "size").distinct()
-    led = led.join(fits.select(F.col("class").alias("a"), "s"), "a").where(F.least("s", "size") >= (least - 1e-9) * F.greatest("s", "size"))
-    sets = lambda c, m: classes.select(F.col("class").alias(c), F.col("members").alias(m))
-    pairs = led.select("a", "b").join(sets("a", "x"), "a").join(sets("b", "y"), "b").select("a", "b", "x", "y")
-    near = written(pairs.mapInArrow(_alike(least), "a long, b long"), "similar")
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        x, y = (classes.select(F.col("class").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y.join(pairs.select("b").distinct(), "b", "left_semi"), "b").select("a", "b", "x", "y")
+        return written(both.mapInArrow(_alike(least), "a long, b long"), "similar")
 
-    known = roots(near).withColumnRenamed("node", "class")
-    rooted = written(shared.select("key", "class", "size").join(known, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("u"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("v")).where("r <> s")
-    once = apart.groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key")
-    blocks = rooted.join(once, "key", "left_semi").join(classes, "class").select("key", "class", "root", "size", "members")
-    across = written(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long"), "similar")
-    return near.unionByName(across)
+    led = shared.where("first <> class").groupBy("class", "first").agg(F.count("*").alias("n"))
+    near = compared(led.groupBy("class").agg(F.max_by("first", F.struct("n", "first")).alias("b")).select(F.col("class").alias("a"), "b"))
+    rooted = written(shared.drop("first").join(roots(near).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    blocks = rooted.join(apart, "key", "left_semi").select("key", "class", "size", "at", "root")
+    across = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long").distinct()
+    return near.unionByName(compared(across))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,9 +468,9 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def class_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set((t or "").encode(), words)[0] for t in texts], dtype="int64")
 
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary"), "shingle-sets")
-    several = made.groupBy("class").agg(F.any_value("members").alias("members"))
-    classes = written(several.where(F.length("members") > 0), "classes")
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    one = written(made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row")), "classes")
+    classes = made.join(one.select("row"), "row", "left_semi").select("class", "members")
     of = roots(similar_links(classes, least)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
     return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
