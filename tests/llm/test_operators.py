@@ -441,3 +441,10 @@ def test_similar_texts_without_a_common_small_hash(spark):
             rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
     got = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(0, 12, 2))
+
+
+def test_one_long_text_leaves_the_buckets_alone(spark):
+    """With fewer lengths than buckets nothing is padded, however long the longest is."""
+    lengths = [1, 2, 3, 5, 7, 11, 200_001, 10_000_001]
+    sized = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    assert {r.length: r.padded for r in packing.pack(sized).collect()} == {x: x for x in lengths}

@@ -10,8 +10,6 @@ from .common import word_count, written
 
 #: Length buckets, and tokens of a batch with its padding.
 BUCKETS, BUDGET = 16, 16_384
-#: Bins of the histogram that reaches the driver. Longer texts widen the bins.
-MAX_BINS = 65_536
 #: Rows of a batch at most, which bounds batches of empty texts.
 MAX_ROWS = 16_384
 #: Hash ranges by which a bucket's rows are numbered.
@@ -65,15 +63,13 @@ def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, max_row
 
     A batch holds rows of one bucket, budget // padded of them (at least one: a text longer than
     the budget is a batch of its own), and only a bucket's last batch is not full. The
-    histogram is aggregated before the shuffle and has at most MAX_BINS rows at the driver. Rows
+    histogram is aggregated before the shuffle and has a row for each distinct length at the
+    driver: at most the root of twice the sum of all lengths, however long one text is. Rows
     are numbered in two levels, by hash range and inside it, so no task holds a bucket.
     A null length counts as 0; null ids and repeated rows are rows like others.
     """
     laid = written(sized.select("id", F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.xxhash64("id", "length").alias("h")), "lengths")
-    longest = laid.agg(F.max("length")).first()[0] or 0
-    width = max(1, -(-longest // MAX_BINS))
-    ceiling = lambda v: F.ceil(v / F.lit(width)) * width
-    bins = laid.groupBy((ceiling(F.col("length")) if width > 1 else F.col("length")).cast("long").alias("x")).agg(F.count("*").alias("m"))
+    bins = laid.groupBy(F.col("length").alias("x")).agg(F.count("*").alias("m"))
     histogram = sorted((r.x, r.m) for r in bins.collect())
     ends = boundaries([x for x, _ in histogram], [m for _, m in histogram], buckets) or [0]
     ends_col = F.array(*[F.lit(e).cast("long") for e in ends])
