@@ -129,22 +129,35 @@ def turns_to_events(turns: DataFrame) -> DataFrame:
 # --- raw transcripts -------------------------------------------------------------------------
 
 
-def sniff(head: str) -> str:
-    """The format of a transcript, told by its first kilobytes, never by its name."""
-    s = head.lstrip()
-    if s.startswith("{") and '"steps"' in s[:4096] and '"schema_version"' in s[:4096]:
-        return "atif"
+# Record types by which a transcript's first line is told.
+CODEX_TYPES = ("session_meta", "turn_context", "response_item", "event_msg", "compacted")
+CLAUDE_TYPES = ("queue-operation", "file-history-snapshot", "summary", "progress", "system", "user", "assistant", "attachment", "last-prompt", "permission-mode", "custom-title", "agent-name", "ai-title", "pr-link", "tool_use", "tool_result")
+
+
+def sniff(text: str) -> str:
+    """The format of a transcript, told by its whole first line, or by the whole text where that is one document; never by its name."""
+    s = text.lstrip("\ufeff \t\r\n")
+    if s.startswith("["):
+        return "json_array"
     try:
-        first = json.loads(s.splitlines()[0]) if s else {}
+        first = json.loads(s.split("\n", 1)[0])
     except ValueError:
-        return "json_array" if s.startswith("[") else "unknown"
-    if isinstance(first, list):
-        return "json_array"
-    if "payload" in first and "type" in first:
+        try:
+            first = json.loads(s)
+        except ValueError:
+            first = next(iter(_salvaged(s.split("\n", 1)[0])[0]), None)
+    if not isinstance(first, dict):
+        return "unknown"
+    kind = first.get("type")
+    if "steps" in first and "schema_version" in first:
+        return "atif"
+    if "payload" in first and kind in CODEX_TYPES:
         return "codex"
     if "role" in first and ("turn_number" in first or "turn_id" in first):
         return "turns"
-    if "sessionId" in first or "parentUuid" in first or ("type" in first and "message" in first):
+    if kind in ("user", "assistant") and isinstance(first.get("message"), str):
+        return "simple_text"
+    if "sessionId" in first or "parentUuid" in first or kind in CLAUDE_TYPES:
         return "claude_code"
     return "unknown"
 
@@ -246,9 +259,9 @@ def _atif(doc: dict) -> Iterator[dict]:
 
 def parse_transcript(text: str, name: str) -> list[dict]:
     """Events of one raw transcript, in order, in the event columns."""
-    form = sniff(text[:4096])
+    form = sniff(text)
     if form == "atif":
-        found = list(_atif(json.loads(text)))
+        found = list(_atif(json.loads(text.lstrip("\ufeff \t\r\n"))))
     elif form in ("claude_code", "codex"):
         records, _ = _salvaged(text)
         found = list((_claude if form == "claude_code" else _codex)(records))
@@ -277,6 +290,13 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("tool", X.normalize_tool(F.col("tool_raw")))
 
 
+def unread(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format) of the files that transcripts has no reader for and gives no rows of."""
+    told = F.udf(lambda t: sniff(t or ""), "string")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), told("value").alias("format"))
+    return files.where(~F.col("format").isin("atif", "claude_code", "codex"))
+
+
 class SQLiteSource(DataSource):
     """spark.read.format("sqlite").option("path", file).option("dbtable", name).schema(...): a table in rowid ranges."""
 
