@@ -160,3 +160,19 @@ def test_sqlite_and_sinks(spark, tmp_path):
     secret = spark.createDataFrame([("ghp_" + "a" * 36, None)], "text string, args string").withColumns({"command": F.lit(None).cast("string"), "stderr": F.lit(None).cast("string")})
     out, counts = readers.redacted(secret)
     assert out.first().text == "[github_token]" and [tuple(x) for x in counts.collect()] == [("text", "github_token", 1)]
+
+
+def test_long_first_lines_are_told(spark, tmp_path):
+    pad = "x" * 10_000
+    user = {"type": "user", "uuid": "1", "sessionId": "s", "message": {"role": "user", "content": "hi"}}
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, [{"type": "session_meta", "payload": {"instructions": pad, "id": "z"}}, {"type": "response_item", "payload": {"type": "message", "role": "user", "content": "go"}}])))
+    (tmp_path / "b.json").write_text(json.dumps({"notes": pad, "steps": [{"source": "user", "message": "do"}], "schema_version": "1", "session_id": "q"}, indent=1))
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, [{"type": "summary", "summary": pad}, user])))
+    (tmp_path / "d.txt").write_text("no transcript")
+    assert sorted((r.session_id, r.text) for r in readers.transcripts(spark, str(tmp_path)).collect()) == [("q", "do"), ("s", "hi"), ("z", "go")]
+    assert [(r.path.rsplit("/", 1)[-1], r.format) for r in readers.unread(spark, str(tmp_path)).collect()] == [("d.txt", "unknown")]
+
+
+def test_long_outputs_are_compared_by_character():
+    real = "\n".join(f"line {k} of the output, value 1" for k in range(70))
+    assert len(real) ** 2 > 4_000_000 and grammar.difference(real, real.replace("value 1", "value 2"))["ratio"] > 0.9
