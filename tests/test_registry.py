@@ -26,3 +26,11 @@ def test_gate_fill_and_compose(spark):
     calls = got.select("session_id", "call_key").distinct()
     final = {(r.session_id, r.call_key): (r.verdict, r.rule, r.reason, r.disagreement, r.blame_seq) for r in scoring.compose(calls, got, ["session_id", "call_key"]).collect()}
     assert final == {("a", "x"): ("contradicted", "one", "violation:one", True, 0), ("b", "x"): ("supported", "two", "ok:two", False, None), ("a", "y"): ("unconstrained", None, "abstain:not_decided", False, None), ("b", "y"): ("unconstrained", None, "abstain:not_decided", False, None)}
+
+
+def test_change_points_can_be_significant(spark):
+    from tracelode.plans import aggregates
+
+    rows = [("s", i, "result", float(i >= 20) * 100 + i % 3) for i in range(40)]
+    got = aggregates.change_points(spark.createDataFrame(rows, "session_id string, seq long, kind string, value double")).first()
+    assert got.p <= 0.01

@@ -91,7 +91,7 @@ def cluster_rate(elog):
 @R.query("change_points")
 def change_points(elog):
     few = elog.where("kind = 'result'").select("session_id", "seq", "value")
-    return stats.change_point(few, "session_id", "seq", "value", permutations=10)
+    return stats.change_point(few, "session_id", "seq", "value")
 
 
 _CELLS = "with q as (select session_id, count(*) as len, max(case when tool is null then 'none' else tool end) as stratum from {elog} group by 1), r as (select *, row_number() over (order by len, session_id) / cast(count(*) over () as double) as q from q), t as (select *, case when q <= 1.0 / 3 then 'short' when q <= 2.0 / 3 then 'mid' else 'long' end as tercile from r)"

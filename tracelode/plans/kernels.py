@@ -83,7 +83,7 @@ def perturb_plan(wlog):
 @R.query("perturb_detection", None, ("wlog",))
 def perturb_detection(wlog):
     log = clean_log(wlog)
-    plans = perturb.plan(log, sessions=10)
+    plans = perturb.plan(log)
     return perturb.detection(plans, structural.find(perturb.apply(log, plans)).select("key", "calls"))
 
 
