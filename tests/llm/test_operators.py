@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelode.llm import chat, media, mixing, packing, quality, queries, simhash, tokens, topk, toxicity, urls
+from tracelode.llm import chat, learn, media, mixing, packing, quality, queries, simhash, tokens, topk, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, fp long"
@@ -91,7 +91,7 @@ def test_pivots_discard_only_far_pairs():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**64, 300, np.uint64, endpoint=False)
     fps[150:] = fps[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
-    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    table = simhash.distances(fps)
     i, j = np.triu_indices(300, 1)
     a, b = simhash.survivors(fps, i, j, table, 2)
     near = np.bitwise_count(fps[i] ^ fps[j]) <= 2
@@ -270,6 +270,27 @@ def test_classifiers_on_odd_rows(spark, odd, none):
         assert m.fit_tables(odd, labels.limit(0)) is not None
 
 
+def test_samples_are_bounded(spark):
+    """Rows of one id count once, bytes have a bound, and a text too long for it takes no other's place."""
+    docs = spark.createDataFrame([(1, f"same {k:04d}") for k in range(5000)] + [(2, "x" * 300), (3, None), (4, "y" * 80), (5, "z" * 80), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k > 2)) for k in range(1, 6)] + [(1, 0, 0), (None, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = {r.id: r for r in learn.sample(docs, labels, "toxic", 1, 1, (3000, 3000), 128 * 100).collect()}
+    assert set(rows) == {1, 3, 4, 5} and rows[1].text == "same 0000" and rows[3].text == "" and rows[1].usual == 4 / 6
+    assert len(learn.sample(docs, labels, "toxic", 1, 1, (1, 2), 128 * 100).collect()) <= 3
+    few = learn.sample(docs, labels, "toxic", 1, 1, (3000, 3000), 128 * 100 // 80).where("y = 1").collect()
+    assert sum(len(r.text) for r in few) <= 80
+    model = learn.fitted(learn.sample(docs, labels, "quality", 1, 1), quality.fit)
+    assert 0 < model.score("a", quality.Shapes()) < 1
+
+
+def test_long_words_and_shapes_are_whole():
+    words = toxicity.tokens("a " + "x" * 10_000 + " b")
+    assert "".join(words) == "a" + "x" * 4096 + "x" * (10_000 - 8192) + "b"  # a word that repeats at once is taken once
+    scorer = toxicity.Scorer(toxicity.fit(["a b", "bad worse"] * 5, [0, 1] * 5, visits=100))
+    assert len(scorer(["é" * 300_000, "", "b"])) == 3
+    assert quality.shape("aA0" * 30) == "aA0" * 30 and quality.shape("Hello!!World") == "Aa!Aa"
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 

@@ -30,6 +30,11 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def wrapped(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one that an operator uses inside."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints.
 

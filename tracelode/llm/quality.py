@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .learn import PER_CLASS, TEXT_BYTES, fitted, sample
 
-#: Labelled texts of label 0 and 1 that the model is fitted on at most: those with the smallest seeded hashes.
-PER_CLASS = (1200, 1200)
-#: N-grams in fewer of those texts are left out.
+#: N-grams in fewer of the sample's texts are left out.
 MIN_TEXTS = 2
-#: Words whose shape a worker remembers; when full, it starts anew.
-MEMORY = 300_000
+#: N-grams of a model at most, the most frequent ones: the bound on what is broadcast.
+MAX_GRAMS = 400_000
+#: Words whose shape a worker remembers, none longer than LONG_WORD; when full, it starts anew.
+MEMORY, LONG_WORD = 300_000, 40
 THRESHOLD = 0.3
 
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-ÞẞŒŠŽ]+"), "A"), (re.compile(r"[^\W\dA_]+"), "a"), (re.compile(r"\d+"), "0"))
@@ -30,14 +30,16 @@ def shape(word: str) -> str:
     """A word with its runs of capitals, other letters and digits each as one sign, and repeated signs once."""
     for pattern, sign in _RUNS:
         word = pattern.sub(sign, word)
-    return _REPEAT.sub(r"\1", word)[:12]
+    return _REPEAT.sub(r"\1", word)
 
 
 class Shapes(dict):
     def __missing__(self, word: str) -> str:
-        if len(self) > MEMORY:
-            self.clear()
-        s = self[word] = shape(word)
+        s = shape(word)
+        if len(word) <= LONG_WORD:
+            if len(self) > MEMORY:
+                self.clear()
+            self[word] = s
         return s
 
 
@@ -148,13 +150,22 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: f
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     shapes, at_all, sets = Shapes(), {}, []  # texts are kept as numbers of their n-grams
+    marks = np.concatenate([np.fromiter(map(hash, ngrams(t, shapes)), np.int64) for t in texts])
+    marks.sort()
+    marks = np.unique(marks[1:][marks[1:] == marks[:-1]])  # those of n-grams that may be in two texts
     for t in texts:
-        sets.append(np.fromiter((at_all.setdefault(f, len(at_all)) for f in ngrams(t, shapes)), np.int32))
+        grams = list(ngrams(t, shapes))
+        h = np.fromiter(map(hash, grams), np.int64, len(grams))
+        met = marks[np.minimum(np.searchsorted(marks, h), len(marks) - 1)] == h if len(marks) else np.zeros(len(h), bool)
+        sets.append(np.fromiter((at_all.setdefault(grams[k], len(at_all)) for k in np.flatnonzero(met)), np.int32))
     count = np.zeros((len(at_all), 2))
     for s, sign, out in zip(sets, y, held):
         if not out:
             count[s, int(sign > 0)] += 1
-    common = np.flatnonzero(count.sum(1) >= MIN_TEXTS)
+    often = count.sum(1)
+    common = np.flatnonzero(often >= MIN_TEXTS)
+    if len(common) > MAX_GRAMS:  # ties to the gram met first
+        common = np.sort(common[np.argsort(-often[common], kind="stable")[:MAX_GRAMS]])
     place = np.full(len(at_all), -1)
     place[common] = np.arange(len(common))
     at_of = {f: int(place[k]) for f, k in at_all.items() if place[k] >= 0}
@@ -180,19 +191,6 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: f
     return Model({f: (float(w[k] * ratio[k]), float(ratio[k] ** 2)) for f, k in at_of.items() if ratio[k]}, float(w[-1]), slope, shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, kept_out: int, per_class: tuple[int, int], seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float | None]:
-    """Texts and labels to learn from, and the share of label 1: labelled rows outside the held-out fold, of each class those with the smallest hashes."""
-    own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
-    own = own.where(crc_fold(F.col("id"), folds) != kept_out)
-    picked = None
-    for k in (0, 1):
-        some = own.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(per_class[k])
-        picked = some if picked is None else picked.unionByName(some)
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    rows = found.select("id", "text", "y").toPandas().sort_values(["id", "text"])
-    return rows.text.tolist(), rows.y.tolist(), own.agg(F.avg("y")).first()[0]
-
-
 def score(model: Model, text: Column, spark) -> Column:
     """The probability of label 1 as a double, for every whole text; null counts as empty."""
     held = spark.sparkContext.broadcast(model)
@@ -206,6 +204,6 @@ def score(model: Model, text: Column, spark) -> Column:
     return quality(text)
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """The model that the quality labels outside fold 0 of 5 give; at most per_class texts reach the driver."""
-    return fit(*sample(docs, labels, "quality", 5, 0, per_class))
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, text_bytes: int = TEXT_BYTES) -> Model:
+    """The model that the quality labels outside fold 0 of 5 give, fitted by one executor task on a bounded sample; see learn.sample."""
+    return fitted(sample(docs, labels, "quality", 5, 0, per_class, text_bytes), fit)

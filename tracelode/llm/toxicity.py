@@ -11,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import platt, sample
+from .learn import PER_CLASS, TEXT_BYTES, fitted, sample
+from .quality import platt
 
-#: Labelled texts of label 0 and 1 that the model is fitted on at most.
-PER_CLASS = (2400, 1200)
 #: Words of a bag. A text is scored by its worst bag, so that length dilutes nothing.
 BAG = 12
-#: Bags of a text that a pass of the fit sees at most, drawn with a seed.
-BAGS = 12
 DIM, SLOTS, SHORTEST, LONGEST = 8, 1 << 17, 3, 5
+#: A run of more characters without white space is taken as several words of so many.
+LONG_WORD = 4096
+#: Characters of words that are hashed at a time.
+STEP = 200_000
 #: Words whose scores a worker remembers; when full, it starts anew.
 MEMORY = 300_000
 THRESHOLD = 0.3
@@ -61,9 +62,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def tokens(text: str) -> list[str]:
     """The words of a whole text, a word that repeats at once being taken once."""
     words = text.split()
+    if len(text) > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:
+        words = [w[at : at + LONG_WORD] for w in words for at in range(0, len(w), LONG_WORD)]
     return [w for w, before in zip(words, ["", *words]) if w != before]
 
 
+def _steps(words: list[str]) -> Iterator[list[str]]:
+    """The words in order, some at a time."""
+    at, chars = 0, 0
+    for k, w in enumerate(words):
+        if chars > STEP:
+            yield words[at:k]
+            at, chars = k, 0
+        chars += len(w)
+    if words:
+        yield words[at:]
+
+
 def bags(n: int, size: int = BAG) -> list[tuple[int, int]]:
     """Word ranges of overlapping bags that cover n words; a bag may be shorter than size, and no words are one empty bag."""
     step = max(1, size // 2)
@@ -91,9 +106,7 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for some in _steps(sorted(words)):
             slots, owner = subwords(some)
             value = np.bincount(owner, self.pull[slots]) / np.bincount(owner)
             self.known.update(zip(some, value.tolist()))
@@ -126,36 +139,57 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
 
 
-def _mean_rows(table: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[flat], _starts(lengths), axis=0) / lengths[:, None]
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then from begin[1] on, and so on."""
+    return np.repeat(begin - _starts(size), size) + np.arange(size.sum())
+
 
+@dataclass
+class Words:
+    """Distinct words as ranges of one array of slots."""
+
+    slots: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
 
-def _train(words: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, model: Model, rounds: int, seed: int, rate: float = 0.3, batch: int = 256) -> None:
-    """Adagrad over bags: vectors and the softmax layer move together."""
+    @classmethod
+    def of(cls, names: list[str]) -> Words:
+        found, sizes = [], []
+        for some in _steps(names):
+            slots, owner = subwords(some)
+            found.append(slots[np.argsort(owner, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(owner))
+        size = np.concatenate(sizes)
+        return cls(np.concatenate(found), _starts(size), size)
+
+    def means(self, vectors: np.ndarray) -> np.ndarray:
+        """The value of each word, where vectors has one number a slot."""
+        return np.add.reduceat(vectors[self.slots], self.begin) / self.size
+
+
+def _train(words: Words, tokens_of: np.ndarray, first: np.ndarray, last: np.ndarray, y: np.ndarray, weight: np.ndarray, model: Model, rounds: int, seed: int, rate: float = 0.3, batch: int = 256) -> None:
+    """Adagrad over bags, ranges first to last of all texts' words: vectors and the softmax layer move together."""
     rng = np.random.default_rng(seed)
     g_vec, g_out, g_base = np.full(len(model.vectors), 1e-6), np.full(model.out.shape, 1e-6), np.full(2, 1e-6)
     for _ in range(rounds):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(first))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            size = np.array([len(texts[i]) for i in own])  # never 0: a text without words holds one empty word
-            used, back = np.unique(np.concatenate([texts[i] for i in own]), return_inverse=True)
-            grams = [words[u] for u in used]
-            n = np.array([len(g) for g in grams])
-            flat = np.concatenate(grams)
-            e_word = _mean_rows(model.vectors, flat, n)
+            size = last[own] - first[own]  # never 0: a text without words holds one empty word
+            used, back = np.unique(tokens_of[_runs(first[own], size)], return_inverse=True)
+            n = words.size[used]
+            slots, place = np.unique(words.slots[_runs(words.begin[used], n)], return_inverse=True)
+            e_word = np.add.reduceat(model.vectors[slots][place], _starts(n), axis=0) / n[:, None]
             e_bag = np.add.reduceat(e_word[back], _starts(size), axis=0) / BAG
             z = e_bag @ model.out + model.base
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
             d = p * weight[own][:, None] / len(own)
-            d_out, d_base, d_bag = e_bag.T @ d, d.sum(0), d @ model.out.T
-            d_word = np.zeros_like(e_word)
-            np.add.at(d_word, back, np.repeat(d_bag / BAG, size, axis=0))
-            slots, place = np.unique(flat, return_inverse=True)
+            d_out, d_base, d_bag = e_bag.T @ d, d.sum(0), np.repeat(d @ model.out.T / BAG, size, axis=0)
+            d_word = np.stack([np.bincount(back, d_bag[:, k], len(used)) for k in range(DIM)], 1)
             each = np.repeat(d_word / n[:, None], n, axis=0)
-            d_vec = np.stack([np.bincount(place, each[:, k], len(slots)) for k in range(each.shape[1])], 1)
+            d_vec = np.stack([np.bincount(place, each[:, k], len(slots)) for k in range(DIM)], 1)
             g_vec[slots] += (d_vec * d_vec).mean(1)
             g_out += d_out * d_out
             g_base += d_base * d_base
@@ -169,8 +203,8 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, visits:
 
     A text of label 1 says only that some of its bags are bad. The first pass takes all of
     them as such; the second keeps those that the first holds for bad, at least the worst
-    one, and starts anew. A pass goes over its bags 3 to 30 times, about visits in all. Every fifth
-    text stays out of both and turns log odds into probabilities, label 1 having the usual share.
+    one, and starts anew. A pass goes over all its bags 3 to 30 times, about visits in all where that
+    is enough for 3. Every fifth text stays out of both and turns log odds into probabilities, label 1 having the usual share.
     """
     rng = np.random.default_rng(seed)
     start = lambda: Model((rng.random((SLOTS, DIM)) - 0.5) / DIM, (rng.random((DIM, 2)) - 0.5), np.zeros(2))
@@ -182,46 +216,36 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, visits:
     if len(set(y_all[held])) < 2 or len(set(y_all[~held])) < 2:
         held[:] = False
     ids: dict[str, int] = {}
-    clean, bad = [], []
+    rows, clean, bad, so_far = [], [], [], 0
     for t, label, out in zip(texts, labels, held):
         if not out:
             row = np.array([ids.setdefault(w, len(ids)) for w in tokens(t) or [""]], np.int32)
-            (bad if label == 1 else clean).append(row)
-    names, words = list(ids), []
-    for at in range(0, len(names), 20_000):
-        slots, owner = subwords(names[at : at + 20_000])
-        order = np.argsort(owner, kind="stable")
-        words += np.split(slots[order].astype(np.int32), np.cumsum(np.bincount(owner))[:-1])
-
-    def some(rows: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for row in rows:
-            ranges = bags(len(row))
-            picked = range(len(ranges)) if len(ranges) <= BAGS else sorted(rng.choice(len(ranges), BAGS, replace=False))
-            out += [row[slice(*ranges[i])] for i in picked]
-        return out
-
-    def passed(chosen: list[np.ndarray], heavy: float) -> Model:
-        rows = some(clean)
-        rounds = min(30, max(3, visits // (len(rows) + len(chosen))))
-        y = np.r_[np.zeros(len(rows), int), np.ones(len(chosen), int)]
+            (bad if label == 1 else clean).append(np.array(bags(len(row))) + so_far)
+            rows.append(row)
+            so_far += len(row)
+    tokens_of, words = np.concatenate(rows), Words.of(list(ids))
+    quiet = np.concatenate(clean)
+
+    def passed(chosen: np.ndarray, heavy: float) -> Model:
+        both = np.concatenate([quiet, chosen])
+        rounds = min(30, max(3, visits // len(both)))
+        y = np.r_[np.zeros(len(quiet), int), np.ones(len(chosen), int)]
         model = start()
-        _train(words, rows + chosen, y, np.where(y == 1, heavy * len(rows) / len(chosen), 1.0), model, rounds, seed)
+        _train(words, tokens_of, both[:, 0], both[:, 1], y, np.where(y == 1, heavy * len(quiet) / len(chosen), 1.0), model, rounds, seed)
         return model
 
-    first = passed(some(bad), 1.0)
-    value = np.array([first.vectors[g].mean(0) for g in words]) @ (first.out[:, 1] - first.out[:, 0]) / BAG
-    base = first.base[1] - first.base[0]
+    first = passed(np.concatenate(bad), 1.0)
+    up = np.r_[0.0, np.cumsum(words.means(first.vectors @ (first.out[:, 1] - first.out[:, 0]) / BAG)[tokens_of])]
     chosen = []
-    for row in bad:
-        ranges = bags(len(row))
-        odds = np.array([value[row[a:b]].sum() for a, b in ranges]) + base
-        keep = np.flatnonzero(odds >= max(0.0, odds.max() / 2))
-        chosen += [row[slice(*ranges[i])] for i in (keep if len(keep) else [int(odds.argmax())])]
-    model = passed(chosen, 0.3)
+    for ranges in bad:
+        odds = up[ranges[:, 1]] - up[ranges[:, 0]] + first.base[1] - first.base[0]
+        keep = odds >= max(0.0, odds.max() / 2)
+        chosen.append(ranges[keep] if keep.any() else ranges[[odds.argmax()]])
+    model = passed(np.concatenate(chosen), 0.3)
     scorer = Scorer(model)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
     model.slope, model.shift = platt(np.array(scorer.worst([texts[i] for i in check])), np.where(y_all[check] == 1, 1, -1), usual)
+    model.vectors = model.vectors.astype(np.float32)
     return model
 
 
@@ -238,6 +262,6 @@ def score(model: Model, text: Column, spark) -> Column:
     return toxicity(text)
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """The model that the toxicity labels outside fold 2 of 4 give; at most per_class texts reach the driver."""
-    return fit(*sample(docs, labels, "toxic", 4, 2, per_class))
+def fit_tables(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, text_bytes: int = TEXT_BYTES) -> Model:
+    """The model that the toxicity labels outside fold 2 of 4 give, fitted by one executor task on a bounded sample; see learn.sample."""
+    return fitted(sample(docs, labels, "toxic", 4, 2, per_class, text_bytes), fit)
