@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import wrapped, written
 
-#: Reference fingerprints whose distances to every fingerprint form the table.
-N_PIVOTS = 32
+#: Reference fingerprints whose distances to every fingerprint form its row of the table.
+N_PIVOTS = 16
 #: Blocks of candidates with more distinct fingerprints are split by further bits.
 MAX_BLOCK = 1024
 #: Shingles hashed at a time, so that a very long text needs little more memory than itself.
@@ -78,16 +78,27 @@ def pivots(seed: int = 7, n: int = N_PIVOTS) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64, endpoint=False)
 
 
-def survivors(fps: np.ndarray, i: np.ndarray, j: np.ndarray, distances: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def distances(fps: np.ndarray) -> np.ndarray:
+    """The pivot table: Hamming distances of unsigned fingerprints to all pivots, a byte each."""
+    return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.uint8)
+
+
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (fp); yields (fp, table)."""
+    for b in batches:
+        table = distances(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.record_batch([b.column(0), pa.array([row.tobytes() for row in table], pa.binary())], names=["fp", "table"])
+
+
+def survivors(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the index pairs, those within the radius.
 
     By the triangle inequality a pivot's distances to two fingerprints differ by no more
     than their own distance, so a pair goes as soon as one coordinate differs by more
     than the radius. What the table leaves is verified bit by bit.
     """
-    for k in range(0, distances.shape[1], 8):
-        apart = np.abs(distances[i, k : k + 8] - distances[j, k : k + 8]).max(1)
-        i, j = i[apart <= radius], j[apart <= radius]
+    apart = np.abs(table[i].astype(np.int8) - table[j].astype(np.int8)).max(1, initial=0)
+    i, j = i[apart <= radius], j[apart <= radius]
     near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
     return i[near], j[near]
 
@@ -109,65 +120,68 @@ def _stars(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in list(above) if top(x) != x]
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int32())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int32()), ("table", pa.binary())])
 
 
 def _links(radius: int, limit: int | None):
-    """Reads (path, part, fp) sorted by (path, part); yields stars of what is linked and, for blocks beyond the limit, their rows (b null)."""
+    """Reads (path, part, fp, table) sorted by (path, part, table); yields stars of what is linked and, for blocks beyond the limit, their rows (b null).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = pivots()
+    As a block is sorted by its distances to the first pivot, a row meets only those behind it that are
+    within the radius there; the other pivots discard most of these before any bit is compared.
+    """
 
-        def out(a, b, path) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int32())], schema=_LINK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a, b, path, held) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int32()), pa.array(held, pa.binary())], schema=_LINK)
 
-        def settle(path, part, fp) -> Iterator[pa.RecordBatch]:
+        def settle(path, part, fp, held) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
             size = np.diff(np.r_[edge, len(fp)])
             block = np.repeat(np.arange(len(edge)), size)
             large = np.repeat(size > limit, size) if limit else np.zeros(len(fp), bool)
             if large.any():
-                yield out(fp[large], [None] * int(large.sum()), path[large])
+                yield out(fp[large], [None] * int(large.sum()), path[large], held[large])
             fps = fp.view(np.uint64)
-            distances = np.bitwise_count(fps[:, None] ^ table_of[None, :]).astype(np.int8)
+            table = np.frombuffer(b"".join(held), np.uint8).reshape(len(fp), -1)
+            first = table[:, 0].astype(np.int16)
             near_i, near_j, at, step = [], [], np.flatnonzero(~large), 0
             while len(at):
                 step += 1
                 at = at[at + step < len(fp)]
-                at = at[block[at] == block[at + step]]
-                i, j = survivors(fps, at, at + step, distances, radius)
+                at = at[(block[at] == block[at + step]) & (first[at + step] - first[at] <= radius)]
+                i, j = survivors(fps, at, at + step, table[:, 1:], radius)
                 near_i.append(i)
                 near_j.append(j)
             kept = _stars(np.concatenate(near_i), np.concatenate(near_j)) if near_i else []
             if kept:
                 pick = np.array(kept)
-                yield out(fp[pick[:, 0]], fp[pick[:, 1]], path[pick[:, 0]])
+                yield out(fp[pick[:, 0]], fp[pick[:, 1]], path[pick[:, 0]], [None] * len(pick))
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         beyond = None  # the block that has outgrown the limit
         for batch in batches:
-            path, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             if beyond is not None:
-                same = (path == beyond[0]) & (part == beyond[1])
+                same = (cols[0] == beyond[0]) & (cols[1] == beyond[1])
                 if same.any():
-                    yield out(fp[same], [None] * int(same.sum()), path[same])
-                    path, part, fp = path[~same], part[~same], fp[~same]
-                if not len(fp):
+                    yield out(cols[2][same], [None] * int(same.sum()), cols[0][same], cols[3][same])
+                    cols = [x[~same] for x in cols]
+                if not len(cols[0]):
                     continue
                 beyond = None
-            held.append((path, part, fp))
-            path, part, fp = (np.concatenate(x) for x in zip(*held))
+            held.append(cols)
+            cols = [np.concatenate(x) for x in zip(*held)]
             held = []
-            if not len(fp):
+            if not len(cols[0]):
                 continue
-            last = (path == path[-1]) & (part == part[-1])
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             if not last.all():
-                yield from settle(path[~last], part[~last], fp[~last])
+                yield from settle(*[x[~last] for x in cols])
             if limit and last.sum() > limit:
-                beyond = (path[-1], part[-1])
-                yield out(fp[last], [None] * int(last.sum()), path[last])
+                beyond = (cols[0][-1], cols[1][-1])
+                yield out(cols[2][last], [None] * int(last.sum()), cols[0][last], cols[3][last])
             else:
-                held = [(path[last], part[last], fp[last])]
+                held = [[x[last] for x in cols]]
         if held:
             yield from settle(*held[0])
 
@@ -203,25 +217,24 @@ def linked(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataF
         raise ValueError("the four bands guarantee pairs of up to two differing bits")
     # a path numbers the choices made so far; fixed bits add up along it
     ways = {0: (0, list(range(64)))}
-    rows, found = fps.select(F.col("fp"), F.lit(0).alias("path")), []
+    tabled = fps.select(F.col("fp").cast("long")).mapInArrow(_tabled, "fp long, table binary")
+    rows, found = tabled.withColumn("path", F.lit(0)), []
     for level in range(3):
-        after, choice = {}, []
+        after, choices = {}, {}
         for path, (fixed, free) in ways.items():
             for k, (mask, left) in enumerate(_splits(free)):
                 after[path * 6 + k + 1] = (fixed | mask, left)
-                choice.append((path, path * 6 + k + 1, fixed | mask))
+                choices.setdefault(path, []).append((path * 6 + k + 1, fixed | mask))
         ways = after
-        if level == 0:
-            blocks = rows.select(F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for _, p, m in choice])).alias("x"), "fp")
-        else:
-            options = F.create_map(*[x for way in sorted({w for w, _, _ in choice}) for x in (F.lit(way), F.array(*[F.struct(F.lit(p).alias("path"), F.lit(m).alias("mask")) for w, p, m in choice if w == way]))])
-            blocks = rows.select(F.explode(F.element_at(options, F.col("path"))).alias("y"), "fp").select(F.struct(F.col("y.path").alias("path"), F.col("fp").bitwiseAND(F.col("y.mask")).alias("part")).alias("x"), "fp")
+        offered = {w: F.array(*[F.struct(F.lit(p).alias("path"), F.lit(m).alias("mask")) for p, m in own]) for w, own in sorted(choices.items())}
+        options = offered[0] if level == 0 else F.element_at(F.create_map(*[x for w, own in offered.items() for x in (F.lit(w), own)]), F.col("path"))
+        blocks = rows.select(F.explode(options).alias("y"), "fp", "table")
         # the masked bits name a block together with its path, whatever it was split from
-        blocks = blocks.select(F.col("x.path").cast("int").alias("path"), F.col("x.part").alias("part"), "fp")
-        ranked = blocks.repartition("path", "part").sortWithinPartitions("path", "part", "fp")
-        made = written(ranked.mapInArrow(_links(radius, max_block if level < 2 else None), "a long, b long, path int"), "links")
+        blocks = blocks.select(F.col("y.path").cast("int").alias("path"), F.col("fp").bitwiseAND(F.col("y.mask")).alias("part"), "fp", "table")
+        ranked = blocks.repartition("path", "part").sortWithinPartitions("path", "part", "table", "fp")
+        made = written(ranked.mapInArrow(_links(radius, max_block if level < 2 else None), "a long, b long, path int, table binary"), "links")
         found.append(made.where("b is not null").select("a", "b"))
-        rows = made.where("b is null").select(F.col("a").alias("fp"), "path").distinct()
+        rows = made.where("b is null").select(F.col("a").alias("fp"), "path", "table").distinct()
         if level == 2 or rows.isEmpty():
             break
     links = found[0]
@@ -277,35 +290,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def _keep(docs: DataFrame, known: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
+def _keep(docs: DataFrame, known: DataFrame, mark, id_col: str, text_col: str) -> DataFrame:
     """docs with one row for each root of known(id, mark, root): that of the smallest id, nulls last, then smallest mark.
 
-    Where an id is on several rows, the mark tells them apart, and of rows equal in both
-    one stays.
+    Where an id is on several rows, mark(text) tells them apart, and of rows equal in both
+    the one with the least text, then the least JSON of all columns, stays. The columns of docs
+    travel as one struct, whatever their names.
     """
     first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("r")).select("r.id", "r.mark")
     several = written(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated")
-    own = docs[id_col]
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), wrapped(docs))
     if several.isEmpty():
-        return docs.join(first.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
-    once = first.join(several.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
-    kept = docs.join(once.select(F.col("id").alias("_id")), own == F.col("_id"), "left_semi")
-    again = docs.join(several.select(F.col("id").alias("_id")), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_mark", mark)
-    again = again.join(first.select(F.col("id").alias("_id"), F.col("mark").alias("_first")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_first")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_mark").orderBy(text_col))
-    return kept.unionByName(again.withColumn("_nth", nth).where("_nth = 1").drop("_mark", "_nth"))
+        return own.join(first.select("id"), "id", "left_semi").select("row.*")
+    x, y = own.alias("x"), several.alias("y")
+    same = F.col("x.id").eqNullSafe(F.col("y.id"))
+    once = first.alias("x").join(y, same, "left_anti")
+    kept = x.join(once.alias("y"), same, "left_semi").select("row.*")
+    again = x.join(y, same, "left_semi").select("id", "text", mark(F.col("text")).alias("mark"), "row")
+    again = again.alias("x").join(first.alias("y"), same & (F.col("x.mark") == F.col("y.mark")), "left_semi")
+    one = again.groupBy("id", "mark").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
     """docs with one row of each component of near_duplicates; see _keep."""
     known = written(components(docs, id_col, text_col, words, radius, max_block), "components").withColumnRenamed("fp", "mark")
-    return _keep(docs, known, fingerprint(F.col(text_col), words), id_col, text_col)
+    return _keep(docs, known, lambda text: fingerprint(text, words), id_col, text_col)
 
 
 # --- similarity of shingle sets ----------------------------------------------------------------
 
 #: Classes of which one in so many is looked at for common hashes, and how many of those are told apart. Both only order the hashes; no result depends on them.
 SAMPLED, COMMON = 16, 100_000
+#: Cells of the hash range whose counts are a set's pivot table; a power of two.
+CELLS = 32
 
 
 def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
@@ -326,6 +344,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
+def counts(members: np.ndarray) -> np.ndarray:
+    """How many hashes of an ascending set lie in each of CELLS equal ranges, at most 255 each."""
+    edges = np.arange(CELLS, dtype=np.uint64) << np.uint64(32 - CELLS.bit_length() + 1)
+    return np.minimum(np.diff(np.r_[np.searchsorted(members, edges.astype(np.uint32)), len(members)]), 255).astype(np.uint8)
+
+
+def pivots_allow(x: np.ndarray, y: np.ndarray, both, least: float) -> np.ndarray:
+    """Whether the pivot distances of two sets (x, y: rows of counts; both: their sizes' sum) leave a similarity of `least` possible.
+
+    The reference fingerprints are all 2 ** CELLS unions of the cells. A set's Hamming distance to
+    such a reference P is |P| + |A| - 2 |A and P|, so the largest coordinate difference of
+    two sets over all references is the sum over the cells of their counts' differences (P being the cells
+    in which the second holds more). It never exceeds the sets' own distance, as a capped count
+    never differs by more than the count; and that is (1 - s) / (1 + s) * (|A| + |B|) at similarity s.
+    """
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1, dtype=np.int64)
+    return apart <= (1 - least) / (1 + least) * both + 1e-6
+
+
 def _prefixes(common: np.ndarray, often: np.ndarray, least: float):
     """Reads (class, members); yields (key, class, size, at), a row for each hash of a set's prefix, see similar_links. common ascends."""
 
@@ -389,29 +426,38 @@ def _alike(least: float):
 
 
 def _across(least: float):
-    """Reads (key, class, size, at, root) sorted by key; yields the pairs of a block that may be similar and have different roots.
+    """Reads (key, class, size, at, root, table) sorted by (key, size); yields the pairs of a block that may be similar and have different roots.
 
     A pair's overlap reaches need; at the first hash that it shares no more than the rest
-    of either set is left to share, so that hash is among the first size - need + 1 of each.
+    of either set is left to share, so that hash is among the first size - need + 1 of each. Sizes
+    beyond size / least end a row's partners. What is left goes to the pivot table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, name, size, place, root in _whole_blocks(batches):
+        for key, name, size, place, root, held in _whole_blocks(batches):
+            table = np.frombuffer(b"".join(held), np.uint8).reshape(-1, CELLS)
             ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
-            end = ends[np.searchsorted(ends, np.arange(len(key)), "right")]
-            for i in range(len(key) - 1):
-                j = slice(i + 1, end[i])
-                need = np.ceil(least / (1 + least) * (size[i].astype(np.int64) + size[j]) - 1e-6)
-                fits = (root[j] != root[i]) & (size[i] - place[i] >= need) & (size[j] - place[j] >= need)
-                if fits.any():
-                    other = name[j][fits]
-                    yield pa.record_batch([pa.array(np.minimum(other, name[i])), pa.array(np.maximum(other, name[i]))], names=["a", "b"])
+            size = size.astype(np.int64)
+            found = [], []
+            for begin, stop in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                last = begin + np.searchsorted(size[begin:stop], size[begin:stop] / least + 1e-6, "right")
+                for i in range(begin, stop - 1):
+                    j = np.arange(i + 1, last[i - begin])
+                    j = j[root[j] != root[i]]
+                    need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6)
+                    j = j[(size[i] - place[i] >= need) & (size[j] - place[j] >= need)]
+                    if len(j):
+                        j = j[pivots_allow(table[i], table[j], size[i] + size[j], least)]
+                        found[0].append(np.minimum(name[i], name[j]))
+                        found[1].append(np.maximum(name[i], name[j]))
+            if found[0]:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], names=["a", "b"])
 
     return run
 
 
 def similar_links(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b) between the classes of classes(class, members), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
+    """(a, b) between the classes of classes(class, members, table), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
 
     Two sets of that similarity share at least ceil(least * size) hashes of either. So, in
     any one order of all hashes, they share one among the first size - ceil(least * size) + 1
@@ -419,7 +465,8 @@ def similar_links(classes: DataFrame, least: float) -> DataFrame:
     that are common in a sample last, which keeps blocks small and decides nothing else.
     First each class is compared with one other, the least class of most of its blocks,
     which connects most of what is alike. Then all pairs of a block that aren't connected
-    yet and whose sizes and places in the order allow it are compared, each once.
+    yet and that their sizes, places in the order and pivot tables allow are compared, each once:
+    only their sets are moved.
     """
     some = classes.where(F.pmod("class", F.lit(SAMPLED)) == 0)
     counted = written(some.select("class", "members").mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
@@ -437,10 +484,11 @@ def similar_links(classes: DataFrame, least: float) -> DataFrame:
 
     led = shared.where("first <> class").groupBy("class", "first").agg(F.count("*").alias("n"))
     near = compared(led.groupBy("class").agg(F.max_by("first", F.struct("n", "first")).alias("b")).select(F.col("class").alias("a"), "b"))
-    rooted = written(shared.drop("first").join(roots(near).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    rooted = classes.select("class", "table").join(roots(near).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = written(shared.drop("first").join(rooted, "class"), "rooted")
     apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    blocks = rooted.join(apart, "key", "left_semi").select("key", "class", "size", "at", "root")
-    across = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long").distinct()
+    blocks = rooted.join(apart, "key", "left_semi").select("key", "class", "size", "at", "root", "table")
+    across = blocks.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_across(least), "a long, b long").distinct()
     return near.unionByName(compared(across))
 
 
@@ -455,22 +503,23 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
     """
-    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("members", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("members", pa.binary()), ("table", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
                 name, members = zip(*[shingle_set(t.as_py() or b"", words) for t in some])
-                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary())], schema=schema)
+                tables = [counts(np.frombuffer(m, "<u4")).tobytes() for m in members]
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary()), pa.array(tables, pa.binary())], schema=schema)
 
     @F.pandas_udf(T.LongType())
     def class_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set((t or "").encode(), words)[0] for t in texts], dtype="int64")
 
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     one = written(made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row")), "classes")
-    classes = made.join(one.select("row"), "row", "left_semi").select("class", "members")
+    classes = made.join(one.select("row"), "row", "left_semi").select("class", "members", "table")
     of = roots(similar_links(classes, least)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
-    return _keep(docs, known, class_of(F.col(text_col)), id_col, text_col)
+    return _keep(docs, known, class_of, id_col, text_col)
