@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelode.llm import chat, learn, media, mixing, packing, quality, queries, simhash, tokens, topk, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, fp long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, fp long, _id long, row long, id string, tie string, copy int, mark long, root long, all string, piece int, class long, key int, score double, nth int"
 LONG = "word " * 50_000
 
 
@@ -21,7 +21,7 @@ LONG = "word " * 50_000
 def odd(spark):
     """Nulls everywhere, empty and long texts, repeats, and columns whose names the operators use inside."""
     rows = [(1, "a b c d", "en", "s1", 7, 1, "x", 1), (1, "a b c d", "en", "s1", 7, 1, "x", 1), (2, "", None, "s2", 0, None, None, None), (3, None, None, None, None, None, None, None), (None, "a b c d", "en", "s1", 7, 1, "x", 1), (4, LONG, "en", "s1", len(LONG), 1, "x", 1), (5, " \n\t ", "en", "s3", 4, 1, "x", 1), (6, "a b c e", "en", None, 7, 1, "x", 1)]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, 1, 2, "i", "t", 3, 4, 5, "a", 6, 7, 8, 0.5, 9) for r in rows], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -167,6 +167,7 @@ def test_sainte_lague_is_highest_quotients(spark):
         seats = rng.randrange(0, 60)
         df = spark.createDataFrame([(0, k, float(v), seats) for k, v in enumerate(votes)], "g int, key int, votes double, seats long")
         got = {r.key: r.won for r in mixing.sainte_lague(df, ["g"], "key", "votes", "seats").collect()}
+        assert got == {r.key: r.won for r in mixing.sainte_lague(df, [], "key", "votes", "seats").collect()}
         best = sorted(((-v / (2 * t - 1), k, t) for k, v in enumerate(votes) if v > 0 for t in range(1, seats + 1)))[:seats]
         assert got == {k: sum(b[1] == k for b in best) for k in range(len(votes))}
 
@@ -396,6 +397,31 @@ def test_packing(spark, odd, none):
         assert len(rs) == per or (bucket, batch + 1) not in batches
     got = packing.pack_texts(odd).collect()
     assert len(got) == 8 and max(r.length for r in got) == 50_000 and packing.pack_texts(none).count() == 0
+    whole = packing.packed_rows(odd)
+    assert sorted((r.doc_id or 0, r.text or "", r.length) for r in whole.collect()) == sorted((r.doc_id or 0, r.text or "", len((r.text or "").split())) for r in odd.collect())
+    assert whole.columns == [*odd.columns, "length", "bucket", "padded", "batch", "slot"] and packing.packed_rows(none).count() == 0
+
+
+def test_packing_pads_least(spark):
+    """The query's padding is the least over all choices of ends, by a plain quadratic program over all lengths."""
+    rows = queries.op9_packing(spark, SF).collect()
+    lengths = sorted(len((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert sorted(r.length for r in rows) == lengths
+    up = [0, *itertools.accumulate(lengths)]
+    least = [0] + [float("inf")] * len(lengths)
+    for _ in range(packing.BUCKETS):
+        least = [0] + [min(least[i] + lengths[j - 1] * (j - i) - (up[j] - up[i]) for i in range(j)) for j in range(1, len(lengths) + 1)]
+    assert sum(r.padded - r.length for r in rows) == least[-1]
+
+
+def test_copies_are_spread(spark):
+    """Rows that are equal in all columns, a third of the table, lie in many hash ranges, and every copy has its place."""
+    docs = spark.createDataFrame([(None, "a b c", None)] * 400 + [(k, f"w {k}", "s") for k in range(800)], "doc_id long, text string, source string").repartition(5)
+    got = packing.pack_texts(docs).collect()
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == 1200
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 1200 and sum(r.id is None for r in mixed) == 400
+    assert all(0 <= r.taken <= 2 * r.size for r in mixed) and len({r.taken for r in mixed if r.id is None}) > 1
 
 
 def test_similar_groups_are_exact(spark, odd, none):
@@ -467,5 +493,5 @@ def test_similar_texts_without_a_common_small_hash(spark):
 def test_one_long_text_leaves_the_buckets_alone(spark):
     """With fewer lengths than buckets nothing is padded, however long the longest is."""
     lengths = [1, 2, 3, 5, 7, 11, 200_001, 10_000_001]
-    sized = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    sized = spark.createDataFrame([(k, k, x, 0) for k, x in enumerate(lengths)], "row long, id long, length long, tie long")
     assert {r.length: r.padded for r in packing.pack(sized).collect()} == {x: x for x in lengths}

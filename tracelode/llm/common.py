@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,3 +69,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, order: list[Column], sums: list[str] | tuple = (), name: str = "no") -> DataFrame:
+    """df with name, each row's place from 0 in the order, and `<c>_before` for each c in sums: the sum of c over the rows before it.
+
+    Rows are dealt by ranges of the order and numbered inside each range; a row for each
+    range, as many as the session has shuffle partitions, gives the offsets. So no task holds all
+    rows. Rows that are equal in the order lie in one range.
+    """
+    laid = written(df.withColumn("order", F.struct(*order)).repartitionByRange("order").withColumn("part", F.spark_partition_id()), "ordered")
+    before = Window.partitionBy("part").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    one = laid.withColumn("one", F.lit(1).cast("long"))
+    cols = {name: "one"} | {f"{c}_before": c for c in sums}
+    parts = one.groupBy("part").agg(*[F.sum(c).alias(f"{n}_part") for n, c in cols.items()])
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("part"), *[F.coalesce(F.sum(f"{n}_part").over(up), F.lit(0)).alias(f"{n}_offset") for n in cols])
+    inside = one.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in cols.items()})
+    return inside.join(offsets, "part").select(*df.columns, *[(F.col(n) + F.col(f"{n}_offset")).alias(n) for n in cols])
+
+
+def nth_copy(df: DataFrame, key: list[str], row: str) -> DataFrame:
+    """df with `copy`: 0, 1, ... among rows that are equal in the key columns, in order of the row id.
+
+    row is a monotonically increasing id, whose upper bits name the task that gave it. Copies
+    are numbered inside their task, and a row for each key and task gives the offsets, so
+    that no task holds all copies. Keys that are there once cost a count.
+    """
+    named = df.withColumn("key", F.xxhash64(*key))
+    several = written(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copies")
+    if several.isEmpty():
+        return df.withColumn("copy", F.lit(0).cast("long"))
+    once = named.join(several, "key", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    more = named.join(several, "key", "left_semi").withColumn("task", F.shiftright(row, 33))
+    up = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = more.groupBy("key", "task").agg(F.count("*").alias("n")).select("key", "task", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("key", "task").orderBy(row)) - 1
+    more = more.withColumn("inside", inside).join(offsets, ["key", "task"]).withColumn("copy", F.col("inside") + F.col("offset"))
+    return once.select(*df.columns, "copy").unionByName(more.select(*df.columns, "copy"))
