@@ -424,7 +424,8 @@ def test_copies_are_spread(spark):
     assert all(0 <= r.taken <= 2 * r.size for r in mixed) and len({r.taken for r in mixed if r.id is None}) > 1
 
 
-def test_similar_groups_are_exact(spark, odd, none):
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_similar_groups_are_exact(spark, odd, none, tile):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     passage = [word() for _ in range(60)]
@@ -443,12 +444,47 @@ def test_similar_groups_are_exact(spark, odd, none):
         if not both or len(sets[i] & sets[j]) / both >= 0.8:
             a, b = up[i], up[j]
             up = [min(a, b) if x in (a, b) else x for x in up]
-    got = {r.doc_id for r in simhash.keep_one_similar(df).collect()}
+    got = {r.doc_id for r in simhash.keep_one_similar(df, tile=tile).collect()}
     assert got == {i for i, r in enumerate(up) if i == r}
     assert simhash.keep_one_similar(odd).columns == odd.columns and simhash.keep_one_similar(none).count() == 0
     assert sorted(r.doc_id for r in simhash.keep_one_similar(odd).collect() if r.doc_id in (1, 2, 3, 5)) == [1, 2]
 
 
+@pytest.mark.parametrize("tile", [2, 5])
+def test_large_blocks_of_sets_lose_no_link(spark, tile):
+    """Chains of texts, each a little off the one before, that share most of their shingles with many others."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, shared = [], [word() for _ in range(80)]
+    for k in range(3):
+        w = shared[: 70 - k] + [word() for _ in range(30)]
+        for _ in range(14):
+            texts.append(list(w))
+            w.insert(rng.randrange(len(w)), word())
+    sets = [frozenset(" ".join(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    up = list(range(len(sets)))
+    for i, j in sorted(pairs):
+        a, b = up[i], up[j]
+        up = [min(a, b) if x in (a, b) else x for x in up]
+    assert len(pairs) > len(texts)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_similar(df, tile=tile).collect()} == {i for i, r in enumerate(up) if i == r}
+
+
+def test_pivot_rows_bound_set_distances():
+    rng = np.random.default_rng(4)
+    for n in (3, 50, 400, 5000):
+        base = np.unique(rng.integers(0, 2**32, n, np.uint32))
+        for gone in (0, 1, n // 10, n):
+            other = np.unique(np.r_[base[gone:], rng.integers(0, 2**32, gone, np.uint32)])
+            rows = [np.frombuffer(simhash.pivot_row(x), np.uint64) for x in (base, other)]
+            apart, true = int(simhash.pivot_distance(*rows)), len(np.setxor1d(base, other))
+            counts = [np.bincount(x >> 24, minlength=256) for x in (base, other)]
+            assert apart <= np.abs(counts[0] - counts[1]).sum() <= true
+            assert gone > 1 or apart == true
+
+
 def test_similar_texts_with_repeats(spark):
     """Repeats leave the shingle sets alike, however far they move a fingerprint."""
     rng = random.Random(5)

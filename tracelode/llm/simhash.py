@@ -322,8 +322,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 #: Classes of which one in so many is looked at for common hashes, and how many of those are told apart. Both only order the hashes; no result depends on them.
 SAMPLED, COMMON = 16, 100_000
-#: Cells of the hash range whose counts are a set's pivot table; a power of two.
-CELLS = 32
+#: Rounds in which each set is compared with those next to it only, and how many of these.
+ROUNDS, LINKS = 2, 4
+#: Rows of a tile of a large block.
+TILE = 4096
 
 
 def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
@@ -344,22 +346,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
-def counts(members: np.ndarray) -> np.ndarray:
-    """How many hashes of an ascending set lie in each of CELLS equal ranges, at most 255 each."""
-    edges = np.arange(CELLS, dtype=np.uint64) << np.uint64(32 - CELLS.bit_length() + 1)
-    return np.minimum(np.diff(np.r_[np.searchsorted(members, edges.astype(np.uint32)), len(members)]), 255).astype(np.uint8)
+def pivot_row(members: np.ndarray) -> bytes:
+    """A set's row of the pivot table: how many of its hashes lie in each of 256 equal ranges, modulo 4, as 512 bits.
 
-
-def pivots_allow(x: np.ndarray, y: np.ndarray, both, least: float) -> np.ndarray:
-    """Whether the pivot distances of two sets (x, y: rows of counts; both: their sizes' sum) leave a similarity of `least` possible.
-
-    The reference fingerprints are all 2 ** CELLS unions of the cells. A set's Hamming distance to
+    The reference fingerprints are all 2 ** 256 unions of these cells. A set's Hamming distance to
     such a reference P is |P| + |A| - 2 |A and P|, so the largest coordinate difference of
-    two sets over all references is the sum over the cells of their counts' differences (P being the cells
-    in which the second holds more). It never exceeds the sets' own distance, as a capped count
-    never differs by more than the count; and that is (1 - s) / (1 + s) * (|A| + |B|) at similarity s.
+    two sets is the sum over the cells of their counts' differences (P being the cells
+    in which the second holds more), and it never exceeds the sets' own distance. Counts modulo 4, taken
+    around the circle, differ by no more than the counts; in Gray code that is the number of
+    bits in which they differ.
     """
-    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1, dtype=np.int64)
+    n = np.bincount(members >> np.uint32(24), minlength=256)
+    return np.packbits(np.r_[(n ^ n >> 1) & 1, n >> 1 & 1].astype(np.uint8)).tobytes()
+
+
+def pivot_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A bound from below on the largest difference of two sets' pivot distances over all references; x and y hold rows of the table as unsigned longs."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def pivots_allow(apart, both, least: float):
+    """Whether that largest difference leaves a similarity of `least` possible to sets with so many members together: their distance is then (1 - s) / (1 + s) of that at most."""
     return apart <= (1 - least) / (1 + least) * both + 1e-6
 
 
@@ -403,17 +410,6 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, class, size, at) sorted by (key, class); yields (key, class, size, at, first) of keys with two classes or more, first being their least."""
-    for key, name, size, place in _whole_blocks(batches):
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[edge, len(key)])
-        several = np.repeat(count > 1, count)
-        if several.any():
-            first = np.repeat(name[edge], count)
-            yield pa.record_batch([pa.array(x[several]) for x in (key, name, size, place, first)], names=["key", "class", "size", "at", "first"])
-
-
 def _alike(least: float):
     """Reads (a, b, x, y), classes and their sets; yields the similar pairs."""
 
@@ -425,56 +421,73 @@ def _alike(least: float):
     return run
 
 
-def _across(least: float):
-    """Reads (key, class, size, at, root, table) sorted by (key, size); yields the pairs of a block that may be similar and have different roots.
+def _within(least: float, nearest: bool):
+    """Reads (block, side, class, size, at, root, table) sorted by (block, size); yields pairs of a block that may be similar and have different roots.
 
-    A pair's overlap reaches need; at the first hash that it shares no more than the rest
-    of either set is left to share, so that hash is among the first size - need + 1 of each. Sizes
-    beyond size / least end a row's partners. What is left goes to the pivot table.
+    nearest: each row with the one at the least pivot distance, as (row, other), else all pairs, each once. Rows of
+    one side are not compared with each other, unless it is 2. A pair's overlap reaches need; at
+    the first hash that it shares no more than the rest of either set is left to share, so that hash
+    is among the first size - need + 1 of each. Sizes beyond size / least end a row's
+    partners. What is left goes to the pivot table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, name, size, place, root, held in _whole_blocks(batches):
-            table = np.frombuffer(b"".join(held), np.uint8).reshape(-1, CELLS)
-            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
-            size = size.astype(np.int64)
-            found = [], []
-            for begin, stop in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-                last = begin + np.searchsorted(size[begin:stop], size[begin:stop] / least + 1e-6, "right")
-                for i in range(begin, stop - 1):
-                    j = np.arange(i + 1, last[i - begin])
-                    j = j[root[j] != root[i]]
-                    need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6)
-                    j = j[(size[i] - place[i] >= need) & (size[j] - place[j] >= need)]
-                    if len(j):
-                        j = j[pivots_allow(table[i], table[j], size[i] + size[j], least)]
-                        found[0].append(np.minimum(name[i], name[j]))
-                        found[1].append(np.maximum(name[i], name[j]))
-            if found[0]:
+        for block, side, name, size, place, root, held in _whole_blocks(batches):
+            table = np.frombuffer(b"".join(held), np.uint64).reshape(len(held), -1)
+            size, found, step = size.astype(np.int64), ([], []), 0
+            rest, at = size - place, np.arange(len(block))
+            next_to, closest = np.zeros(len(block), np.int64), np.full(len(block), 1 << 30)
+            while len(at):
+                step += 1
+                at = at[at + step < len(block)]
+                at = at[(block[at] == block[at + step]) & (size[at + step] * least <= size[at] + 1e-6)]
+                i = at[(root[at] != root[at + step]) & ((side[at] == 2) | (side[at] != side[at + step]))]
+                need = np.ceil(least / (1 + least) * (size[i] + size[i + step]) - 1e-6)
+                i = i[(rest[i] >= need) & (rest[i + step] >= need)]
+                apart = pivot_distance(table[i], table[i + step])
+                fits = pivots_allow(apart, size[i] + size[i + step], least)
+                i, apart = i[fits], apart[fits]
+                if nearest:
+                    for one, other in ((i, i + step), (i + step, i)):
+                        closer = apart < closest[one]
+                        next_to[one[closer]], closest[one[closer]] = other[closer], apart[closer]
+                elif len(i):
+                    found[0].append(np.minimum(name[i], name[i + step]))
+                    found[1].append(np.maximum(name[i], name[i + step]))
+            if nearest:
+                i = np.flatnonzero(closest < 1 << 30)
+                found = [name[i]], [name[next_to[i]]]
+            if found[0] and len(found[0][0]):
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], names=["a", "b"])
 
     return run
 
 
-def similar_links(classes: DataFrame, least: float) -> DataFrame:
+def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """(a, b) between the classes of classes(class, members, table), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
 
     Two sets of that similarity share at least ceil(least * size) hashes of either. So, in
     any one order of all hashes, they share one among the first size - ceil(least * size) + 1
     of each: these are a set's keys, and every pair meets under one. The order puts hashes
     that are common in a sample last, which keeps blocks small and decides nothing else.
-    First each class is compared with one other, the least class of most of its blocks,
-    which connects most of what is alike. Then all pairs of a block that aren't connected
-    yet and that their sizes, places in the order and pivot tables allow are compared, each once:
-    only their sets are moved.
+    First each class is compared with those that lie next to it by pivot distance in most of its
+    blocks, in ROUNDS rounds, each time among those that aren't connected to it yet, which connects most of
+    what is alike; a class that meets no other within reach leaves. In the end all pairs of a block that aren't
+    connected yet and that their sizes, places in the order and pivot tables allow are compared,
+    each once: only their sets are moved.
+
+    No task holds a large block. In the rounds a block of more than `tile` rows is dealt into tiles by a hash
+    that changes with the round. In the end the rows of its most frequent root and the others are tiled each, and
+    every tile of the others meets all tiles, which one root's need not.
     """
     some = classes.where(F.pmod("class", F.lit(SAMPLED)) == 0)
     counted = written(some.select("class", "members").mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
     often = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = often.column("h").to_numpy().view(np.uint32), often.column("n").to_numpy()
     up = np.argsort(h)
-    keys = classes.select("class", "members").mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int, at int")
-    shared = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key int, class long, size int, at int, first long"), "blocks")
+    keys = written(classes.select("class", "members").mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int, at int"), "keys")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keys.join(several, "key").join(classes.select("class", "table"), "class"), "blocks")
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -482,13 +495,34 @@ def similar_links(classes: DataFrame, least: float) -> DataFrame:
         both = pairs.join(x, "a").join(y.join(pairs.select("b").distinct(), "b", "left_semi"), "b").select("a", "b", "x", "y")
         return written(both.mapInArrow(_alike(least), "a long, b long"), "similar")
 
-    led = shared.where("first <> class").groupBy("class", "first").agg(F.count("*").alias("n"))
-    near = compared(led.groupBy("class").agg(F.max_by("first", F.struct("n", "first")).alias("b")).select(F.col("class").alias("a"), "b"))
-    rooted = classes.select("class", "table").join(roots(near).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = written(shared.drop("first").join(rooted, "class"), "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    blocks = rooted.join(apart, "key", "left_semi").select("key", "class", "size", "at", "root", "table")
-    across = blocks.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_across(least), "a long, b long").distinct()
+    def met(rows: DataFrame, tiles: list, side, nearest: bool) -> DataFrame:
+        """What _within yields over the blocks that a key and its tiles name."""
+        blocks = rows.select(F.xxhash64("key", *tiles).alias("block"), side.alias("side"), "class", "size", "at", "root", "table")
+        return blocks.repartition("block").sortWithinPartitions("block", "size").mapInArrow(_within(least, nearest), "a long, b long")
+
+    rows, near, deal = shared.withColumn("root", F.col("class")), None, F.ceil(F.col("n") / tile)
+    for k in range(ROUNDS):
+        dealt = F.pmod(F.xxhash64("class", F.lit(k)), deal)
+        best = met(rows, [dealt], F.lit(2), True).groupBy("a", "b").agg(F.count("*").alias("n"))
+        best = best.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("nth") <= LINKS)
+        best = written(best.select("a", "b"), "nearest")
+        found = compared(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        near = found if near is None else near.unionByName(found)
+        alive = best.select(F.col("a").alias("class")).unionByName(rows.where(F.col("n") > tile).select("class")).distinct()
+        rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near).withColumnRenamed("node", "class"), "class", "left")
+        rows = written(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("major"))
+    per = per.where("m < n").select("key", "major", F.ceil((F.col("n") - F.col("m")) / tile).alias("minors"), F.ceil(F.col("m") / tile).alias("majors"), (F.col("n") > tile).alias("large"))
+    mixed = rows.drop("n").join(per, "key")
+    own = F.pmod(F.xxhash64("class"), F.when(F.col("root") == F.col("major"), F.col("majors")).otherwise(F.col("minors")))
+    cell = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.alias("side"))
+    # tiles of the others are numbered from 0, those of the most frequent root from minors on
+    everyone = F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)
+    of_minor = F.transform(everyone, lambda t: cell(F.least(t, own), F.greatest(t, own), F.when(t == own, F.lit(2)).when(own < t, F.lit(0)).otherwise(F.lit(1))))
+    of_major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda t: cell(t, own + F.col("minors"), F.lit(1)))
+    whole = F.array(cell(F.lit(0), F.lit(0), F.lit(2)))
+    cells = F.explode(F.when(~F.col("large"), whole).when(F.col("root") == F.col("major"), of_major).otherwise(of_minor))
+    across = met(mixed.withColumn("cell", cells), ["cell.x", "cell.y"], F.col("cell.side"), False).distinct()
     return near.unionByName(compared(across))
 
 
@@ -498,7 +532,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), "<i4"))], names=["h"])
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
     """docs with one row of each group of texts whose shingle sets reach each other at a similarity of at least `least`; see _keep.
 
     Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
@@ -510,7 +544,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
                 name, members = zip(*[shingle_set(t.as_py() or b"", words) for t in some])
-                tables = [counts(np.frombuffer(m, "<u4")).tobytes() for m in members]
+                tables = [pivot_row(np.frombuffer(m, "<u4")) for m in members]
                 yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary()), pa.array(tables, pa.binary())], schema=schema)
 
     @F.pandas_udf(T.LongType())
@@ -520,6 +554,6 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     one = written(made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row")), "classes")
     classes = made.join(one.select("row"), "row", "left_semi").select("class", "members", "table")
-    of = roots(similar_links(classes, least)).withColumnRenamed("node", "class")
+    of = roots(similar_links(classes, least, tile)).withColumnRenamed("node", "class")
     known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
     return _keep(docs, known, class_of, id_col, text_col)
