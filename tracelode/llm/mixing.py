@@ -147,11 +147,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     cols, kinds = docs.columns, dict(docs.dtypes)
     plain = [F.col("`" + c.replace("`", "``") + "`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     text = F.col(text_col)
-    held = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(*plain).alias("tie"), text.alias("text"), wrapped(docs, "all"))
+    held = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(*plain).alias("tie"), wrapped(docs, "all"))
     held = written(held, "documents")
     got = plan(held.select("row", "id", "source", "size", "tie"), **how).where(F.size("pieces") > 0).select("row", "pieces")
     pieces = F.flatten(F.transform("pieces", lambda p: F.array_repeat(p, p["times"].cast("int"))))
-    each = held.select("row", "size", "text", "all").join(got, "row").withColumn("piece", F.explode(pieces))
+    each = held.select("row", "size", "all").join(got, "row").withColumn("piece", F.explode(pieces)).withColumn("text", F.col("all")[text_col])
     begin, n = F.col("piece.from"), F.col("piece.to") - F.col("piece.from")
     lead = F.when(begin == 0, F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)).otherwise("")
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))

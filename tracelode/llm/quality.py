@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +35,56 @@ def shape(word: str) -> str:
     return _REPEAT.sub(r"\1", word)
 
 
-class Shapes(dict):
-    def __missing__(self, word: str) -> str:
-        s = shape(word)
-        if len(word) <= LONG_WORD:
-            if len(self) > MEMORY:
-                self.clear()
-            self[word] = s
-        return s
+class Shapes:
+    """Hashes of words, lower-cased, and of their shapes, remembered for words of up to LONG_WORD characters."""
 
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.held = array("Q")  # word and shape hashes by turns
 
-def ngrams(text: str, shapes: Shapes) -> set:
-    """Indicators of a whole text: its words, their shapes in runs of one to three, and words that repeat at once."""
+    def _learn(self, words: set[str]) -> None:
+        for w in words:
+            self.place[w] = len(self.held) // 2
+            self.held.extend((_hash(w.lower()), _hash(shape(w))))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, word hashes and shape hashes of the words in order."""
+        if len(self.place) > MEMORY:
+            self.__init__()
+        new = set(words).difference(self.place)
+        self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        both = np.frombuffer(self.held, np.uint64).reshape(-1, 2)[at] if words else np.empty((0, 2), np.uint64)
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.place[w]
+        return at, both[:, 0], both[:, 1]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)
+    return h ^ (h >> np.uint64(29))
+
+
+#: Indicators that aren't n-grams: a word repeats at once, most do, and the text's size.
+AGAIN, MOSTLY, SIZE = 1, 2, 3
+
+
+def ngrams(text: str, shapes: Shapes) -> np.ndarray:
+    """Indicators of a whole text as ascending 64-bit hashes: its words, their shapes in runs of one to three, and words that repeat at once."""
     words = text.split()
-    s = [shapes[w] for w in words]
-    out: set = {w.lower() for w in set(words)}
-    out.update(zip(s))
-    out.update(zip(s, s[1:]))
-    out.update(zip(s, s[1:], s[2:]))
-    again = sum(map(str.__eq__, words, words[1:]))
-    if again:
-        out.add(("=", "again", "", ""))
-        if 2 * again > len(words):
-            out.add(("=", "mostly", "", ""))
-    out.add(("=", "size", "", str(min(4, int(math.log10(len(words) + 1) * 2) // 2))))
-    return out
+    at, w, s = shapes(words)
+    one = _mixed(s, 12)
+    two = _mixed(one[:-1] * np.uint64(0x100000001B3) + s[1:], 13)
+    three = _mixed(two[:-1] * np.uint64(0x100000001B3) + s[2:], 14)
+    again = int((at[1:] == at[:-1]).sum())
+    more = [SIZE + min(4, int(math.log10(len(words) + 1) * 2) // 2)]
+    more += [AGAIN] * bool(again) + [MOSTLY] * (2 * again > len(words))
+    return np.unique(np.concatenate([_mixed(w, 11), one, two, three, np.array(more, np.uint64)]))
 
 
 def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, dim: int, rounds: int = 30, seed: int = 5) -> np.ndarray:
@@ -120,16 +147,22 @@ def platt(margin: np.ndarray, y: np.ndarray, share: float | None = None, rounds:
 
 @dataclass
 class Model:
-    weights: dict
+    """grams: ascending hashes; weight: what each adds to the margin, square: what it adds to the squared length that the sum is divided by."""
+
+    grams: np.ndarray
+    weight: np.ndarray
+    square: np.ndarray
     offset: float
     slope: float
     shift: float
 
     def margin(self, text: str, shapes: Shapes) -> float:
-        get = self.weights.get
-        found = [v for v in map(get, ngrams(text, shapes)) if v]
-        size = math.sqrt(sum(v[1] for v in found)) or 1.0
-        return sum(v[0] for v in found) / size + self.offset
+        if not len(self.grams):
+            return self.offset
+        own = ngrams(text, shapes)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        at = at[self.grams[at] == own]
+        return float(self.weight[at].sum()) / (math.sqrt(float(self.square[at].sum())) or 1.0) + self.offset
 
     def score(self, text: str, shapes: Shapes) -> float:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.margin(text, shapes) + self.shift))))
@@ -145,50 +178,44 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: f
     y = np.where(np.array(labels) == 1, 1.0, -1.0)
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
-        return Model({}, 0.0, 1e-6, math.log(share / (1 - share)))
+        none = np.empty(0)
+        return Model(none.astype(np.uint64), none, none, 0.0, 1e-6, math.log(share / (1 - share)))
     held = np.arange(len(texts)) % 5 == 4
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
-    shapes, at_all, sets = Shapes(), {}, []  # texts are kept as numbers of their n-grams
-    marks = np.concatenate([np.fromiter(map(hash, ngrams(t, shapes)), np.int64) for t in texts])
-    marks.sort()
-    marks = np.unique(marks[1:][marks[1:] == marks[:-1]])  # those of n-grams that may be in two texts
-    for t in texts:
-        grams = list(ngrams(t, shapes))
-        h = np.fromiter(map(hash, grams), np.int64, len(grams))
-        met = marks[np.minimum(np.searchsorted(marks, h), len(marks) - 1)] == h if len(marks) else np.zeros(len(h), bool)
-        sets.append(np.fromiter((at_all.setdefault(grams[k], len(at_all)) for k in np.flatnonzero(met)), np.int32))
-    count = np.zeros((len(at_all), 2))
-    for s, sign, out in zip(sets, y, held):
-        if not out:
-            count[s, int(sign > 0)] += 1
-    often = count.sum(1)
+    shapes = Shapes()
+    sets = [ngrams(t, shapes) for t in texts]
+    own = np.flatnonzero(~held)
+    grams, often = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
     common = np.flatnonzero(often >= MIN_TEXTS)
-    if len(common) > MAX_GRAMS:  # ties to the gram met first
+    if len(common) > MAX_GRAMS:  # ties to the smaller hash
         common = np.sort(common[np.argsort(-often[common], kind="stable")[:MAX_GRAMS]])
-    place = np.full(len(at_all), -1)
-    place[common] = np.arange(len(common))
-    at_of = {f: int(place[k]) for f, k in at_all.items() if place[k] >= 0}
-    at_all.clear()
-    c = count[common] + alpha
-    ratio = np.log(c[:, 1] / c[:, 1].sum()) - np.log(c[:, 0] / c[:, 0].sum())
-    dim = len(common) + 1  # the last is the offset
-
-    def row(s) -> tuple[np.ndarray, np.ndarray]:
-        at = np.sort(place[s][place[s] >= 0])
+    grams = grams[common]
+
+    def places(s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(grams, s)
+        return at[(at < len(grams)) & (grams[np.minimum(at, len(grams) - 1)] == s)] if len(grams) else at[:0]
+
+    sets = [places(s) for s in sets]
+    count = np.full((len(grams), 2), alpha)
+    for i in own:
+        count[sets[i], int(y[i] > 0)] += 1
+    ratio = np.log(count[:, 1] / count[:, 1].sum()) - np.log(count[:, 0] / count[:, 0].sum())
+    dim = len(grams) + 1  # the last is the offset
+
+    def row(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = ratio[at]
         v = v / (math.sqrt(float(v @ v)) or 1.0)
         return np.r_[at, dim - 1], np.r_[v, 1.0]
 
     rows = [row(s) for s in sets]
-    own = np.flatnonzero(~held)
     share = (y[own] > 0).mean()
     costs = cost * np.where(y[own] > 0, 0.5 / share, 0.5 / (1 - share))
     w = dual_descent([rows[i] for i in own], y[own], costs, dim)
     check = np.flatnonzero(held) if held.any() else own
     margin = np.array([float(w[a] @ v) for a, v in (rows[i] for i in check)])
     slope, shift = platt(margin, y[check], usual)
-    return Model({f: (float(w[k] * ratio[k]), float(ratio[k] ** 2)) for f, k in at_of.items() if ratio[k]}, float(w[-1]), slope, shift)
+    return Model(grams, w[:-1] * ratio, ratio**2, float(w[-1]), slope, shift)
 
 
 def score(model: Model, text: Column, spark) -> Column:

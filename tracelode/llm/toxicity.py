@@ -167,18 +167,33 @@ class Words:
         return np.add.reduceat(vectors[self.slots], self.begin) / self.size
 
 
+class _Distinct:
+    """The distinct values of an array of small numbers, and each one's place among them, without sorting."""
+
+    def __init__(self, most: int):
+        self.there, self.place = np.zeros(most, bool), np.zeros(most, np.int32)
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.there[values] = True
+        found = np.flatnonzero(self.there)
+        self.there[found] = False
+        self.place[found] = np.arange(len(found))
+        return found, self.place[values]
+
+
 def _train(words: Words, tokens_of: np.ndarray, first: np.ndarray, last: np.ndarray, y: np.ndarray, weight: np.ndarray, model: Model, rounds: int, seed: int, rate: float = 0.3, batch: int = 256) -> None:
     """Adagrad over bags, ranges first to last of all texts' words: vectors and the softmax layer move together."""
     rng = np.random.default_rng(seed)
     g_vec, g_out, g_base = np.full(len(model.vectors), 1e-6), np.full(model.out.shape, 1e-6), np.full(2, 1e-6)
+    words_in, slots_in = _Distinct(len(words.size)), _Distinct(len(model.vectors))
     for _ in range(rounds):
         order = rng.permutation(len(first))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             size = last[own] - first[own]  # never 0: a text without words holds one empty word
-            used, back = np.unique(tokens_of[_runs(first[own], size)], return_inverse=True)
+            used, back = words_in(tokens_of[_runs(first[own], size)])
             n = words.size[used]
-            slots, place = np.unique(words.slots[_runs(words.begin[used], n)], return_inverse=True)
+            slots, place = slots_in(words.slots[_runs(words.begin[used], n)])
             e_word = np.add.reduceat(model.vectors[slots][place], _starts(n), axis=0) / n[:, None]
             e_bag = np.add.reduceat(e_word[back], _starts(size), axis=0) / BAG
             z = e_bag @ model.out + model.base
@@ -186,10 +201,11 @@ def _train(words: Words, tokens_of: np.ndarray, first: np.ndarray, last: np.ndar
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
             d = p * weight[own][:, None] / len(own)
-            d_out, d_base, d_bag = e_bag.T @ d, d.sum(0), np.repeat(d @ model.out.T / BAG, size, axis=0)
-            d_word = np.stack([np.bincount(back, d_bag[:, k], len(used)) for k in range(DIM)], 1)
-            each = np.repeat(d_word / n[:, None], n, axis=0)
-            d_vec = np.stack([np.bincount(place, each[:, k], len(slots)) for k in range(DIM)], 1)
+            # as there are two classes, all gradients of vectors lie along out's difference: a sum of one number a word
+            d_out, d_base, pull = e_bag.T @ d, d.sum(0), d[:, 1] / BAG
+            d_word = np.bincount(back, np.repeat(pull, size), len(used)) / n
+            d_slot = np.bincount(place, np.repeat(d_word, n), len(slots))
+            d_vec = d_slot[:, None] * (model.out[:, 1] - model.out[:, 0])
             g_vec[slots] += (d_vec * d_vec).mean(1)
             g_out += d_out * d_out
             g_base += d_base * d_base
