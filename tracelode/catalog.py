@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, kernels, scores, structure, texts
+from .plans import aggregates, batteries, kernels, scores, structure, texts
 
-_PARTS = (structure.R, aggregates.R, scores.R, texts.R, kernels.R)
+_PARTS = (structure.R, aggregates.R, scores.R, texts.R, kernels.R, batteries.R)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEED, DRAWS = 20261003, 1000
+from . import bootstrap
+
+SEED, DRAWS = bootstrap.SEED, bootstrap.DRAWS
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Column]:
@@ -31,18 +33,18 @@ def cluster_sums(rows: DataFrame, cluster: str, num: Column, den: Column) -> Dat
 def cluster_rate(rows: DataFrame, cluster: str, num: Column, den: Column, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """(rate, lo, hi, n_clusters, num, den): a ratio of sums with a clustered bootstrap interval.
 
-    Every cluster gets a Poisson(1) weight in each draw from a hash of (seed, cluster,
-    draw), so draws are sums per task that merge in a shuffle of draws, never of rows: the
+    Draws as in bootstrap: sums per task merge in a shuffle of draws, never of rows, so the
     result doesn't depend on partitions and no task holds the clusters.
     """
     per = cluster_sums(rows, cluster, num, den)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("draw").agg((F.sum(weight * F.col("num")) / F.greatest(F.sum(weight * F.col("den")), F.lit(1e-12))).alias("r"))
-    limits = drawn.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
-    whole = per.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("rate"), F.count("*").alias("n_clusters"), F.coalesce(F.sum("num"), F.lit(0.0)).alias("num"), F.coalesce(F.sum("den"), F.lit(0.0)).alias("den"))
-    return whole.withColumn("k", F.lit(0)).join(limits.withColumn("k", F.lit(0)), "k").select("rate", "lo", "hi", "n_clusters", "num", "den")
+    times = lambda c: F.sum(F.col("times") * F.col(c))
+    each = bootstrap.drawn(per, cluster, draws, seed).groupBy("draw").agg(F.try_divide(times("num"), times("den")).alias("r"))
+    whole = per.agg(
+        F.try_divide(F.sum("num"), F.sum("den")).alias("rate"), F.count("*").alias("n_clusters"),
+        F.coalesce(F.sum("num"), F.lit(0.0)).alias("num"), F.coalesce(F.sum("den"), F.lit(0.0)).alias("den"),
+    )
+    limits = bootstrap.limits(each, draws).withColumn("k", F.lit(0))
+    return whole.withColumn("k", F.lit(0)).join(limits, "k").select("rate", "lo", "hi", "n_clusters", "num", "den")
 
 
 def describe(rows: DataFrame, by: list[str], value: str, qs=(0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)) -> DataFrame:

@@ -83,11 +83,6 @@ def cluster_sums(elog):
     return stats.cluster_sums(elog.where("kind = 'result'"), "session_id", F.col("is_error").cast("int"), F.lit(1))
 
 
-@R.query("cluster_rate")
-def cluster_rate(elog):
-    return stats.cluster_rate(elog.where("kind = 'result'"), "session_id", F.col("is_error").cast("int"), F.lit(1), draws=200)
-
-
 @R.query("change_points")
 def change_points(elog):
     few = elog.where("kind = 'result'").select("session_id", "seq", "value")
@@ -124,25 +119,6 @@ def stratified_draw(orders):
     return scoring.draw(rows, scoring.allocate(rows.groupBy("cell").agg(F.count("*").alias("n")), 400), "o_orderkey")
 
 
-R.both("lag_gap", "select session_id, seq, ts_us - lag(ts_us) over (partition by session_id order by seq) as gap_us from {elog}")
-R.both("carry_forward", "select session_id, seq, max(call_id) over (partition by session_id, grp) as last_call from (select session_id, seq, case when kind = 'call' then call_id end as call_id, count(case when kind = 'call' then call_id end) over (partition by session_id order by seq) as grp from {elog}) t")
-R.both("running_max", "select session_id, seq, cast(row_number() over (partition by session_id, kind order by seq) - 1 as bigint) as nth_of_kind, max(emb_us) over (partition by session_id order by seq) as max_so_far, count(*) over (partition by session_id, kind) as of_kind from {elog}")
-R.both("adjacent_triples", "select a || '>' || b || '>' || c as triple, count(*) as n from (select kind as a, lead(kind) over (partition by session_id, stream order by seq) as b, lead(kind, 2) over (partition by session_id, stream order by seq) as c from {elog}) t where c is not null group by 1")
-R.both("kind_bigrams", "select prev, kind, count(*) as n from (select kind, lag(kind) over (partition by session_id order by seq) as prev from {elog}) t group by 1, 2")
-R.both("longest_run", "select kind, max(n) as longest from (select session_id, kind, grp, count(*) as n from (select session_id, kind, row_number() over (partition by session_id order by seq) - row_number() over (partition by session_id, kind order by seq) as grp from {elog}) t group by 1, 2, 3) u group by 1")
-R.both("precedence_rules", "with f as (select session_id, tool, min(seq) as a, max(seq) as b from {elog} where tool is not null group by 1, 2) select x.tool as first_tool, y.tool as then_tool, count(*) as sessions, count(case when x.a < y.a then 1 end) as first_before, count(case when x.b < y.a then 1 end) as always_before from f x join f y on x.session_id = y.session_id and x.tool <> y.tool group by 1, 2")
-R.both("position_deciles", "select decile, count(*) as n, count(case when is_error then 1 end) as errors from (select is_error, cast(floor((row_number() over (partition by session_id order by seq) - 1) * 10 / count(*) over (partition by session_id)) as bigint) as decile from {elog} where kind = 'result') t group by 1")
-R.both("early_late", "select tool, count(case when 2 * i <= n then 1 end) as early, count(case when 2 * i > n then 1 end) as late, count(case when 2 * i <= n and is_error then 1 end) as early_errors, count(case when 2 * i > n and is_error then 1 end) as late_errors from (select tool, is_error, row_number() over (partition by session_id order by seq) as i, count(*) over (partition by session_id) as n from {elog} where kind = 'result') t group by 1")
-R.both("zero_error_tail", "with s as (select session_id, count(*) as n, count(case when is_error then 1 end) as e from {elog} where kind = 'result' group by 1), p as (select cast(sum(e) as double) / sum(n) as p from s) select count(*) as sessions, count(case when e = 0 then 1 end) as zero, round(avg(power(1 - p, n)), 9) as expected from s, p")
-R.both("dominance", "select tool, round(max(n) / cast(sum(n) as double), 9) as top_share, count(*) as clusters from (select tool, session_id, count(*) as n from {elog} where tool is not null group by 1, 2) t group by 1")
-R.both("post_stratification", "with a as (select tool, count(*) as n from {elog} where tool is not null group by 1), b as (select tool, count(*) as m from {elog} where tool is not null and event_id % 3 = 0 group by 1) select a.tool, round((n / cast((select sum(n) from a) as double)) / (m / cast((select sum(m) from b) as double)), 9) as weight from a join b on a.tool = b.tool")
-R.both("grouping_sets", "select coalesce(tool, 'all') as tool, coalesce(stream, 'all') as stream, count(*) as n, count(case when is_error then 1 end) as errors from {elog} where tool is not null group by grouping sets ((tool, stream), (tool), (stream), ())")
-R.both("value_counts", "select k, count(*) as n from {elog} group by k order by n desc, k limit 20")
-R.both("multiset_difference", "select kind, tool, count(*) as n from (select kind, tool from {elog} where event_id % 2 = 0 except all select kind, tool from {elog} where event_id % 2 = 1) t group by 1, 2")
-R.both("set_operations", "select 'both' as part, count(*) as n from (select k from {elog} where event_id % 2 = 0 intersect select k from {elog} where event_id % 2 = 1) a union all select 'left', count(*) from (select k from {elog} where event_id % 2 = 0 except select k from {elog} where event_id % 2 = 1) b")
-R.both("session_sha_keys", "select session_id, count(*) as n, count(distinct k) as keys, sum(k * (seq + 1)) % 1000003 as mark from (select session_id, seq, k from {elog} where k is not null) t group by 1")
-
-
 @R.query("ordered_sha", "select session_id, sha256(string_agg(coalesce(cast(seq as string), chr(0)) || chr(31) || coalesce(kind, chr(0)) || chr(31) || coalesce(cast(call_id as string), chr(0)), chr(30) order by seq)) as sha from {elog} group by 1")
 def ordered_sha(elog):
     return scoring.ordered_sha(elog, "session_id", "seq", ["seq", "kind", "call_id"])

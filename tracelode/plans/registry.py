@@ -26,8 +26,3 @@ class Registry:
             return f
 
         return register
-
-    def both(self, name: str, sql: str) -> None:
-        """One text that both engines run."""
-        self.queries[name] = lambda spark, sf_dir: adapters.run(spark, sf_dir, sql)
-        self.sql[name] = adapters.duck(sql)

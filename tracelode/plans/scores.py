@@ -44,9 +44,6 @@ def combine(checks):
     return scoring.combine(checks.withColumnRenamed("check_name", "check"), ["call_key"], ("alpha", "gamma"))
 
 
-R.both("capability_gate", "select session_id, bool_or(kind = 'result' and tool is not null) as result_tool, bool_or(is_error) as has_error, bool_or(stream <> 'main') as subagent, count(case when kind = 'call' then 1 end) = count(distinct case when kind = 'call' then call_id end) as join_unique from {elog} group by 1")
-
-
 @R.query("gap_fill", "with n as (select distinct check_name from {checks}), k as (select distinct call_key from {checks}), c as (select * from {checks} where verdict <> 'unconstrained') select k.call_key, n.check_name, coalesce(c.verdict, 'unconstrained') as verdict, coalesce(c.reason, 'abstain:not_decided') as reason from k cross join n left join c on k.call_key = c.call_key and n.check_name = c.check_name", ("checks",))
 def gap_fill(checks):
     c = checks.withColumnRenamed("check_name", "check")
@@ -86,26 +83,3 @@ def label_join(elog):
     e = F.col("event_id")
     labels = calls.where("event_id % 4 < 2").select(e.alias("label_id"), (F.col("session_id") + F.when(e % 19 == 0, 100000).otherwise(0)).alias("session_id"), F.when(e % 2 == 0, F.col("call_id") + F.when(e % 10 == 0, 50).otherwise(0)).alias("call_id"), "seq", F.lit("pos").alias("label"), F.concat(F.lit("sha"), (F.col("session_id") + F.when(e % 5 == 0, 1).otherwise(0)) % 7).alias("ir_sha"))
     return scoring.join_labels(v, labels).groupBy("join_status").agg(F.count("*").alias("n"))
-
-
-# --- clocks in ids, gaps, retries, residuals: one text for both engines ------------------------------
-
-R.both("id_bracket", "with r as (select session_id, stream, emb_us, max(case when kind = 'result' then ts_us end) over (partition by session_id, stream order by seq rows between unbounded preceding and 1 preceding) as prev_us, ts_us, seq from {elog}), a as (select session_id, stream, emb_us, prev_us - emb_us as lo, ts_us - emb_us as hi, seq from r where seq % 2 = 0) select session_id, stream, count(*) as n, max(lo) as l_us, min(hi) as u_us, max(lo) - min(hi) as gap_us, coalesce(max(lo) - min(hi) > 2000000, false) as inconsistent, min_by(seq, hi * 100000 + seq) as k_u from a group by 1, 2 having count(*) >= 2")
-R.both("piecewise_bracket", "with r as (select session_id, stream, seq, ts_us - emb_us as hi, lag(ts_us) over (partition by session_id, stream order by seq) - emb_us as lo from {elog}), p as (select session_id, stream, seq, max(lo) over (partition by session_id, stream order by seq rows between unbounded preceding and current row) as lo_before, min(hi) over (partition by session_id, stream order by seq rows between unbounded preceding and current row) as hi_before, max(lo) over (partition by session_id, stream order by seq rows between 1 following and unbounded following) as lo_after, min(hi) over (partition by session_id, stream order by seq rows between 1 following and unbounded following) as hi_after from r) select session_id, stream, bool_or(coalesce(lo_before - hi_before <= 2000000, true) and coalesce(lo_after - hi_after <= 2000000, true)) as consistent_with_one_step from p group by 1, 2")
-R.both("reaction_gaps", "with g as (select *, sum(case when kind in ('result', 'user') then 1 else 0 end) over (partition by session_id order by seq) as grp from {elog}), f as (select session_id, grp, max(case when kind = 'result' then ts_us end) as r_us, min(case when kind in ('assistant', 'call') then ts_us end) as a_us, bool_or(kind = 'user') as blocked from g group by 1, 2) select session_id, count(*) as gaps, min(a_us - r_us) as least_us, max(a_us - r_us) as most_us from f where not blocked and r_us is not null and a_us > r_us and a_us - r_us <= 21600000000 group by 1")
-R.both("retries", "with c as (select session_id, tool, k, seq, lead(k) over (partition by session_id, tool order by seq) as next_k, lead(is_error) over (partition by session_id order by seq) as failed from {elog} where kind in ('call', 'result')) select tool, coalesce(failed, false) as failed, count(*) as n, count(case when next_k = k then 1 end) as retried from c where next_k is not null group by 1, 2")
-R.both("loo_residual", "with i as (select session_id, tool, k, log10(value + 1) as d, event_id from {elog} where kind = 'result'), n as (select k, count(*) as n, sum(d) as s from i group by 1) select event_id, round(d - (s - d) / (n - 1), 6) as residual from i join n on i.k = n.k where n >= 2")
-R.both("concurrency_delta", "with a as (select tool, session_id, value, case when ts_us - lag(ts_us) over (partition by session_id order by seq) < 1800000000 then 1 else 0 end as busy from {elog} where kind = 'call'), m as (select tool, count(case when busy = 1 then 1 end) as nb, count(case when busy = 0 then 1 end) as ni, avg(case when busy = 1 then value end) as vb, avg(case when busy = 0 then value end) as vi from a group by 1) select tool, nb, ni, round(vb - vi, 6) as delta, round(least(nb, ni) / cast(sum(least(nb, ni)) over () as double), 6) as weight from m where nb > 0 and ni > 0")
-R.both("cold_start", "with r as (select session_id, tool, value, row_number() over (partition by session_id, tool order by seq) as i from {elog} where kind = 'result') select session_id, tool, max(case when i = 1 then value end) as first_value, round(avg(case when i > 1 then value end), 6) as rest from r group by 1, 2 having count(*) > 1")
-R.both("two_clocks", "select stream, count(*) as n, count(case when emb_us > ts_us + 2000000 then 1 end) as ahead, count(case when emb_us < ts_us - 2000000 then 1 end) as behind, max(abs(emb_us - ts_us)) as most_us from {elog} group by 1")
-R.both("consensus", "with a as (select tool, k % 5 as answer, session_id from {elog} where kind = 'result'), c as (select tool, answer, count(*) as n from a group by 1, 2), t as (select tool, sum(n) as total from c group by 1), r as (select c.*, total, row_number() over (partition by c.tool order by n desc, answer) as rn from c join t on c.tool = t.tool) select tool, answer, n, round((n - 1) / cast(total - 1 as double), 6) as share_without_self, n - 1 >= 10 and (n - 1) / cast(total - 1 as double) >= 0.8 as grounded from r where rn = 1")
-R.both("knowledge_precedence", "with f as (select session_id, k, min(case when kind = 'result' then seq end) as shown, min(case when kind = 'call' then seq end) as used from {elog} where k is not null group by 1, 2) select session_id, count(case when used is not null then 1 end) as used, count(case when used is not null and (shown is null or shown > used) then 1 end) as before_shown from f group by 1")
-R.both("own_value_support", "select c.session_id, count(*) as claims, count(case when exists_before then 1 end) as supported from (select e.session_id, e.seq, max(case when kind = 'result' then 1 else 0 end) over (partition by session_id, k order by seq rows between unbounded preceding and 1 preceding) = 1 as exists_before, kind from {elog} e) c where kind = 'assistant' group by 1")
-R.both("mode_performed", "select session_id, bool_or(kind = 'call' and tool = 'edit') as ever_edited, count(case when kind = 'assistant' then 1 end) as claims, max(case when kind = 'call' and tool = 'edit' then seq end) as last_edit, min(case when kind = 'result' and is_error then seq end) as first_failure from {elog} group by 1")
-R.both("durable_pass", "with f as (select session_id, seq, max(case when kind = 'result' and not is_error then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as last_pass, min(case when kind = 'result' and is_error then seq end) over (partition by session_id order by seq rows between 1 following and unbounded following) as next_fail, kind from {elog}) select session_id, count(*) as claims, count(case when last_pass is not null and next_fail is not null then 1 end) as refuted_later from f where kind = 'assistant' group by 1")
-R.both("ledger_tally", "with m as (select session_id, api_msg_id, max(usage_out) as uo, count(*) as rows_of from {rlog} group by 1, 2) select session_id, cast(sum(uo) as bigint) as recounted, count(*) as messages from m group by 1")
-R.both("inline_accounting", "with w as (select session_id, seq, usage_in, usage_out, lead(usage_in) over (partition by session_id order by seq) - usage_in as growth from {rlog} where usage_in is not null and usage_out is not null) select session_id, count(*) as windows, count(case when growth < 0 then 1 end) as shrinking, cast(sum(usage_out - growth) as bigint) as unexplained from w where growth is not null group by 1")
-R.both("spliced_view", "select session_id, pos, case when pos = 2 then 'claimed' else role end as role, length(case when pos = 2 then '[claimed]' else text end) as chars from {clog}")
-R.both("turn_contiguity", "select session_id, count(*) as turns, count(case when turn - prev <> 1 then 1 end) as gaps, min(turn) as first_turn from (select session_id, turn, lag(turn) over (partition by session_id order by pos) as prev from {clog}) t group by 1")
-R.both("role_bigrams", "select prev, role, count(*) as n from (select role, lag(role) over (partition by session_id order by pos) as prev from {clog}) t group by 1, 2")
-R.both("context_windows", "with a as (select session_id, pos, role, length(text) as chars, sum(case when role = 'assistant' then 1 else 0 end) over (partition by session_id order by pos) as w from {clog}) select session_id, cast(w as bigint) as w, sum(case when role <> 'assistant' then chars else 0 end) as fed_chars, max(case when role = 'assistant' then chars end) as said_chars, count(*) as turns from a group by 1, 2")

@@ -86,10 +86,6 @@ def responses(rlog):
     return pairing.responses(rlog).drop("calls")
 
 
-R.both("session_shape", "select kind, count(*) as n, count(distinct session_id) as sessions, min(seq) as first_seq, max(seq) as last_seq from {elog} group by kind")
-R.both("seq_contiguous", "select count(case when a <> 0 or b + 1 <> n or d <> n then 1 end) as broken, count(*) as sessions from (select session_id, min(seq) as a, max(seq) as b, count(*) as n, count(distinct seq) as d from {elog} group by session_id) t")
-
-
 @R.query("asof_result", "select session_id, seq, max(case when kind = 'result' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as prev_result from {elog} where kind in ('call', 'result', 'assistant')")
 def asof_result(elog):
     own = elog.where("kind in ('call', 'result', 'assistant')")
@@ -166,14 +162,10 @@ def band_pairs(elog):
     return got.groupBy("session_id").agg(F.count("*").alias("pairs"))
 
 
-@R.query("prefix_resolution", f"with f as (select distinct sha256(text) as sha from {{docs}}), s as (select doc_id, substr(sha256(text), 1, cast(8 + doc_id % 5 as int)) as short from {{docs}} where doc_id % 3 = 0) select s.doc_id, count(*) as matches from s join f on starts_with(f.sha, s.short) group by 1", ("docs",))
+@R.query("prefix_resolution", f"with f as (select distinct sha256(text) as sha from {{docs}}), s as (select doc_id, substr(sha256(text), 1, cast(8 + doc_id % 5 as int)) as short from {{docs}}) select s.doc_id, count(*) as matches from s join f on starts_with(f.sha, s.short) group by 1", ("docs",))
 def prefix_resolution(docs):
     full = docs.select(F.sha2("text", 256).alias("sha")).distinct()
-    short = docs.where("doc_id % 3 = 0").select("doc_id", F.substr(F.sha2("text", 256), F.lit(1), (8 + F.col("doc_id") % 5).cast("int")).alias("short"))
+    short = docs.select("doc_id", F.substr(F.sha2("text", 256), F.lit(1), (8 + F.col("doc_id") % 5).cast("int")).alias("short"))
     return joins.prefix_join(short, full, "short", "sha").groupBy("doc_id").agg(F.count("*").alias("matches"))
 
 
-R.both("latency_window", "select session_id, count(*) as pairs, count(case when result_us between call_us - 2000000 and call_us + 2592000000000 then 1 end) as inside, count(case when result_us < call_us then 1 end) as before_call from {ollog} group by session_id")
-R.both("subagent_links", "select stream, count(*) as events, count(distinct session_id) as sessions, sum(case when kind = 'call' then 1 else 0 end) as calls from {elog} group by stream")
-R.both("deletion_neighbours", "select session_id, seq, lag(seq) over (partition by session_id, stream order by seq) as before_seq, lead(seq) over (partition by session_id, stream order by seq) as after_seq from {elog} where kind = 'call'")
-R.both("result_tool_of_call", "select session_id, seq, kind, max(case when kind = 'call' then seq end) over (partition by session_id, call_id order by seq rows between unbounded preceding and 1 preceding) as call_seq from {elog} where kind in ('call', 'result')")
