@@ -93,7 +93,7 @@ def test_allocation_and_draw(spark):
 
 
 def test_grammar(spark):
-    cases = [("ls -la", "total 4\ndrwxr-xr-x 1 a b 4096 Oct  4 02:44 x\n-rw-r--r-- 1 a b 1 Oct  4 02:44 y\n-rw-r--r-- 1 a b 1 Oct  4 02:44 z", ["ls_all_missing_dotdirs"]), ("head -n 2 f", "a\nb\nc", ["line_cap"]), ("cat -n f", "     1\ta\n     3\tb\n     4\tc", ["line_numbering"]), ("grep foo f", "a foo\nbar", ["grep_match"]), ("grep -i FOO f", "a foo", []), ("find . -name '*.py'", "./a.py\n./b.txt", ["find_name"]), ("git log --oneline", "abc1234 x\nnot a row", ["git_oneline_format"]), ("ls | head -n 1", "a\nb", []), ("pytest -q", "....... [100%]\n2 passed in 1s", ["pytest_count"])]
+    cases = [("ls -la", "total 4\ndrwxr-xr-x 1 a b 4096 Oct  4 02:44 x\n-rw-r--r-- 1 a b 1 Oct  4 02:44 y\n-rw-r--r-- 1 a b 1 Oct  4 02:44 z", ["ls_all_missing_dotdirs"]), ("head -2 f", "a\nb\nc", ["line_cap"]), ("cat -n f", "     1\ta\n     3\tb\n     4\tc", ["line_numbering"]), ("grep foo f", "a foo\nbar", ["grep_match"]), ("grep -i FOO f", "a foo", []), ("find . -name '*.py'", "./a.py\n./b.txt", ["find_name"]), ("git log --oneline", "abc1234 x\nnot a row", ["git_oneline_format"]), ("ls | head -n 1", "a\nb", []), ("pytest -q", "....... [100%]\n2 passed in 1.0s", ["pytest_count"])]
     df = spark.createDataFrame([(i, c, o) for i, (c, o, _) in enumerate(cases)], "i int, c string, o string")
     got = {r.i: r.b for r in df.select("i", grammar.violations(F.col("c"), F.col("o"))[0].alias("b")).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}

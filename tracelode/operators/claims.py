@@ -25,41 +25,79 @@ def mode_never_performed(claims: DataFrame, calls: DataFrame) -> DataFrame:
     return j.select("claim_id", _verdict(never, ~never, "mode").alias("reason"))
 
 
+def _merged(claims: DataFrame, *others: DataFrame) -> DataFrame:
+    """Claims (what_ = 0) and other rows (1, 2, ...) of a session in one table, so that what lies before and behind a claim is a window."""
+    both = claims.withColumn("what_", F.lit(0))
+    for k, o in enumerate(others, 1):
+        both = both.unionByName(o.withColumn("what_", F.lit(k)), allowMissingColumns=True)
+    return both
+
+
+#: Digits by which claimed and shown digests are matched; shorter ones can't be told apart.
+PREFIX = 7
+
+
 def digest_claims(claims: DataFrame, shown: DataFrame) -> DataFrame:
-    """claims(claim_id, session_id, pos, digest) with shown(session_id, pos, digest): its form, then whether an earlier output of the session shows it, either being a prefix of the other."""
-    j = claims.join(shown.select("session_id", F.col("pos").alias("at"), F.col("digest").alias("known")), "session_id", "left")
-    g = j.groupBy("claim_id", "digest").agg(F.collect_set(F.when(F.col("at") < F.col("pos"), F.col("known"))).alias("known"))
+    """claims(claim_id, session_id, pos, digest) with shown(session_id, pos, digest): its form, then whether an earlier output of the session shows it, either being a prefix of the other.
+
+    Both are matched by session and first PREFIX digits, where the shown ones keep their first place only; whether the session showed
+    any digest before is a minimum per session. No claim meets all digests of its session.
+    """
+    first = shown.groupBy("session_id", F.col("digest").alias("known")).agg(F.min("pos").alias("at"))
+    any_before = shown.groupBy("session_id").agg(F.min("pos").alias("least"))
+    p = lambda c: F.substring(c, 1, PREFIX)
+    met = claims.withColumn("p_", p("digest")).join(first.withColumn("p_", p("known")), ["session_id", "p_"])
+    alike = F.col("known").startswith(F.col("digest")) | F.col("digest").startswith(F.col("known"))
+    owned = met.where((F.col("at") < F.col("pos")) & alike & (F.length("digest") >= PREFIX)).select("claim_id").distinct().withColumn("own_", F.lit(True))
+    j = claims.join(any_before, "session_id", "left").join(owned, "claim_id", "left")
     defect = digest_defect(F.col("digest"))
-    supported = F.coalesce(digest_supported(F.col("digest"), F.col("known")), F.lit(False))
-    return g.select("claim_id", F.coalesce(F.concat(F.lit("violation:"), defect), F.when(supported, "ok:digest").when(F.size("known") > 0, "violation:digest_not_own").otherwise("missing:no_digest_shown")).alias("reason"))
+    other = F.when(F.col("own_"), "ok:digest").when(F.col("least") < F.col("pos"), "violation:digest_not_own").otherwise("missing:no_digest_shown")
+    return j.select("claim_id", F.coalesce(F.concat(F.lit("violation:"), defect), other).alias("reason"))
 
 
 def line_counts(claims: DataFrame, views: DataFrame, changes: DataFrame) -> DataFrame:
     """claims(claim_id, session_id, pos, path, lines) with views(session_id, pos, path, lines) and changes(session_id, pos, path).
 
-    Views after the last change before the claim count; they decide if they all agree.
+    Views after the last change before the claim count; they decide if they all agree. A running count of changes
+    numbers the states of a file, inside which a running minimum and maximum say whether the views agree.
     """
-    cut = claims.join(changes.select("session_id", "path", F.col("pos").alias("changed")), ["session_id", "path"], "left").groupBy("claim_id", "session_id", "pos", "path", "lines").agg(F.max(F.when(F.col("changed") < F.col("pos"), F.col("changed"))).alias("cut"))
-    j = cut.join(views.select("session_id", "path", F.col("pos").alias("at"), F.col("lines").alias("seen")), ["session_id", "path"], "left")
-    own = (F.col("at") < F.col("pos")) & (F.col("at") > F.coalesce("cut", F.lit(-1)))
-    g = j.groupBy("claim_id", "lines").agg(F.countDistinct(F.when(own, F.col("seen"))).alias("n"), F.max(F.when(own, F.col("seen"))).alias("seen"))
-    return g.select("claim_id", F.when(F.col("n") == 0, "missing:no_view").when(F.col("n") > 1, "abstain:views_differ").when(F.col("seen") == F.col("lines"), "ok:lines").otherwise("violation:lines").alias("reason"))
+    both = _merged(claims, views.withColumnRenamed("lines", "seen"), changes)
+    file = Window.partitionBy("session_id", "path").orderBy("pos", "what_")
+    # at one place a claim comes first: it sees neither the view nor the change there
+    both = both.withColumn("state_", F.count_if(F.col("what_") == 2).over(file.rowsBetween(Window.unboundedPreceding, 0)))
+    state = Window.partitionBy("session_id", "path", "state_").orderBy("pos", "what_").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"low_": F.min("seen").over(state), "high_": F.max("seen").over(state)}).where("what_ = 0")
+    low, high = F.col("low_"), F.col("high_")
+    reason = F.when(low.isNull(), "missing:no_view").when(low != high, "abstain:views_differ").when(low == F.col("lines"), "ok:lines").otherwise("violation:lines")
+    return both.select("claim_id", reason.alias("reason"))
 
 
 def check_scope(claims: DataFrame, runs: DataFrame) -> DataFrame:
     """claims(claim_id, session_id, pos, scope) with runs(session_id, pos, scope, passed): a check said to pass must have run in that scope and passed last."""
-    j = claims.join(runs.select("session_id", F.col("pos").alias("at"), F.col("scope").alias("ran"), "passed"), "session_id", "left")
-    before, same = F.col("at") < F.col("pos"), F.col("ran") == F.col("scope")
-    g = j.groupBy("claim_id").agg(F.max_by("passed", F.when(before & same, F.col("at"))).alias("last"), F.count_if(before & ~same).alias("other"))
-    return g.select("claim_id", F.when(F.col("last") == F.lit(True), "ok:check").when(F.col("last") == F.lit(False), "violation:check_failed").when(F.col("other") > 0, "violation:check_substituted").otherwise("missing:no_check").alias("reason"))
+    both = _merged(claims, runs)
+    past = Window.orderBy("pos", "what_").rowsBetween(Window.unboundedPreceding, -1)
+    ran = F.when(F.col("what_") == 1, F.col("passed"))
+    scope = past.partitionBy("session_id", "scope")
+    both = both.withColumns({"last_": F.last(ran, ignorenulls=True).over(scope), "own_": F.count(ran).over(scope), "all_": F.count(ran).over(past.partitionBy("session_id"))})
+    reason = F.when(F.col("last_"), "ok:check").when(~F.col("last_"), "violation:check_failed").when(F.col("all_") > F.col("own_"), "violation:check_substituted").otherwise("missing:no_check")
+    return both.where("what_ = 0").select("claim_id", reason.alias("reason"))
 
 
 def durable_pass(claims: DataFrame, runs: DataFrame, changes: DataFrame) -> DataFrame:
-    """A claimed pass is false if the last run before it failed, or the first after it fails with no change between."""
-    j = claims.join(runs.select("session_id", F.col("pos").alias("at"), "passed"), "session_id", "left")
-    g = j.groupBy("claim_id", "session_id", "pos").agg(F.max_by("passed", F.when(F.col("at") < F.col("pos"), F.col("at"))).alias("before"), F.min_by("passed", F.when(F.col("at") > F.col("pos"), F.col("at"))).alias("after"), F.min(F.when(F.col("at") > F.col("pos"), F.col("at"))).alias("next"))
-    moved = g.join(changes.select("session_id", F.col("pos").alias("changed")), "session_id", "left").groupBy("claim_id", "before", "after").agg(F.coalesce(F.bool_or((F.col("changed") > F.col("pos")) & (F.col("changed") < F.col("next"))), F.lit(False)).alias("moved"))
-    return moved.select("claim_id", F.when(F.col("before") == F.lit(False), "violation:pass_before_failed").when((F.col("after") == F.lit(False)) & ~F.col("moved"), "violation:pass_not_durable").when(F.col("before") == F.lit(True), "ok:pass").otherwise("missing:no_run").alias("reason"))
+    """claims(claim_id, session_id, pos) with runs(session_id, pos, passed) and changes(session_id, pos): a claimed pass is false if the last run before it failed, or the first after it fails with no change between."""
+    both = _merged(claims, runs, changes)
+    w = Window.partitionBy("session_id").orderBy("pos", "what_")
+    run = F.when(F.col("what_") == 1, F.struct("pos", "passed"))
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    both = both.withColumns({
+        "before_": F.last(run, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "next_": F.first(run, ignorenulls=True).over(ahead),
+        "changed_": F.min(F.when((F.col("what_") == 2), F.col("pos"))).over(ahead),
+    }).where("what_ = 0")
+    moved = F.coalesce((F.col("changed_") > F.col("pos")) & (F.col("changed_") < F.col("next_.pos")), F.lit(False))
+    reason = F.when(~F.col("before_.passed"), "violation:pass_before_failed").when(~F.col("next_.passed") & ~moved, "violation:pass_not_durable")
+    reason = reason.when(F.col("before_.passed"), "ok:pass").otherwise("missing:no_run")
+    return both.select("claim_id", reason.alias("reason"))
 
 
 def answers(claims: DataFrame, least: int = LEAST_ANSWERS, share: float = SHARE) -> DataFrame:

@@ -40,11 +40,35 @@ def relative_band_join(left: DataFrame, right: DataFrame, on: list[str], value:
     return spread.join(r, [*on, "_band"]).where(F.abs(F.col(f"r_{value}") - F.col(value)) <= F.call_function("div", F.col(value), F.lit(share))).drop("_band")
 
 
-def donors(left: DataFrame, right: DataFrame, on: list[str], session: str, key: str, value: str, seed: int = 1) -> DataFrame:
-    """For each left row the nearest partner of another session within five per cent of its size; ties by seeded hash."""
-    found = relative_band_join(left, right, on, value).where(F.col(session) != F.col(f"r_{session}"))
-    order = Window.partitionBy(session, key).orderBy(F.abs(F.col(f"r_{value}") - F.col(value)), F.xxhash64(f"r_{session}", f"r_{key}", F.lit(seed)), f"r_{session}", f"r_{key}")
-    return found.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+def donors(left: DataFrame, right: DataFrame, on: list[str], session: str, key: str, value: str, seed: int = 1, share: int = 20) -> DataFrame:
+    """For each left row the nearest partner of another session with |difference| <= value div share; ties by seeded hash.
+
+    right's session, key and value come as r_ columns. The nearest partner is the last one before or the first one behind in the
+    order of values, so no pairs are listed: right rows first learn the last row of another session on either
+    side, then left rows look up their neighbour, and that row's where the neighbour's session is their own.
+    """
+    tie = F.xxhash64(session, key, F.lit(seed))
+    named = F.struct(F.col(session).alias("s"), F.col(key).alias("k"), F.col(value).alias("v"), tie.alias("h"))
+    r = right.select(*on, F.col(session).alias("s_"), F.col(value).alias("v_"), tie.alias("h_"), F.col(key).alias("k_"), named.alias("own_"), F.lit(1).alias("side_"))
+    r = r.where("v_ is not null")
+    rising = [F.col("v_"), F.col("h_"), F.col("s_"), F.col("k_")]
+    falling = [c.desc() for c in rising]
+    for name, order in (("low_", rising), ("high_", falling)):
+        w = Window.partitionBy(*on).orderBy(*order)
+        turn = F.lag("s_").over(w) != F.col("s_")
+        r = r.withColumn(name, F.last(F.when(turn, F.lag("own_").over(w)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    l = left.withColumns({"s_": F.col(session), "v_": F.col(value), "h_": tie, "k_": F.col(key), "side_": F.lit(0)})
+    both = l.unionByName(r, allowMissingColumns=True)
+    found = []
+    for name, order in (("low_", [F.col("v_"), F.desc("side_")]), ("high_", [F.desc("v_"), F.desc("side_")])):
+        upto = Window.partitionBy(*on).orderBy(*order, "h_", "s_", "k_").rowsBetween(Window.unboundedPreceding, 0)
+        near = F.last(F.when(F.col("side_") == 1, F.struct(F.col("own_").alias("a"), F.col(name).alias("b"))), ignorenulls=True).over(upto)
+        both = both.withColumn(f"near{name}", near)
+        found.append(F.when(F.col(f"near{name}.a.s") != F.col("s_"), F.col(f"near{name}.a")).otherwise(F.col(f"near{name}.b")))
+    gap = lambda c: F.abs(c["v"] - F.col("v_"))
+    ranked = F.array_sort(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(gap(c).alias("gap"), c["h"].alias("h"), c.alias("c"))) for c in found])))
+    best = both.where("side_ = 0").withColumn("best_", F.get(ranked, F.lit(0))).where(F.col("best_.gap") <= F.call_function("div", F.col("v_"), F.lit(share)))
+    return best.select(*left.columns, F.col("best_.c.s").alias(f"r_{session}"), F.col("best_.c.k").alias(f"r_{key}"), F.col("best_.c.v").alias(f"r_{value}"))
 
 
 def in_flight(intervals: DataFrame, by: str, start: str, end: str, key: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import FEATURES, split_think, text_counts
+from ..tables import written
 
 
 def windows(turns: DataFrame) -> DataFrame:
@@ -65,7 +66,11 @@ def verdicts(turns: DataFrame, coef: dict[str, float], abs_tokens: float, rel: f
 
 
 def fit(w: DataFrame, names: tuple[str, ...] = NAMES, y: str = "growth", keep: float = 0.995, rounds: int = 3) -> dict[str, float]:
-    """Trimmed least squares by normal equations: rows never leave the cluster, each round drops the largest residuals."""
+    """Trimmed least squares by normal equations: rows never leave the cluster, each round drops the largest residuals.
+
+    The windows are written once, as every round reads them.
+    """
+    w = written(w.select(*names, y), "windows")
     beta, rows = None, w
     for _ in range(rounds):
         if beta is not None:

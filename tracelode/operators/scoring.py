@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import STRENGTHS
+from ..tables import running
 
 CONTRADICTED, SUPPORTED, UNCONSTRAINED = "contradicted", "supported", "unconstrained"
 
@@ -113,15 +114,20 @@ def allocate(sizes: DataFrame, total: int, floor: int = 5, key: str = "cell", n:
 
 
 def terciles(rows: DataFrame, value: str, tie: str, by: list[str] | None = None) -> DataFrame:
-    """Adds tercile short, mid or long by row number over count, ties in the order of tie."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    q = F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w)
-    return rows.withColumn("_q", q).withColumn("tercile", F.when(F.col("_q") <= 1 / 3, "short").when(F.col("_q") <= 2 / 3, "mid").otherwise("long")).drop("_q")
+    """Adds tercile short, mid or long by row number over count, ties in the order of tie; without groups the numbers are made in two levels."""
+    if by:
+        w = Window.partitionBy(*by)
+        numbered = rows.withColumn("_q", F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w))
+    else:
+        numbered = running(rows, [F.col(value), F.col(tie)], name="_no")
+        n = numbered.count()
+        numbered = numbered.withColumn("_q", (F.col("_no") + 1) / F.lit(max(1, n))).drop("_no")
+    return numbered.withColumn("tercile", F.when(F.col("_q") <= 1 / 3, "short").when(F.col("_q") <= 2 / 3, "mid").otherwise("long")).drop("_q")
 
 
 def draw(rows: DataFrame, cells: DataFrame, key: str, cell: str = "cell", seed: int = 20261003) -> DataFrame:
     """The allocated number of rows of each cell, those with the smallest seeded hashes."""
-    w = Window.partitionBy(cell).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(cell).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return rows.join(cells.select(cell, "alloc"), cell).withColumn("_n", F.row_number().over(w)).where("_n <= alloc").drop("_n", "alloc")
 
 

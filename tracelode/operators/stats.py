@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import running
 from . import bootstrap
 
 SEED, DRAWS = bootstrap.SEED, bootstrap.DRAWS
@@ -65,8 +67,13 @@ def log_histogram(rows: DataFrame, value: str, per_decade: int = 4, by: list[str
 def ranked(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """rows with the average rank of value within by: counts per distinct value are summed first, so only those are ordered together."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if by:
+        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    else:  # one group of any size: in two levels
+        counts = running(counts, [F.col(value)], ["_n"], "_no")
+        before = F.col("_n_before")
+        return rows.join(counts.select(value, (before + (F.col("_n") + 1) / 2.0).alias(name)), [value])
     return rows.join(counts.withColumn(name, before + (F.col("_n") + 1) / 2.0).drop("_n"), [*by, value])
 
 
@@ -91,9 +98,9 @@ def entropy(counts: DataFrame, by: list[str], n: str) -> DataFrame:
 def divergence(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
     """One row: Jensen-Shannon distance (bits, root) and total variation of two count tables over key."""
     p, q = (df.select(key, F.col(n).cast("double").alias(name)) for df, name in ((left, "p"), (right, "q")))
-    one = Window.partitionBy(F.lit(0))
-    both = p.join(q, key, "full").withColumns({"p": F.coalesce("p", F.lit(0.0)), "q": F.coalesce("q", F.lit(0.0))})
-    both = both.withColumns({"p": F.col("p") / F.sum("p").over(one), "q": F.col("q") / F.sum("q").over(one)})
+    total = {name: df.agg(F.sum(name)).first()[0] for name, df in (("p", p), ("q", q))}
+    both = p.join(q, key, "full")
+    both = both.withColumns({c: F.try_divide(F.coalesce(c, F.lit(0.0)), F.lit(total[c]).cast("double")) for c in ("p", "q")})
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
     return both.agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(part("p") + part("q")) / 2)).alias("js"), (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv"))
@@ -184,22 +191,43 @@ def chi2_uniform(counts: DataFrame, by: list[str], n: str) -> DataFrame:
     return g.withColumn("p", tail("stat", "df"))
 
 
-def change_point(rows: DataFrame, by: str, order: str, value: str, q: float = 0.1, permutations: int = 200, seed: int = SEED, least: int = 8) -> DataFrame:
-    """(by, at, gain, p): the split of a group's ordered values that moves their quantile most, with a permutation p-value."""
+def _prefix_quantiles(v: np.ndarray, cuts: list[int], q: float) -> list[float]:
+    """The linearly interpolated quantile of each prefix v[:c], c ascending, from one growing sorted list."""
+    held: list[float] = []
+    out, wanted = [], iter(cuts)
+    c = next(wanted, None)
+    for n, x in enumerate(v.tolist(), 1):
+        bisect.insort(held, x)
+        if n == c:
+            at, part = divmod((n - 1) * q, 1)
+            low = held[int(at)]
+            out.append(low + (held[min(int(at) + 1, n - 1)] - low) * part)
+            c = next(wanted, None)
+    return out
 
-    def best(v: np.ndarray) -> tuple[int, float]:
-        cuts = range(least, len(v) - least + 1)
-        gains = [abs(np.quantile(v[:c], q) - np.quantile(v[c:], q)) for c in cuts]
-        k = int(np.argmax(gains))
-        return cuts[k], float(gains[k])
+
+def _best_split(v: np.ndarray, cuts: list[int], q: float) -> tuple[int, float]:
+    left = _prefix_quantiles(v, cuts, q)
+    right = _prefix_quantiles(v[::-1], [len(v) - c for c in reversed(cuts)], q)[::-1]
+    gains = np.abs(np.subtract(left, right))
+    k = int(np.argmax(gains))
+    return cuts[k], float(gains[k])
+
+
+def change_point(rows: DataFrame, by: str, order: str, value: str, q: float = 0.1, permutations: int = 199, seed: int = SEED, least: int = 20) -> DataFrame:
+    """(by, at, gain, p): the split of a group's ordered values that moves their quantile most, with a permutation p-value.
+
+    Both sides keep at least `least` values; about 100 splits at even steps are tried. Shorter groups have nulls.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(order)[value].dropna().to_numpy(float)
         if len(v) < 2 * least:
             return pd.DataFrame({by: [pdf[by].iloc[0]], "at": [None], "gain": [None], "p": [None]})
-        at, gain = best(v)
+        cuts = list(range(least, len(v) - least + 1, max(1, len(v) // 100)))
+        at, gain = _best_split(v, cuts, q)
         rng = np.random.default_rng(seed)
-        beaten = sum(best(rng.permutation(v))[1] >= gain for _ in range(permutations))
+        beaten = sum(_best_split(rng.permutation(v), cuts, q)[1] >= gain - 1e-15 for _ in range(permutations))
         return pd.DataFrame({by: [pdf[by].iloc[0]], "at": [at], "gain": [gain], "p": [(beaten + 1) / (permutations + 1)]})
 
     return rows.select(by, order, value).groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, at long, gain double, p double")

@@ -113,7 +113,9 @@ def allocation(orders):
     return scoring.allocate(sizes, 400)
 
 
-@R.query("stratified_draw", None, ("orders",))
+@R.query("stratified_draw", _ALLOC.replace("select cell, n, cast(", "select cell, cast(", 1).replace("\nwith s as", "with a as (with s as", 1) + """),
+r as (select o_orderkey, o_orderpriority || '|' || o_orderstatus as cell, row_number() over (partition by o_orderpriority || '|' || o_orderstatus order by md5('20261003:' || cast(o_orderkey as string)), o_orderkey) as i from {orders})
+select o_orderkey, r.cell from r join a on a.cell = r.cell where i <= alloc""", ("orders",))
 def stratified_draw(orders):
     rows = orders.select("o_orderkey", F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("cell"))
     return scoring.draw(rows, scoring.allocate(rows.groupBy("cell").agg(F.count("*").alias("n")), 400), "o_orderkey")

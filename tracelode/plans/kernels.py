@@ -106,15 +106,86 @@ def claims_mode(elog):
     return claims.mode_never_performed(said, elog.where("kind = 'call'").select("session_id", F.col("seq").alias("pos"), F.col("tool").alias("mode")))
 
 
-@R.query("claims_durable_pass", None)
+@R.query("claims_durable_pass", """
+with e as (select * from {elog}), c as (select * from e where kind = 'assistant'),
+j as (select c.event_id as claim_id, (select arg_max(not is_error, seq) from e where e.session_id = c.session_id and kind = 'result' and e.seq < c.seq) as before,
+             (select arg_min(not is_error, seq) from e where e.session_id = c.session_id and kind = 'result' and e.seq > c.seq) as after,
+             (select min(seq) from e where e.session_id = c.session_id and kind = 'result' and e.seq > c.seq) as next_at,
+             (select min(seq) from e where e.session_id = c.session_id and kind = 'user' and e.seq > c.seq) as changed from c)
+select claim_id, case when before = false then 'violation:pass_before_failed' when after = false and coalesce(changed < next_at, false) = false then 'violation:pass_not_durable'
+                      when before then 'ok:pass' else 'missing:no_run' end as reason from j""")
 def claims_durable_pass(elog):
     said = elog.where("kind = 'assistant'").select(F.col("event_id").alias("claim_id"), "session_id", F.col("seq").alias("pos"))
     runs = elog.where("kind = 'result'").select("session_id", F.col("seq").alias("pos"), (~F.col("is_error")).alias("passed"))
     return claims.durable_pass(said, runs, elog.where("kind = 'user'").select("session_id", F.col("seq").alias("pos")))
 
 
-@R.query("grammar_head", "select doc_id, len(string_split(rtrim(text), chr(10))) > 3 as broken from {documents} where text is not null and trim(text) <> '' and not regexp_matches(text, '(?m)^(?:\\S+: )?(?:.*: )?(?:No such file or directory|Permission denied|command not found|cannot access|warning:|error:|fatal:)')", ("documents",))
+_FILES = "with e as (select * from {elog}), c as (select event_id as claim_id, session_id, seq as pos, k % 3 as path, k % 4 as n from e where kind = 'assistant'), v as (select session_id, seq as pos, k % 3 as path, k % 4 as n from e where kind = 'result' and not is_error)"
+
+
+@R.query("claims_lines", _FILES + """,
+x as (select session_id, seq as pos, k % 3 as path from e where kind = 'call'),
+j as (select c.*, coalesce((select max(pos) from x where x.session_id = c.session_id and x.path = c.path and x.pos < c.pos), -1) as cut from c where path is not null),
+g as (select claim_id, j.n, min(v.n) as lo, max(v.n) as hi from j left join v on v.session_id = j.session_id and v.path = j.path and v.pos > cut and v.pos < j.pos group by 1, 2)
+select claim_id, case when lo is null then 'missing:no_view' when lo <> hi then 'abstain:views_differ' when lo = n then 'ok:lines' else 'violation:lines' end as reason from g""")
+def claims_lines(elog):
+    path, lines = (F.col("k") % 3).alias("path"), (F.col("k") % 4).alias("lines")
+    rows = lambda cond, *cols: elog.where(cond).where("k is not null").select("session_id", F.col("seq").alias("pos"), path, *cols)
+    said = rows("kind = 'assistant'", F.col("event_id").alias("claim_id"), lines)
+    return claims.line_counts(said, rows("kind = 'result' and not is_error", lines), rows("kind = 'call'"))
+
+
+@R.query("claims_scope", _FILES + """,
+r as (select session_id, seq as pos, k % 3 as path, not is_error as passed from e where kind = 'result'),
+g as (select c.claim_id, arg_max(r.passed, r.pos) filter (where r.path = c.path) as last, count(case when r.path <> c.path then 1 end) as other
+      from c left join r on r.session_id = c.session_id and r.pos < c.pos where c.path is not null group by 1)
+select claim_id, case when last then 'ok:check' when last = false then 'violation:check_failed' when other > 0 then 'violation:check_substituted' else 'missing:no_check' end as reason from g""")
+def claims_scope(elog):
+    rows = lambda cond, *cols: elog.where(cond).where("k is not null").select("session_id", F.col("seq").alias("pos"), (F.col("k") % 3).alias("scope"), *cols)
+    return claims.check_scope(rows("kind = 'assistant'", F.col("event_id").alias("claim_id")), rows("kind = 'result'", (~F.col("is_error")).alias("passed")))
+
+
+@R.query("claims_digests", """
+with e as (select *, md5(cast(k % 40 as string)) as h from {elog} where k is not null), s as (select session_id, seq as pos, substr(h, 1, 20) as d from e where kind = 'result'),
+c as (select event_id as claim_id, session_id, seq as pos, substr(h, 1, cast(case event_id % 3 when 0 then 32 when 1 then 12 else 25 end as int)) as d from e where kind = 'assistant'),
+g as (select claim_id, c.d, coalesce(bool_or(starts_with(s.d, c.d) or starts_with(c.d, s.d)), false) as own, count(s.d) as n from c left join s on s.session_id = c.session_id and s.pos < c.pos group by 1, 2)
+select claim_id, case when length(d) = 25 then 'violation:hex_length_25' when own then 'ok:digest' when n > 0 then 'violation:digest_not_own' else 'missing:no_digest_shown' end as reason from g""")
+def claims_digests(elog):
+    h, e = F.md5((F.col("k") % 40).cast("string")), F.col("event_id")
+    rows = lambda cond, *cols: elog.where(cond).where("k is not null").select("session_id", F.col("seq").alias("pos"), *cols)
+    cut = F.substr(h, F.lit(1), F.when(e % 3 == 0, 32).when(e % 3 == 1, 12).otherwise(25))
+    return claims.digest_claims(rows("kind = 'assistant'", e.alias("claim_id"), cut.alias("digest")), rows("kind = 'result'", F.substring(h, 1, 20).alias("digest")))
+
+
+def _three(op: str) -> str:
+    return f"(?m)^(?:Exit code \\b|\\w+: cannot access|\\w+: No such file|ls: |git: |usage: |Traceback|\\s*File \"|warning:|fatal:){op}"
+
+
+@R.query("grammar_head", "select doc_id, len(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))) > 3 as broken from {documents} where text is not null and trim(text) <> '' and not regexp_matches(text, '" + _three("") + "')", ("documents",))
 def grammar_head(documents):
     own = documents.where("text is not null and trim(text) <> ''").where(~F.col("text").rlike(grammar.DIAGNOSTIC))
-    broken, _ = grammar.violations(F.lit("head -n 3 notes.txt"), F.col("text"))
+    broken, _ = grammar.violations(F.lit("head -3 notes.txt"), F.col("text"))
     return own.select("doc_id", F.array_contains(broken, "line_cap").alias("broken"))
+
+
+#: Commands with outputs, their broken rules and how many applied.
+_OUTPUTS = [
+    ("ls -la", "total 4\ndrwxr-xr-x 1 a b 4096 Oct  4 02:44 x\n-rw-r--r-- 1 a b 1 Oct  4 02:44 y\n-rw-r--r-- 1 a b 1 Oct  4 02:44 z", "ls_all_missing_dotdirs", 1),
+    ("ls -l", "total 4\n-rw-r--r-- 1 a b 1 Oct  4 02:44 y\n+ forged", "ls_long_format", 1),
+    ("ls -lt", "-rw-r--r-- 1 a b 1 Oct  4 02:44 y\n-rw-r--r-- 1 a b 1 Oct  4 03:44 z\n-rw-r--r-- 1 a b 1 Oct  4 01:44 w", "ls_time_order", 2),
+    ("head -2 f", "a\nb\nc", "line_cap", 1), ("head -2 f g", "==> f <==\na\nb\n==> g <==\nc", "", 0), ("head -n 2 f", "a\nb\nc", "", 0),
+    ("cat -n f", "     1\ta\n     3\tb\n     4\tc", "line_numbering", 1), ("Read f", "     1\ta\nb\n     3\tc", "line_numbering_partial", 1), ("nl f", "1\ta\n2\n3\tc", "", 1),
+    ("grep foo f", "a foo\nbar", "grep_match", 1), ("grep -i FOO f", "a foo", "", 1), ("grep -c foo f", "3", "", 0), ("grep fo.o f", "x", "", 0),
+    ("find . -name '*.py'", "./a.py\n./b.txt", "find_name", 1), ("find . -name '[!a]*'", "./b\n./c", "", 1), ("find . -name '[!a]*'", "./a", "find_name", 1),
+    ("git log --oneline", "abc1234 x\nnot a row", "git_oneline_format", 1), ("git log --oneline", "* abc1234 x\n| abc1235 y", "", 1),
+    ("pytest -q", "....... [100%]\n2 passed in 1.0s", "pytest_count", 1), ("pytest -q", "....... [100%]\n2 passed somewhere", "", 0),
+    ("python x.py", "Exit code 0\nTraceback (most recent call last):\nValueError: x", "exit_status", 1), ("ls | head -1", "a\nb", "", 0),
+    ("cd w && head -1 f", "a\nb", "line_cap", 1), ("cat -n f", "usage: cat", "", 0), ("head -1 f", "a\n...[clipped 9 chars]", "", 0),
+]
+
+
+@R.query("grammar_rules", "select * from (values " + ", ".join(f"({k}, '{want}', {n})" for k, (_, _, want, n) in enumerate(_OUTPUTS)) + ") as t(id, broken, applied) where (select count(*) from {documents}) >= 0", ("documents",))
+def grammar_rules(documents):
+    df = documents.sparkSession.createDataFrame([(k, c, o) for k, (c, o, _, _) in enumerate(_OUTPUTS)], "id int, command string, output string")
+    broken, applied = grammar.violations(F.col("command"), F.col("output"))
+    return df.select("id", F.array_join(broken, ",").alias("broken"), applied.alias("applied"))

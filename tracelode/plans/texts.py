@@ -72,7 +72,13 @@ def hex_tokens(docs):
     return docs.where(F.col("text").rlike("[0-9][a-f]|[a-f][0-9]")).select("doc_id", F.array_sort(text.hex_tokens(F.col("text"))).alias("tokens"))
 
 
-@R.query("digest_defects", None, ("docs",))
+@R.query("digest_defects", """
+with m as (select doc_id, regexp_replace(text, '\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\b', ' ', 'g') as t from {docs}),
+f as (select doc_id, lower(unnest(regexp_extract_all(t, '\\b[0-9a-fA-F]{7,64}\\b'))) as h from m),
+k as (select doc_id, h, row_number() over () as id from f where length(h) between 20 and 64 and regexp_matches(h, '[0-9]') and regexp_matches(h, '[a-f]')),
+d as (select id, i, (strpos('0123456789abcdef', substr(h, i + 2, 1)) - strpos('0123456789abcdef', substr(h, i, 1)) + 16) % 16 = 1 as up from (select id, h, unnest(range(1, length(h) - 1)) as i from k) x),
+g as (select id, up, i - row_number() over (partition by id, up order by i) as grp from d), r as (select id, max(n) as run from (select id, grp, count(*) as n from g where up group by 1, 2) y group by 1)
+select doc_id, h, case when length(h) not in (32, 40, 56, 64) then 'hex_length_' || length(h) when coalesce(run, 0) >= 12 then 'ascending_nibble_template' end as defect from k left join r on r.id = k.id""", ("docs",))
 def digest_defects(docs):
     found = docs.select("doc_id", F.explode(text.hex_tokens(F.col("text"), tuple(range(20, 65)))).alias("h"))
     return found.select("doc_id", "h", text.digest_defect(F.col("h")).alias("defect"))
@@ -106,13 +112,22 @@ def tools_folded(events):
     return events.select("event_type", text.normalize_tool(F.col("event_type")).alias("tool")).groupBy("event_type", "tool").agg(F.count("*").alias("n"))
 
 
-@R.query("error_marks", None, ("docs",))
+_CUT = " or ".join("regexp_matches(t, '{}')".format(p.replace("'", "''")) for p in text.TRUNCATION)
+
+
+@R.query("error_marks", f"""
+with t as (select doc_id, case when doc_id % 5 = 0 then 'Exit code 1' || chr(10) else '' end || text as t from {{docs}})
+select doc_id, case when regexp_matches(t, '^Exit code [0-9]+') then 'cc_exit_code' when starts_with(t, '<tool_use_error>') then 'cc_tool_use_error'
+                    when regexp_matches(t, '(?m)^Exit Code: 0*[1-9]') then 'gemini_exit_code_nonzero' when regexp_matches(t, '^exitcode: 0*[1-9]') then 'whowhen_exitcode_nonzero' end as mark,
+       {_CUT} as truncated from t""", ("docs",))
 def error_marks(docs):
     t = F.concat(F.when(F.col("doc_id") % 5 == 0, "Exit code 1\n").otherwise(""), F.col("text"))
     return docs.select("doc_id", text.error_marker(t).alias("mark"), text.truncated(t).alias("truncated"))
 
 
-@R.query("large_integers", None, ("docs",))
+@R.query("large_integers", """
+with n as (select doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) as x from {docs}), v as (select doc_id, try_cast(x as bigint) as v from n where regexp_matches(x, '^[0-9]{5,15}$'))
+select doc_id, v from v where v >= 10000 and not (v between 1500000000 and 2000000000) and not (v between 1500000000000 and 2000000000000)""", ("docs",))
 def large_integers(docs):
     return docs.select("doc_id", F.explode(text.large_integers(F.col("text"))).alias("v"))
 
