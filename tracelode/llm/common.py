@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..tables import running, shared_folder, written
 
-_own_folder: list[str] = []
+__all__ = ["WORD", "crc_fold", "nth_copy", "running", "shared_folder", "table", "word_count", "wrapped", "written"]
 
+#: A word is a run of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,59 +32,6 @@ def wrapped(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints.
-
-    Where none is named, as in local tests, a temporary folder is made once, set as the
-    checkpoint folder and removed at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tracelode-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    spark.sparkContext.setCheckpointDir(_own_folder[0])
-    return "file://" + _own_folder[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns a reader of the written files.
-
-    Cuts the lineage: a lost executor costs a reread of the files, not the work behind
-    them. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def running(df: DataFrame, order: list[Column], sums: list[str] | tuple = (), name: str = "no") -> DataFrame:
-    """df with name, each row's place from 0 in the order, and `<c>_before` for each c in sums: the sum of c over the rows before it.
-
-    Rows are dealt by ranges of the order and numbered inside each range; a row for each
-    range, as many as the session has shuffle partitions, gives the offsets. So no task holds all
-    rows. Rows that are equal in the order lie in one range.
-    """
-    laid = written(df.withColumn("order", F.struct(*order)).repartitionByRange("order").withColumn("part", F.spark_partition_id()), "ordered")
-    before = Window.partitionBy("part").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    one = laid.withColumn("one", F.lit(1).cast("long"))
-    cols = {name: "one"} | {f"{c}_before": c for c in sums}
-    parts = one.groupBy("part").agg(*[F.sum(c).alias(f"{n}_part") for n, c in cols.items()])
-    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(F.col("part"), *[F.coalesce(F.sum(f"{n}_part").over(up), F.lit(0)).alias(f"{n}_offset") for n in cols])
-    inside = one.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in cols.items()})
-    return inside.join(offsets, "part").select(*df.columns, *[(F.col(n) + F.col(f"{n}_offset")).alias(n) for n in cols])
-
-
 def nth_copy(df: DataFrame, key: list[str], row: str) -> DataFrame:
     """df with `copy`: 0, 1, ... among rows that are equal in the key columns, in order of the row id.
 
