@@ -195,6 +195,37 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.link(calls.limit(0), results).count() == 0
 
 
+def plain_levels(after):
+    level = {}
+
+    def of(u, path):
+        if u in path:
+            return None
+        if u not in level:
+            below = [of(v, path | {u}) for v in after[u] if v in after]
+            level[u] = None if None in below else max((b + 1 for b in below), default=0)
+        return level[u]
+
+    # a call behind a cycle may be met first from inside it, so levels are found from every call anew
+    out = {}
+    for u in after:
+        level.clear()
+        out[u] = of(u, frozenset())
+    return out
+
+
+def test_levels_of_chains_graphs_and_cycles(spark):
+    rng = random.Random(8)
+    convs = {"chain": {f"c{k:02d}": [f"c{k - 1:02d}"] if k else [] for k in range(40)}, "cycle": {"a": ["b"], "b": ["c"], "c": ["a"], "d": ["a"], "e": ["d"], "f": [], "g": ["f", "e"]}, "self": {"a": ["a"], "b": []}, "pair": {"a": ["b", "x"], "b": ["a", "x"], "x": []}}
+    for n in range(6):
+        names = [f"n{k}" for k in range(12)]
+        rng.shuffle(names)
+        convs[f"g{n}"] = {u: sorted({rng.choice(names[:k]) for _ in range(rng.randrange(3))} | ({"gone"} if n == 2 else set())) if k else [] for k, u in enumerate(names)}
+    df = spark.createDataFrame([(c, u, a) for c, g in convs.items() for u, a in g.items()], "conv string, call_id string, after array<string>")
+    got = {(r.conv, r.call_id): r.level for r in chat.levels(df).collect()}
+    assert got == {(c, u): lv for c, g in convs.items() for u, lv in plain_levels(g).items()}
+
+
 def test_chat_query(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     said = {(r.conv_id, r.turn): r for r in turns}
@@ -297,12 +328,10 @@ def test_long_words_and_shapes_are_whole():
 
 def plain_top(rows, k):
     out = []
-    asked = {}
-    for i, v in rows:
-        if i is not None and v is not None and i % 20 == 0:
-            asked[i] = min(asked.get(i, v), v)
-    for q, v in asked.items():
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i is not None and w is not None and i != q and len(w) == len(v))
+    for r, (q, v) in enumerate(rows):
+        if q is None or v is None or q % 20:
+            continue
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for s, (i, w) in enumerate(rows) if i is not None and w is not None and s != r and len(w) == len(v))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -311,16 +340,24 @@ def plain_top(rows, k):
 def test_top_k_is_brute_force(spark, scale):
     rng = random.Random(scale)
     rows = [(i, [float(rng.randrange(-scale, scale)) for _ in range(5 if i % 7 else 3)]) for i in range(130)]
-    rows += [(i, list(rows[3][1])) for i in range(200, 230)] + [(40, rows[40][1]), (41, rows[41][1]), (None, rows[1][1]), (500, None)]
-    df = spark.createDataFrame(rows, "id long, vec array<double>")
-    got = topk.top_k(df.where("id % 20 = 0"), df, k=6, block=16, shards=3)
-    assert sorted(map(tuple, got.collect())) == plain_top(rows, 6)
+    rows += [(i, list(rows[3][1])) for i in range(200, 230)] + [(40, rows[40][1]), (41, rows[41][1]), (None, rows[1][1]), (500, None), (520, []), (521, []), (540, [])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row long, id long, vec array<double>")
+    for shards in (1, 3, 20):
+        got = topk.top_k(df.where("id % 20 = 0"), df, k=6, block=16, shards=shards)
+        assert sorted(map(tuple, got.collect())) == plain_top(rows, 6)
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df.where("id % 20 = 0"), df.limit(0)).count() == 0
 
 
 def test_floored(spark):
     df = spark.createDataFrame([([0.5, -0.01],), ([float("nan")],), ([None, 1.0],), (None,), ([],), ([float("inf")],)], "e array<float>")
-    assert [r[0] for r in df.select(topk.floored(F.col("e"))).collect()] == [[32.0, -1.0], None, None, None, None, None]
+    assert [r[0] for r in df.select(topk.floored(F.col("e"))).collect()] == [[32.0, -1.0], None, None, None, [], None]
+
+
+def test_top_k_query_with_clashing_columns(spark, tmp_path):
+    rows = [(k, [float(k % 5), 1.0], "x", 7) for k in range(60)] + [(20, [1.0, None], "x", 7), (20, [0.5, 0.25], None, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, row int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op6_topk(spark, str(tmp_path))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 4 * 20
 
 
 # --- 7 ---------------------------------------------------------------------------------------

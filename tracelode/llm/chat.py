@@ -13,6 +13,8 @@ TOOLS = {"ask": {"query": {"type": "string", "required": True, "min_length": 1},
 #: JSON types with the prefix that Spark's schema of a variant gives them.
 _KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 MAX_TOOLS = 200
+#: Bytes of results in a shuffle partition, on average, up to which a hash join holds them; beyond it, both sides are sorted.
+HASH_BYTES = 64_000_000
 
 
 def _field_errors(args: Column, name: str, rule: dict) -> list[Column]:
@@ -52,27 +54,52 @@ def canonical(text: Column) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level): the longest chain of dependencies below each call of calls(conv, call_id, after array<string>).
 
-    A dependency on a call that isn't there holds nothing up. Rounds settle the calls
-    whose dependencies are all settled, so a chain of n takes n written rounds; calls of a
-    cycle, or behind one, never settle and have a null level.
+    A dependency on a call that isn't there holds nothing up. Each written round settles the calls whose
+    dependencies are all settled, and shortens the rest by pointer doubling: a dependency on a call that itself waits for one
+    other only becomes a dependency on that one, by as many steps more. So a chain of n takes about log2(n)
+    rounds. A call that comes to wait for itself, or by more steps than its conversation has calls, lies on a cycle: it,
+    and what waits for it, never settles and has a null level.
     """
-    nodes = calls.select("conv", "call_id").distinct()
-    edges = calls.select("conv", "call_id", F.explode("after").alias("on")).distinct()
-    edges = written(edges.join(nodes.select("conv", F.col("call_id").alias("on")), ["conv", "on"]), "depends")
-    held = edges.select("conv", "call_id").distinct()
-    settled = written(nodes.join(held, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    all_settled, waiting, level = settled, edges, 0
+    nodes = written(calls.select("conv", "call_id").distinct(), "calls")
+    size = nodes.groupBy("conv").agg(F.count("*").alias("n"))
+    edges = calls.select("conv", "call_id", F.explode("after").alias("on")).distinct().join(nodes.select("conv", F.col("call_id").alias("on")), ["conv", "on"])
+    edges = written(edges.select("conv", "call_id", "on", F.lit(1).cast("long").alias("steps")).join(size, "conv"), "depends")
+    waiting = edges.select("conv", "call_id").distinct()
+    settled = written(nodes.join(waiting, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    # base: the level that settled dependencies alone would give a waiting call
+    base, found = waiting.withColumn("base", F.lit(0).cast("long")), [settled]
     while True:
-        done = settled.select("conv", F.col("call_id").alias("on"))
-        next_waiting = written(waiting.join(done, ["conv", "on"], "left_anti"), "depends")
-        freed = waiting.join(done, ["conv", "on"], "left_semi").select("conv", "call_id").distinct()
-        level += 1
-        settled = written(freed.join(next_waiting.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        waiting = next_waiting
-        if settled.isEmpty():
+        done = settled.select("conv", F.col("call_id").alias("on"), "level")
+        met = written(edges.join(done, ["conv", "on"], "left"), "met")
+        base = base.unionByName(met.where("level is not null").select("conv", "call_id", (F.col("steps") + F.col("level")).alias("base")))
+        base = written(base.groupBy("conv", "call_id").agg(F.max("base").alias("base")), "bases")
+        left = met.where("level is null").drop("level")
+        open_ = written(left.groupBy("conv", "call_id").agg(F.count("*").alias("k"), F.min("on").alias("to"), F.max("steps").alias("by")), "open")
+        settled = written(base.join(open_, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.col("base").alias("level")), "levels")
+        found.append(settled)
+        base = base.join(open_, ["conv", "call_id"], "left_semi")
+        one = open_.where("k = 1").join(base, ["conv", "call_id"]).select("conv", F.col("call_id").alias("on"), "to", "by", F.col("base").alias("below"))
+        hop = left.join(one, ["conv", "on"], "left")
+        # what the passed-over call's settled dependencies ask for goes to those that waited for it
+        asked = hop.where("to is not null").select("conv", "call_id", (F.col("steps") + F.col("below")).alias("base"))
+        base = base.unionByName(asked).groupBy("conv", "call_id").agg(F.max("base").alias("base"))
+        hop = hop.select("conv", "call_id", F.coalesce("to", "on").alias("on"), (F.col("steps") + F.coalesce("by", F.lit(0))).alias("steps"), "n", F.col("to").isNotNull().alias("hopped"))
+        after = hop.where("on <> call_id and steps <= n").groupBy("conv", "call_id", "on", "n").agg(F.max("steps").alias("steps"), F.max("hopped").alias("hopped"))
+        # a call that has lost a dependency to a cycle waits for ever, as do those that wait for it
+        lost = hop.where("on = call_id or steps > n").select("conv", "call_id").distinct()
+        after = after.join(lost, ["conv", "call_id"], "left_anti")
+        gone = lost.select("conv", F.col("call_id").alias("on"))
+        stuck = after.join(gone, ["conv", "on"], "left_semi").select("conv", "call_id").distinct()
+        after = written(after.join(stuck, ["conv", "call_id"], "left_anti"), "depends")
+        kept = after.select("conv", "call_id").distinct()
+        base = written(base.join(kept, ["conv", "call_id"], "left_semi"), "bases")
+        if after.isEmpty() or (settled.isEmpty() and after.where("hopped").isEmpty()):
             break
-        all_settled = all_settled.unionByName(settled)
-    return nodes.join(all_settled, ["conv", "call_id"], "left")
+        edges = after.drop("hopped")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return nodes.join(whole, ["conv", "call_id"], "left")
 
 
 def out_of_order(calls: DataFrame) -> DataFrame:
@@ -99,9 +126,13 @@ def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame
     answer = results.where("conv is not null and call_id is not null").groupBy("conv", "call_id").agg(F.min(F.struct("at", "content")).alias("r"))
     named = calls.where("conv is not null and call_id is not null")
     astray = written(out_of_order(named), "out-of-order")
-    ordered = named.select("conv", "call_id").limit(0).withColumn("level", F.lit(0)) if astray.isEmpty() else levels(named.join(astray, "conv", "left_semi"))
-    ordered = ordered.withColumn("level", F.coalesce("level", F.lit(2**31 - 1)))
-    joined = numbered.join(answer, ["conv", "call_id"], "left").join(ordered, ["conv", "call_id"], "left")
+    ordered = named.select("conv", "call_id").limit(0).withColumn("level", F.lit(0).cast("long")) if astray.isEmpty() else levels(named.join(astray, "conv", "left_semi"))
+    ordered = ordered.withColumn("level", F.coalesce("level", F.lit(2**31 - 1)).cast("long"))
+    # hash joins build their tables of results, one row an identifier, where these fit a task by a count of their bytes
+    size = results.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 64)).first()[0] or 0
+    small = size <= HASH_BYTES * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = (lambda df: df.hint("shuffle_hash")) if small else (lambda df: df)
+    joined = numbered.join(hashed(answer), ["conv", "call_id"], "left").join(hashed(ordered), ["conv", "call_id"], "left")
     own = F.col("nth") == 1
     status = F.when(~own, "duplicate").when(F.col("r").isNull(), "missing").otherwise("linked")
     order = Window.partitionBy("conv").orderBy(F.coalesce("level", F.lit(0)), "at", "call_id", "nth")

@@ -374,7 +374,7 @@ def read_media(media: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text stored as a stream, read back, with digests and a feature string of the stream."""
+    """Every text stored as a stream, read back, with digests, a feature string of the stream, its exact duration and the offsets of its frames."""
     got = read_media(store_texts(docs), keep_payload=True)
     feature = F.concat_ws(";", F.concat(F.lit("kind="), "kinds"), F.concat(F.lit("frames="), F.col("frames")), F.concat(F.lit("duration="), F.col("duration_num"), F.lit("/"), F.col("duration_den")), F.concat(F.lit("crc="), F.col("crc_checked") - F.col("crc_failed"), F.lit("/"), F.col("crc_checked")), F.concat(F.lit("vbr="), "vbr_kind", F.lit(":"), F.col("vbr_frames")), F.concat(F.lit("seek="), F.lower(F.hex(F.xxhash64("seek_offsets")))), F.concat(F.lit("junk="), F.col("junk_bytes")))
-    return got.select("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return got.select("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration_num", "duration_den", "seek_offsets")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, media, mixing, packing, quality, simhash, tokens, topk, toxicity, urls
-from .common import crc_fold, table
+from .common import crc_fold, table, written
 
 
 def _scored(docs: DataFrame, score, folds: int, kept_out: int, threshold: float) -> DataFrame:
@@ -43,7 +43,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.floored(F.col("embedding")).alias("vec"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("id"), topk.floored(F.col("embedding")).alias("vec"))
+    vectors = written(vectors, "vectors")
     return topk.top_k(vectors.where("id % 20 = 0"), vectors)
 
 
@@ -96,11 +97,11 @@ select conv_id, call_id, cast(row_number() over (partition by conv_id order by t
 from j"""
 
 _OP6 = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
-           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
-      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.vec_id, cast(coalesce(list_dot_product(q.e, c.e), 0) as bigint) as score
+      from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20"""
 
 

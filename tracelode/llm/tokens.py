@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import json
 import os
@@ -127,7 +128,7 @@ class Counter:
         return out
 
 
-_made: dict[tuple[str, int], Counter] = {}
+_made: dict[tuple[str, bytes], Counter] = {}
 
 
 def token_count(spark: SparkSession, text: Column, path: str) -> Column:
@@ -145,7 +146,7 @@ def token_count(spark: SparkSession, text: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def count_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = (name, len(held.value))
+        key = (name, hashlib.sha256(held.value).digest())
         if key not in _made:
             _made[key] = Counter(name, held.value)
         for texts in batches:
