@@ -402,10 +402,31 @@ def test_urls(spark):
 def test_reputation_shrinks(spark):
     rows = [(f"h{k}.good{k % 3}.test", 20, 0) for k in range(30)] + [("x.evil.test", 40, 40), ("y.evil.test", 30, 30), ("new.evil.test", 0, 0), ("one.good1.test", 1, 1)]
     got = {r.host: r for r in urls.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
-    assert got["x.evil.test"].bad_lower > 0.5 > got["one.good1.test"].bad_rate
+    assert got["x.evil.test"].doubt < 0.05 and got["one.good1.test"].bad_rate < 0.5 < got["one.good1.test"].doubt
     assert got["h0.good0.test"].bad_rate < 0.1 < got["new.evil.test"].bad_rate
 
 
+def test_beta_tail_is_exact(spark):
+    cases = [(a, b) for a in (0.02, 0.5, 1.0, 3.7, 80.0, 5000.0) for b in (0.03, 1.0, 2.5, 60.0, 4000.0)]
+    got = [r[0] for r in spark.createDataFrame(cases, "a double, b double").coalesce(1).select(urls.beta_below(0.5, F.col("a"), F.col("b"))).collect()]
+    for (a, b), p in zip(cases, got):
+        x = np.linspace(-60 / a - 5, 60 / b + 5, 4_000_001) if min(a, b) < 20 else np.linspace(np.log(a / b) - 3, np.log(a / b) + 3, 400_001)
+        d = np.exp(a * x - (a + b) * np.logaddexp(0, x) - (a * np.log(a / (a + b)) + b * np.log(b / (a + b))))
+        assert abs(p - d[x <= 0].sum() / d.sum()) < 1e-3, (a, b, p)
+
+
+def test_suffix_tables_and_ties(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk", 1), ("x.y.zz.kk.test", 1), ("u@h.test:80", 1), ("", 1), ("uk", 1)], "host string, n long")
+    table = spark.createDataFrame([("co.uk",), ("zz.kk.test",), ("uk",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.with_domains(hosts, table).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.zz.kk.test": ("y.zz.kk.test", "zz.kk.test"), "u@h.test:80": ("h.test", "test"), "": ("", ""), "uk": ("uk", "uk")}
+    pages = spark.createDataFrame([(1, "http://a.test/x/" + "y" * 200_000, "h", 3, True)], "page_id long, url string, host string, id int, blocked boolean")
+    r = urls.judge(pages, spark.createDataFrame([], "id long, bad boolean"), rules=(("allow", "test", "/x/y"), ("block", "a.test", "/"), ("block", "b.test", "/"))).first()
+    assert (r.rule, r.verdict, len(r.path)) == ("test/x/y", "allow", 200_003)
+    tied = (("allow", "a.test", "/"), ("block", "test", "/x/"))
+    assert urls.judge(pages, spark.createDataFrame([], "id long, bad boolean"), rules=tied).first().verdict == "block"
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 

@@ -112,6 +112,10 @@ def _strength(groups: str, mean: str) -> str:
     return f"(select case when t is null or rho <= 0 then {high} else least(greatest(1 / rho - 1, {low}), {high}) end from ({rho}) y)"
 
 
+#: Simpson's double steps on each side of even odds.
+_SIMPSON = 2000
+
+
 def _op8() -> str:
     ranked = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
     fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in ranked]
@@ -137,8 +141,14 @@ dm as (select {_strength("d", "above")} as m),
 d2 as (select domain, (above * m + bad) / (m + n) as prior from d, dm),
 g as (select host, n, bad, prior from h join d2 on h.domain = d2.domain),
 gm as (select {_strength("g", "prior")} as m),
-e as (select host, (prior * m + bad) / (m + n) as mean, m + n as size from g, gm),
-f as (select host, mean - {urls.Z} * sqrt(mean * (1 - mean) / (size + 1)) > {urls.MAX_BAD} as blocked from e)
+e as (select host, prior * m + bad as a, (1 - prior) * m + n - bad as b from g, gm),
+-- the posterior's tail by Simpson's rule over the log odds, which gives smooth integrands for any a and b
+w as (select *, -40 / a as lo, 40 / b as hi, 0.0 as x, greatest(1e-9, ln(a / b)) as mode_r, least(-1e-9, ln(a / b)) as mode_l from e),
+i as (select host, u.side, case u.side when 0 then lo + least(0, ln(a / b)) else 0.0 end as x0, case u.side when 0 then 0.0 else hi + greatest(0, ln(a / b)) end as x1, a, b from w cross join (values (0), (1)) as u(side)),
+q as (select host, side, x0 + (x1 - x0) * k / {2 * _SIMPSON} as x, case when k in (0, {2 * _SIMPSON}) then 1 when k % 2 = 1 then 4 else 2 end * (x1 - x0) as c, a, b, a * ln(a / (a + b)) + b * ln(b / (a + b)) as top
+      from i cross join (select unnest(range(0, {2 * _SIMPSON} + 1)) as k) n),
+z as (select host, sum(case when side = 0 then c * exp(a * x - (a + b) * ln(1 + exp(x)) - top) else 0 end) as below, sum(c * exp(a * x - (a + b) * ln(1 + exp(least(x, 700))) - top)) as whole from q group by 1),
+f as (select host, below / whole <= {1 - urls.SURE} as blocked from z)
 select page_id, p.host, path, {rule.replace("host", "p.host")} as rule, coalesce({verdict.replace("host", "p.host")}, case when blocked then 'block' else 'allow' end) as verdict
 from p left join f on p.host = f.host"""
 
