@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,18 +37,52 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
+#: Paths of the tables that this thread has written and not released.
+_held = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of the written files.
 
     Cuts the lineage: a lost executor costs a reread of the files, not the work behind
-    them. The files go when the application ends.
+    them. The files go when they are released, else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, system = _file(spark, path)
+    system.deleteOnExit(place)
+    _held.__dict__.setdefault("paths", set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what written wrote, once nothing that is still to run reads it."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, system = _file(spark, path)
+    system.delete(place, True)
+    system.cancelDeleteOnExit(place)
+    _held.__dict__.setdefault("paths", set()).discard(path)
+
+
+def release_unread(df: DataFrame) -> None:
+    """Deletes all tables that this thread has written and that df doesn't read: for steps that each begin with what the one before has stored elsewhere."""
+    read = [f.split("://", 1)[-1].lstrip("/") for f in df.inputFiles()]
+    for path in list(_held.__dict__.get("paths", ())):
+        folder = path.split("://", 1)[-1].lstrip("/") + "/"
+        if not any(f.startswith(folder) for f in read):
+            _delete(df.sparkSession, path)
 
 
 def running(df: DataFrame, order: list[Column], sums: list[str] | tuple = (), name: str = "no") -> DataFrame:
