@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..tables import running, shared_folder, written
+from ..tables import release, release_unread, running, shared_folder, written
 
-__all__ = ["WORD", "crc_fold", "nth_copy", "running", "shared_folder", "table", "word_count", "wrapped", "written"]
+__all__ = ["WORD", "crc_fold", "nth_copy", "release", "release_unread", "running", "shared_folder", "table", "word_count", "wrapped", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

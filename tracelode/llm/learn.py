@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, written
+from .common import crc_fold, release, written
 
 #: Labelled texts of label 0 and 1 that a model is fitted on at most: those with the smallest seeded hashes.
 PER_CLASS = (3000, 3000)
@@ -68,4 +68,6 @@ def fitted(rows: DataFrame, fit: Callable):
         return fit([], [], None)
     if size > MODEL_BYTES:
         raise ValueError(f"a model of {size} bytes is not broadcast")
-    return pickle.loads(made.first().model)
+    model = pickle.loads(made.first().model)
+    release(made)
+    return model

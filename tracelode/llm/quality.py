@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ MIN_TEXTS = 2
 #: N-grams of a model at most, the most frequent ones: the bound on what is broadcast.
 MAX_GRAMS = 400_000
 #: Words whose shape a worker remembers, none longer than LONG_WORD; when full, it starts anew.
-MEMORY, LONG_WORD = 300_000, 40
+MEMORY, LONG_WORD = 150_000, 40
 THRESHOLD = 0.3
 
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-ÞẞŒŠŽ]+"), "A"), (re.compile(r"[^\W\dA_]+"), "a"), (re.compile(r"\d+"), "0"))
@@ -222,11 +222,11 @@ def score(model: Model, text: Column, spark) -> Column:
     """The probability of label 1 as a double, for every whole text; null counts as empty."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, shapes = held.value, Shapes()
         for texts in batches:
-            yield pd.Series([m.score(t or "", shapes) for t in texts], dtype="float64")
+            yield pa.array([m.score(t.as_py() or "", shapes) for t in texts], pa.float64())
 
     return quality(text)
 

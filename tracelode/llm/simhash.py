@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import wrapped, written
+from .common import release, wrapped, written
 
 #: Reference fingerprints whose distances to every fingerprint form its row of the table.
 N_PIVOTS = 16
@@ -58,11 +56,11 @@ def fingerprint_bytes(text: bytes, words: int = 3) -> int:
 def fingerprint(text: Column, words: int = 3) -> Column:
     """The fingerprint as a signed long. A null text has the empty text's fingerprint, zero."""
 
-    @F.pandas_udf("long")
-    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = np.fromiter((fingerprint_bytes((t or "").encode(), words) for t in texts), np.uint64, len(texts))
-            yield pd.Series(found.view(np.int64))
+            found = np.fromiter((fingerprint_bytes((t.as_py() or "").encode(), words) for t in texts), np.uint64, len(texts))
+            yield pa.array(found.view(np.int64))
 
     return simhash(text)
 
@@ -249,24 +247,29 @@ def _only_stars(edges: DataFrame) -> bool:
     return several.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of links(a, b): the smallest node that it reaches.
 
     Alternating stars: every node passes its smallest neighbour to its larger ones, then
     to its smaller ones, until only stars are left; a logarithmic number of written
     rounds. Neighbour lists are never gathered: a minimum per node is aggregated before
-    the shuffle and joined back, and Spark splits a hot node's side of that join.
+    the shuffle and joined back, and Spark splits a hot node's side of that join. With
+    rounds, that many at most: a root is then some node that the node reaches.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while not _only_stars(edges):
+    while rounds != 0 and not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
+        release(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        release(large)
+        rounds = None if rounds is None else rounds - 1
+    own = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return own.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, max_block: int) -> DataFrame:
@@ -481,36 +484,44 @@ def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFra
     every tile of the others meets all tiles, which one root's need not.
     """
     some = classes.where(F.pmod("class", F.lit(SAMPLED)) == 0)
-    counted = written(some.select("class", "members").mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    counted = written(some.select("members").mapInArrow(_hashes, "h int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
     often = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    release(counted)
     h, n = often.column("h").to_numpy().view(np.uint32), often.column("n").to_numpy()
     up = np.argsort(h)
     keys = written(classes.select("class", "members").mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int, at int"), "keys")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keys.join(several, "key").join(classes.select("class", "table"), "class"), "blocks")
+    rows = written(keys.join(several, "key").join(classes.select("class", "table"), "class").withColumn("root", F.col("class")), "blocks")
+    release(keys)
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        x, y = (classes.select(F.col("class").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+        x, y = (sets.select(F.col("class").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
         both = pairs.join(x, "a").join(y.join(pairs.select("b").distinct(), "b", "left_semi"), "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_alike(least), "a long, b long"), "similar")
+        found = written(both.mapInArrow(_alike(least), "a long, b long"), "similar")
+        release(pairs)
+        return found
 
     def met(rows: DataFrame, tiles: list, side, nearest: bool) -> DataFrame:
         """What _within yields over the blocks that a key and its tiles name."""
         blocks = rows.select(F.xxhash64("key", *tiles).alias("block"), side.alias("side"), "class", "size", "at", "root", "table")
         return blocks.repartition("block").sortWithinPartitions("block", "size").mapInArrow(_within(least, nearest), "a long, b long")
 
-    rows, near, deal = shared.withColumn("root", F.col("class")), None, F.ceil(F.col("n") / tile)
+    near, sets, deal = None, classes, F.ceil(F.col("n") / tile)
     for k in range(ROUNDS):
         dealt = F.pmod(F.xxhash64("class", F.lit(k)), deal)
         best = met(rows, [dealt], F.lit(2), True).groupBy("a", "b").agg(F.count("*").alias("n"))
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("nth") <= LINKS)
         best = written(best.select("a", "b"), "nearest")
-        found = compared(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        near = found if near is None else near.unionByName(found)
         alive = best.select(F.col("a").alias("class")).unionByName(rows.where(F.col("n") > tile).select("class")).distinct()
-        rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near).withColumnRenamed("node", "class"), "class", "left")
-        rows = written(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
+        if near is None:  # from here on only these classes' sets are needed
+            sets = written(classes.select("class", "members").join(alive, "class", "left_semi"), "sets")
+        found = compared(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+        near = found if near is None else near.unionByName(found)
+        rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near, 1).withColumnRenamed("node", "class"), "class", "left")
+        after = written(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
+        release(best, rows)
+        rows = after
     per = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("major"))
     per = per.where("m < n").select("key", "major", F.ceil((F.col("n") - F.col("m")) / tile).alias("minors"), F.ceil(F.col("m") / tile).alias("majors"), (F.col("n") > tile).alias("large"))
     mixed = rows.drop("n").join(per, "key")
@@ -523,12 +534,14 @@ def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFra
     whole = F.array(cell(F.lit(0), F.lit(0), F.lit(2)))
     cells = F.explode(F.when(~F.col("large"), whole).when(F.col("root") == F.col("major"), of_major).otherwise(of_minor))
     across = met(mixed.withColumn("cell", cells), ["cell.x", "cell.y"], F.col("cell.side"), False).distinct()
-    return near.unionByName(compared(across))
+    links = near.unionByName(compared(across, sets))
+    release(rows, sets)
+    return links
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for x in batch.column(1):
+        for x in batch.column(0):
             yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), "<i4"))], names=["h"])
 
 
@@ -547,13 +560,19 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 tables = [pivot_row(np.frombuffer(m, "<u4")) for m in members]
                 yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary()), pa.array(tables, pa.binary())], schema=schema)
 
-    @F.pandas_udf(T.LongType())
-    def class_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set((t or "").encode(), words)[0] for t in texts], dtype="int64")
-
-    made = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary").withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    one = written(made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row")), "classes")
-    classes = made.join(one.select("row"), "row", "left_semi").select("class", "members", "table")
-    of = roots(similar_links(classes, least, tile)).withColumnRenamed("node", "class")
-    known = written(made.select("id", "class").join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
-    return _keep(docs, known, class_of, id_col, text_col)
+    @F.arrow_udf("long")
+    def class_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set((t.as_py() or "").encode(), words)[0] for t in texts], pa.int64())
+
+    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary")
+    made = written(made.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    one = made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row"))
+    classes = written(made.join(one.select("row"), "row", "left_semi").select("class", "members", "table"), "classes")
+    known = written(made.select("id", "class"), "members")
+    release(made)
+    links = similar_links(classes, least, tile)
+    release(classes)
+    of = roots(links).withColumnRenamed("node", "class")
+    grouped = written(known.join(of, "class", "left").select("id", F.col("class").alias("mark"), F.coalesce("root", "class").alias("root")), "components")
+    release(known)
+    return _keep(docs, grouped, class_of, id_col, text_col)

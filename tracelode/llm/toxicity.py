@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ LONG_WORD = 4096
 #: Characters of words that are hashed at a time.
 STEP = 200_000
 #: Words whose scores a worker remembers; when full, it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 THRESHOLD = 0.3
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -269,11 +269,12 @@ def score(model: Model, text: Column, spark) -> Column:
     """The probability of label 1 as a double, for every whole text; null counts as empty. The model has a fixed size."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(held.value)
         for texts in batches:
-            yield pd.Series(scorer([t or "" for t in texts]), dtype="float64")
+            scores = [v for at in range(0, len(texts), 256) for v in scorer([t or "" for t in texts.slice(at, 256).to_pylist()])]
+            yield pa.array(scores, pa.float64())
 
     return toxicity(text)
 
