@@ -137,10 +137,11 @@ def delivered(output: str, code: int) -> str:
 # Lines that only a failing command prints: (rule name, heads, pattern). Fixed values.
 FAILURES = (
     ("ls_missing", ("ls",), r"(?m)^ls: cannot access '.*': No such file or directory$"),
-    ("reader_missing", ("cat", "head", "tail", "wc", "nl", "md5sum", "sha1sum", "sha256sum", "sort", "grep"), r"(?m)^\w+: .+: No such file or directory$"),
+    *((f"{n}_missing", (n,), rf"(?m)^{n}: .+: No such file or directory$") for n in ("cat", "head", "tail", "wc", "nl", "md5sum", "sha1sum", "sha256sum", "sort")),
     ("find_missing", ("find",), r"(?m)^find: .+: No such file or directory$"),
     ("git_fatal", ("git",), r"(?m)^fatal: "),
     ("pytest_failed", ("pytest", "py.test"), r"(?m)^=+ .*\b[1-9]\d* (?:failed|errors?)\b.* in [\d.]+s.*=+$"),
+    ("python_syntax", ("python", "python3"), r"(?s)  File \"[^\n]*\", line \d+(?:\n[^\n]*){1,4}\n(?:SyntaxError|IndentationError|TabError): [^\n]*\s*\Z"),
     ("python_uncaught", ("python", "python3"), r"(?s)Traceback \(most recent call last\):\n(?:  .*\n|\s*\^+\s*\n)+[A-Za-z_][\w.]*(?:Error|Exception|Interrupt|Exit)(?:: [^\n]*)?\s*\Z"),
     ("pip_error", ("pip", "pip3"), r"(?m)^ERROR: (?:Could not find a version|No matching distribution)"),
     ("apt_error", ("apt", "apt-get"), r"(?m)^E: "),
@@ -148,6 +149,21 @@ FAILURES = (
 _QUIET = frozenset("cd rm mkdir touch export true chmod cp mv ln sleep".split())
 
 
+# Options after which a test run's exit code says something else: fixed values.
+PYTEST_PARTIAL = frozenset("--lf --last-failed --ff --sw --stepwise".split())
+
+
+def _grep_failure(argv: list[str], body: str) -> str | None:
+    """A missing file, unless its message is silenced, or no line at all; None where flags change what an exit code means."""
+    flags = [w for w in argv[1:] if w.startswith("-")]
+    short = "".join(w[1:] for w in flags if re.fullmatch(r"-[A-Za-z]+", w))
+    if set(short) & set("qL") or any(w.startswith(("-m", "--max-count", "--quiet", "--silent", "--files-without-match")) for w in flags):
+        return None
+    if re.search(r"(?m)^grep: .+: No such file or directory$", body) and "s" not in short:
+        return "grep_missing"
+    return "grep_no_lines" if body.strip() == "" or body == NOTHING else None
+
+
 def implied_failure(commands: list[list[str]] | None, body: str) -> str | None:
     """Why an output can only come from a non-zero exit, or None."""
     if body.strip() == "Command timed out" or body.rstrip("\n").endswith("\nCommand timed out"):
@@ -158,8 +174,18 @@ def implied_failure(commands: list[list[str]] | None, body: str) -> str | None:
     head = posixpath.basename(loud[0][0])
     if re.search(rf"(?m)^(?:/bin/)?(?:ba)?sh: (?:\d+: )?{re.escape(loud[0][0])}: (?:command )?not found$", body):
         return "command_not_found"
-    if head.startswith("python") and loud[0][1:3] == ["-m", "pytest"]:
+    argv = loud[0]
+    if head == "false" and len(argv) == 1:
+        return "false"
+    if head.startswith("python") and argv[1:3] == ["-m", "pytest"]:
         head = "pytest"
+    if head in ("pytest", "py.test"):
+        if any(w in PYTEST_PARTIAL or w.startswith("--cov-fail") for w in argv):
+            return None
+        if re.search(r"(?m)^(?:=+ )?no tests ran in [\d.]+s", body):
+            return "pytest_no_tests"
+    if head == "grep":
+        return _grep_failure(argv, body)
     return next((name for name, heads, p in FAILURES if head in heads and re.search(p, body)), None)
 
 

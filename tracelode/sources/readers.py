@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions import text as X
+from . import formats
 
 #: Held-out names that a reader refuses unless told otherwise.
 FORBIDDEN = ("test", "heldout", "answers")
@@ -34,9 +37,22 @@ def guarded(path: str, allow_held_out: bool = False) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, line) of non-empty lines in file order; a file stays whole for that, files are spread."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("trim(line) <> ''").withColumn("pos", F.col("pos").cast("long"))
+    """(path, pos, line) of non-empty lines, pos being the line's number from 0 in its file.
+
+    Files are read in byte ranges of any number of tasks; lines are numbered inside their range, and a count for each range
+    gives its offset, so no task holds a file.
+    """
+    from ..tables import written
+
+    meta = lambda c: F.col(f"_metadata.{c}")
+    raw = spark.read.text(path).select(meta("file_path").alias("path"), meta("file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    raw = written(raw, "lines")
+    per = raw.groupBy("path", "start").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per.select("path", "start", F.coalesce(before, F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("path", "start").orderBy("id")) - 1
+    numbered = raw.withColumn("inside", inside).join(offsets, ["path", "start"])
+    return numbered.where("trim(line) <> ''").select("path", (F.col("offset") + F.col("inside")).cast("long").alias("pos"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def turns_jsonl(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
@@ -98,8 +114,6 @@ def turns_to_events(turns: DataFrame) -> DataFrame:
     seq follows turn_number, nulls last, then file order. A call without id gets
     `turn:<turn_id>`; a result takes the tool of its id's latest earlier call, else of its first.
     """
-    from pyspark.sql.window import Window
-
     log = Window.partitionBy("key").orderBy(F.asc_nulls_last("turn_number"), "pos")
     kind = F.lit(None).cast("string")
     for (role, kind_type), k in KIND_OF.items():
@@ -155,8 +169,8 @@ def sniff(text: str) -> str:
         return "codex"
     if "role" in first and ("turn_number" in first or "turn_id" in first):
         return "turns"
-    if kind in ("user", "assistant") and isinstance(first.get("message"), str):
-        return "simple_text"
+    if other := formats.told(first, s):
+        return other
     if "sessionId" in first or "parentUuid" in first or kind in CLAUDE_TYPES:
         return "claude_code"
     return "unknown"
@@ -257,6 +271,13 @@ def _atif(doc: dict) -> Iterator[dict]:
             yield base | {"kind": "result", "call_id": o.get("source_call_id"), "text": _flat(o.get("content"))}
 
 
+def _stamp(ts) -> str | None:
+    """A stamp as text; a number is epoch milliseconds."""
+    if isinstance(ts, (int, float)) and not isinstance(ts, bool):
+        return datetime.fromtimestamp(ts / 1000, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    return ts if isinstance(ts, str) else None
+
+
 def parse_transcript(text: str, name: str) -> list[dict]:
     """Events of one raw transcript, in order, in the event columns."""
     form = sniff(text)
@@ -265,12 +286,16 @@ def parse_transcript(text: str, name: str) -> list[dict]:
     elif form in ("claude_code", "codex"):
         records, _ = _salvaged(text)
         found = list((_claude if form == "claude_code" else _codex)(records))
+    elif form in formats.DOCUMENTS:
+        found = list(formats.DOCUMENTS[form](json.loads(text.lstrip("\ufeff \t\r\n"))))
+    elif form in formats.LINES:
+        found = list(formats.LINES[form](_salvaged(text)[0]))
     else:
         return []
     rows = []
     for seq, e in enumerate(found):
         row = dict.fromkeys(schema.EVENT.names) | {k: v for k, v in e.items() if k != "extra"}
-        row |= {"corpus": form, "session_id": e.get("session_id") or name, "seq": seq, "ts_kind": "event" if e.get("ts") else "none", "extra": json.dumps(e["extra"], sort_keys=True) if e.get("extra") else None}
+        row |= {"corpus": form, "session_id": e.get("session_id") or name, "seq": seq, "ts": _stamp(e.get("ts")), "ts_kind": "event" if e.get("ts") else "none", "extra": json.dumps(e["extra"], sort_keys=True) if e.get("extra") else None}
         rows.append(row)
     return rows
 
@@ -294,7 +319,7 @@ def unread(spark: SparkSession, path: str) -> DataFrame:
     """(path, format) of the files that transcripts has no reader for and gives no rows of."""
     told = F.udf(lambda t: sniff(t or ""), "string")
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), told("value").alias("format"))
-    return files.where(~F.col("format").isin("atif", "claude_code", "codex"))
+    return files.where(~F.col("format").isin("atif", "claude_code", "codex", *formats.DOCUMENTS, *formats.LINES))
 
 
 class SQLiteSource(DataSource):
@@ -322,15 +347,58 @@ class _SQLiteReader(DataSourceReader):
         self.parts = int(options.get("numpartitions", "4"))
 
     def partitions(self):
-        return [InputPartition(k) for k in range(self.parts)]
+        """Ranges of rowids, equal in width; a view, which has none, is one range."""
+        import sqlite3
+
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+            try:
+                low, high = con.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
+            except sqlite3.OperationalError:
+                return [InputPartition(None)]
+        if low is None:
+            return [InputPartition(None)]
+        step = max(1, -(-(high - low + 1) // self.parts))
+        return [InputPartition((at, min(high, at + step - 1))) for at in range(low, high + 1, step)]
 
     def read(self, partition):
         import sqlite3
 
         cols = ", ".join(f'"{n}"' for n in self.names)
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            try:
-                rows = con.execute(f'select {cols} from "{self.table}" where rowid % ? = ?', (self.parts, partition.value))
-            except sqlite3.OperationalError:  # a view has no rowid
-                rows = con.execute(f'select {cols} from "{self.table}"') if partition.value == 0 else []
-            yield from rows
+            if partition.value is None:
+                yield from con.execute(f'select {cols} from "{self.table}"')
+            else:
+                yield from con.execute(f'select {cols} from "{self.table}" where rowid between ? and ?', partition.value)
+
+
+# --- sidecars --------------------------------------------------------------------------------
+
+
+def shown_line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(call_id, lines): how many lines of a file each read was given, as raw transcript lines record beside the result; the first record of an id counts.
+
+    Natively: lines are parsed as variants, and what isn't an object with such a record is passed over.
+    """
+    v = lines(spark, path).where(F.col("line").contains('"numLines"')).withColumn("v", F.try_parse_json("line"))
+    n = F.try_variant_get("v", "$.toolUseResult.file.numLines", "variant")
+    blocks = F.from_json(F.to_json(F.try_variant_get("v", "$.message.content", "variant")), "array<struct<type:string,tool_use_id:string>>")
+    own = F.get(F.filter(blocks, lambda b: b["type"] == "tool_result"), F.lit(0))["tool_use_id"]
+    found = v.where(F.schema_of_variant(n) == "BIGINT").select(own.alias("call_id"), F.try_variant_get("v", "$.toolUseResult.file.numLines", "bigint").alias("lines"), "path", "pos")
+    return found.where("call_id is not null").groupBy("call_id").agg(F.min_by("lines", F.struct("path", "pos")).alias("lines"))
+
+
+def session_tallies(sessions: DataFrame, logs: DataFrame) -> DataFrame:
+    """(session_id, api, in, cc, cr, out): what a capture tool tallied, for sessions whose log metadata hold a token_usage object; other counts are null, missing ones 0."""
+    meta = F.try_parse_json("session_metadata_raw")
+    gate = logs.select("session_id", F.coalesce(F.schema_of_variant(F.try_variant_get(meta, "$.token_usage", "variant")).startswith("OBJECT"), F.lit(False)).alias("ok")).groupBy("session_id").agg(F.bool_or("ok").alias("ok"))
+    names = {"api": "api_call_count", "in": "input_tokens", "cc": "cache_creation_tokens", "cr": "cache_read_tokens", "out": "output_tokens"}
+    whole = sessions.join(gate, "session_id", "left")
+    count = lambda c: F.when(F.col("ok"), F.coalesce(F.col(c).cast("string").try_cast("bigint"), F.lit(0)))
+    return whole.select("session_id", *[count(c).alias(n) for n, c in names.items()])
+
+
+def copied_request_ids(events: DataFrame) -> DataFrame:
+    """(request_id, keeper): request ids that more than one session holds, and the smallest of these sessions."""
+    from ..operators.joins import shared_keys
+
+    return shared_keys(events, "request_id", "session_id").select("request_id", F.col("first").alias("keeper"))
