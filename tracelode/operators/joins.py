@@ -13,11 +13,28 @@ def asof_backward(rows: DataFrame, by: list[str], order: list[str], value: Colum
     return F.last(value, ignorenulls=True).over(w)
 
 
+def asof_earlier(rows: DataFrame, by: list[str], time: str, value: Column) -> Column:
+    """The largest value among rows of the group with a strictly earlier time: rows of one instant don't see each other."""
+    return F.max(value).over(Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1))
+
+
 def epoch(event: Column, by: list[str], order: list[str]) -> Column:
     """How many such events precede a row: rows with one number have none between them, so "nothing in between" is an equality."""
     return F.count_if(event).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
 
 
+def repeated_calls(rows: DataFrame, by: list[str], order: str, key: str, output: str, mutation: Column, counts: Column) -> DataFrame:
+    """(by, key, first_seq, second_seq, same): consecutive rows of a key for which counts holds, with no mutation in between, and whether their outputs are equal.
+
+    The number of mutations before a row makes "none in between" an equality with the row before of the key.
+    """
+    numbered = rows.withColumn("epoch_", F.count_if(mutation).over(Window.partitionBy(*by).orderBy(order)))
+    own = numbered.where(counts & F.col(key).isNotNull())
+    before = F.lag(F.struct(F.col(order).alias("seq"), F.col(output).alias("output"), F.col("epoch_").alias("epoch"))).over(Window.partitionBy(*by, key).orderBy(order))
+    met = own.withColumn("before_", before).where(F.col("before_.epoch") == F.col("epoch_"))
+    return met.select(*by, key, F.col("before_.seq").alias("first_seq"), F.col(order).alias("second_seq"), (F.col(output) == F.col("before_.output")).alias("same"))
+
+
 def band_join(left: DataFrame, right: DataFrame, on: list[str], value: str, width: float) -> DataFrame:
     """left ⋈ right on equal keys and |left.value - right.value| <= width; right's other columns get the prefix r_.
 

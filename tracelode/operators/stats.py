@@ -341,3 +341,39 @@ def segments(rows: DataFrame, by: str, order: str, value: str, model: str = "gau
         return pd.DataFrame({by: [pdf[by].iloc[0]], "cuts": [sorted(cuts)]})
 
     return rows.select(by, order, value).groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, cuts array<long>")
+
+
+def modes(rows: DataFrame, by: list[str], value: str, width: float, share: float = 0.05) -> DataFrame:
+    """(by, modes): peaks of each group's histogram in bins of the width, smoothed over three bins: bins above the one before, not below the one behind, with at least share of the highest.
+
+    Bins without rows are there as zeros, from the first to the last.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
+    grid = ends.select(*by, F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("bin"))
+    w = Window.partitionBy(*by).orderBy("bin")
+    z = grid.join(counts, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    smooth = (F.coalesce(F.lag("n").over(w), F.lit(0)) + F.col("n") + F.coalesce(F.lead("n").over(w), F.lit(0))) / 3
+    z = z.withColumn("s", smooth)
+    top = F.max("s").over(Window.partitionBy(*by))
+    peak = (F.col("s") > F.coalesce(F.lag("s").over(w), F.lit(0.0))) & (F.col("s") >= F.coalesce(F.lead("s").over(w), F.lit(0.0))) & (F.col("s") >= share * top)
+    return z.withColumn("p", peak).groupBy(*by).agg(F.count_if("p").alias("modes"))
+
+
+def spikes(rows: DataFrame, by: list[str], value: str, least: int = 10, times: float = 5.0) -> DataFrame:
+    """(by, value, n, usual) of values that are there at least `least` times and `times` as often as the group's values are on average."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    usual = n.groupBy(*by).agg((F.sum("n") / F.count("*")).alias("usual"))
+    return n.join(usual, by).where((F.col("n") >= least) & (F.col("n") >= times * F.col("usual"))).select(*by, value, "n", "usual")
+
+
+def least_rows(effect: float, classes: int, level: float = 3.84, power: float = 0.84) -> int:
+    """Rows that a chi-square test over so many classes needs to see an effect size w: (z of the level + z of the power) squared over w squared, widened by the degrees of freedom."""
+    df = max(1, classes - 1)
+    return math.ceil((math.sqrt(level) + power) ** 2 * math.sqrt(df) / effect**2)
+
+
+def within_correlation(rows: DataFrame, by: list[str], x: str, y: str, least: int = 5) -> DataFrame:
+    """(groups, rho): rank correlations inside each group of at least so many rows, averaged by their rows."""
+    per = spearman(rows, by, x, y).where((F.col("n") >= least) & F.col("rho").isNotNull() & ~F.isnan("rho"))
+    return per.agg(F.count("*").alias("groups"), F.try_divide(F.sum(F.col("rho") * F.col("n")), F.sum("n")).alias("rho"))

@@ -156,3 +156,31 @@ def clopper_pearson(elog):
 @R.query("segments", None)
 def segments(elog):
     return stats.segments(elog, "session_id", "seq", "value").select("session_id", F.size("cuts").alias("cuts"))
+
+
+@R.query("histogram_modes", """
+with c as (select tool, cast(floor(value / 10) as bigint) as b, count(*) as n from {elog} where tool is not null and value is not null group by 1, 2),
+g as (select tool, unnest(range(min(b) - 1, max(b) + 2)) as b from c group by tool),
+z as (select g.tool, g.b, coalesce(n, 0) as n from g left join c on c.tool = g.tool and c.b = g.b),
+s as (select *, (coalesce(lag(n) over w, 0) + n + coalesce(lead(n) over w, 0)) / 3.0 as s from z window w as (partition by tool order by b)),
+p as (select *, coalesce(lag(s) over w, 0) as a, coalesce(lead(s) over w, 0) as d, max(s) over (partition by tool) as top from s window w as (partition by tool order by b))
+select tool, count(case when s > a and s >= d and s >= 0.05 * top then 1 end) as modes from p group by 1""")
+def histogram_modes(elog):
+    return stats.modes(elog.where("tool is not null"), ["tool"], "value", 10.0)
+
+
+@R.query("value_spikes", """
+with e as (select tool, cast(floor(value / 20) as bigint) as k from {elog} where tool is not null and value is not null), n as (select tool, k, count(*) as n from e group by 1, 2), u as (select tool, sum(n) / cast(count(*) as double) as usual from n group by 1)
+select n.tool, k, n, round(usual, 6) as usual from n join u on u.tool = n.tool where n >= 3 and n >= 1.2 * usual""")
+def value_spikes(elog):
+    rows = elog.where("tool is not null").select("tool", F.floor(F.col("value") / 20).alias("k"))
+    return stats.spikes(rows, ["tool"], "k", 3, 1.2).withColumn("usual", F.round("usual", 6))
+
+
+@R.query("within_session_correlation", """
+with r as (select session_id, rank() over (partition by session_id order by value) + (count(*) over (partition by session_id, value) - 1) / 2.0 as a, rank() over (partition by session_id order by k) + (count(*) over (partition by session_id, k) - 1) / 2.0 as b
+           from {elog} where value is not null and k is not null),
+c as (select session_id, corr(a, b) as rho, count(*) as n from r group by 1 having count(*) >= 5)
+select count(rho) as groups, round(sum(rho * n) / sum(case when rho is not null then n end), 6) as rho from c where not isnan(rho)""")
+def within_session_correlation(elog):
+    return stats.within_correlation(elog.where("value is not null and k is not null"), ["session_id"], "value", "k").withColumn("rho", F.round("rho", 6))

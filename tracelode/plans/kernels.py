@@ -69,9 +69,27 @@ def clean_log(wlog: DataFrame) -> DataFrame:
     return t.withColumn("parent_uuid", F.lag("uuid").over(Window.partitionBy("key").orderBy("pos"))).select(*_CLEAN)
 
 
-@R.query("clean_log_is_intact", "select cast(0 as bigint) as violations", ("wlog",))
-def clean_log_is_intact(wlog):
-    return structural.find(clean_log(wlog)).agg(F.count("*").alias("violations"))
+_BROKEN = """
+with f as (select cast(session_id as string) as key, row_number() over (partition by session_id order by seq) as call from {wlog}),
+t as (select key, 2 * max(call) as n from f group by 1)"""
+
+
+@R.query("faults_found", _BROKEN + """
+select 'turn_number_gap' as rule, 2 * count(*) as violations from t where n >= 40 union all select 'turn_id_mismatch', count(*) from t where n >= 40
+union all select 'parent_chain_break', 2 * count(*) from t where n >= 40 union all select 'timestamp_regression', count(*) from t where n >= 40""", ("wlog",))
+def faults_found(wlog):
+    """The clean log with one turn in the middle of each longer session renumbered, cut from its chain and stamped late."""
+    log = clean_log(wlog)
+    long = log.groupBy("key").agg(F.max("pos").alias("n")).where("n >= 40").select("key")
+    at = (F.col("pos") == 20) & F.col("long_")
+    marked = log.join(long.withColumn("long_", F.lit(True)), "key", "left").withColumn("long_", F.coalesce("long_", F.lit(False)))
+    off = marked.withColumns({
+        "turn_number": F.when(at, F.col("turn_number") + 5).otherwise(F.col("turn_number")),
+        "uuid": F.when(at, F.concat("uuid", F.lit("x"))).otherwise(F.col("uuid")),
+        "parent_uuid": F.when(at, F.lit("u-other")).otherwise(F.col("parent_uuid")),
+        "timestamp": F.when(at, (F.col("timestamp").cast("bigint") + 1500).cast("string")).otherwise(F.col("timestamp")),
+    }).drop("long_")
+    return structural.find(off).groupBy("rule").agg(F.count("*").alias("violations"))
 
 
 @R.query("perturb_plan", "select attack, least(100, (select count(distinct session_id) from {wlog})) as targets from (values ('drop_call'), ('digit_flip'), ('reparent')) as t(attack)", ("wlog",))

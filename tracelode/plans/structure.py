@@ -47,7 +47,36 @@ def t0_rules(tlog):
     return structural.find(tlog).groupBy("rule").agg(F.count("*").alias("violations"), F.countDistinct("key").alias("sessions"))
 
 
-@R.query("t0_verdicts", None, ("tlog",))
+_RANKED = "[" + ", ".join(f"'{r}'" for r in structural.RULES) + "]"
+_T0_VERDICTS = _T0[: _T0.index("v as (")].replace("lag(uuid) over", "lag(role) over w as p_role, lag(tool_call_id) over w as p_call, lag(cast(timestamp as bigint), 2) over w as ppt, lead(cast(timestamp as bigint)) over w as nt, lag(uuid) over", 1).replace("from {tlog})", "from {tlog} window w as (partition by key order by pos))") + f"""
+e as (select *, cast(timestamp as bigint) as tm, role in ('tool_use', 'tool_result') as tool, coalesce(p_role in ('tool_use', 'tool_result'), false) as p_tool,
+             case when role in ('tool_use', 'tool_result') and tool_call_id is not null then [tool_call_id] else [] end as own,
+             list_distinct(list_filter([case when role = 'tool_result' then tool_call_id end, case when p_role = 'tool_use' then p_call end], lambda x: x is not null)) as edge from s),
+f as (select *, nt is null or nt >= pt as back, ppt is null or tm >= ppt as forward from e),
+v as (
+  select key, 'duplicate_call_id' as rule, [tool_call_id] as calls from f where tool and tool_call_id is not null and pos = first_pos and (uses > 1 or results > 1)
+  union all select key, 'orphan_result', own from f where role = 'tool_result' and tool_call_id is not null and uses = 0
+  union all select key, 'result_before_call', own from f where role = 'tool_result' and tool_call_id is not null and uses > 0 and uses_before = 0
+  union all select key, 'missing_result', own from f where role = 'tool_use' and tool_call_id is not null and next_result is null and rn < n
+  union all select key, 'result_not_adjacent', own from f where role = 'tool_use' and tool_call_id is not null and next_result <> pos + 1
+  union all select key, 'tool_name_mismatch', own from f where role = 'tool_result' and tool_call_id is not null and pos = first_result and uses > 0 and (u0 <> r0 or u1 <> r1 or (r0 <> r1 and u0 = u1))
+  union all select key, 'session_id_mismatch', own from f where session_id <> s0
+  union all select key, 'turn_id_mismatch', own from f where turn_id <> session_id || ':' || cast(turn_number as string)
+  union all select key, 'parent_chain_break', case when rn = 1 then own else edge end from f where case when rn = 1 then parent_uuid is not null else parent_uuid is distinct from pu end
+  union all select key, 'turn_number_gap', case when rn = 1 then own else edge end from f where case when rn = 1 then turn_number <> 1 else turn_number - pn <> 1 end
+  union all select key, 'timestamp_regression', case when role = 'tool_result' and p_role = 'tool_use' and tool_call_id is not distinct from p_call then own
+      else list_filter([case when tool and (back or not forward) then tool_call_id end, case when p_tool and (forward or not back) then p_call end], lambda x: x is not null) end from f where tm < pt),
+b as (select distinct key, unnest(case when len(calls) > 0 then calls else ['__session__'] end) as call_id, rule, list_position({_RANKED}, rule) as r from v),
+g as (select key, call_id, string_agg(rule, ',' order by r) as rules, arg_min(rule, r) as first from b group by 1, 2),
+c as (select key, tool_call_id as call_id, count(case when role = 'tool_result' then 1 end) as results, max(case when role = 'tool_use' then pos end) as last_use from e where tool and tool_call_id is not null group by 1, 2),
+k as (select key, max(pos) as last from e group by 1), d as (select distinct key from g),
+j as (select coalesce(c.key, g.key) as key, coalesce(c.call_id, g.call_id) as call_id, results, last_use, rules, first from c full join g on c.key = g.key and c.call_id = g.call_id),
+o as (select j.key, call_id, coalesce(rules, '') as rules, case when first is not null then 'violation:' || first when results = 0 and last_use = last then 'missing:result_truncated_at_end'
+             when d.key is not null then 'abstain:session_structure_broken' else 'ok:structure_intact' end as reason from j join k on k.key = j.key left join d on d.key = j.key)
+select key, call_id, case when starts_with(reason, 'violation') then 'contradicted' when starts_with(reason, 'ok') then 'supported' else 'unconstrained' end as verdict, reason, rules from o"""
+
+
+@R.query("t0_verdicts", _T0_VERDICTS, ("tlog",))
 def t0_verdicts(tlog):
     return structural.verdicts(tlog).select("key", "call_id", "verdict", "reason", F.array_join("rules", ",").alias("rules"))
 
@@ -94,20 +123,17 @@ def asof_result(elog):
 
 @R.query("asof_input", "select a.session_id, a.seq, b.ts_us as input_us from (select * from {elog} where kind = 'assistant') a asof left join (select * from {elog} where kind = 'result') b on a.session_id = b.session_id and a.stream = b.stream and a.ts_us > b.ts_us")
 def asof_input(elog):
-    # rows of one instant must not see each other: the last strictly earlier time, by range
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("session_id", "stream").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
-    return elog.withColumn("input_us", F.max(F.when(F.col("kind") == "result", F.col("ts_us"))).over(w)).where("kind = 'assistant'").select("session_id", "seq", "input_us")
-
+    shown = F.when(F.col("kind") == "result", F.col("ts_us"))
+    return elog.withColumn("input_us", joins.asof_earlier(elog, ["session_id", "stream"], "ts_us", shown)).where("kind = 'assistant'").select("session_id", "seq", "input_us")
 
-_EPOCH = "select session_id, seq, call_id, coalesce(sum(case when kind = 'user' then 1 else 0 end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding), 0) as epoch from {elog} where kind in ('call', 'user')"
 
-@R.query("determinism_pairs", f"select session_id, cast(epoch as bigint) as epoch, call_id, count(*) as calls, count(*) - 1 as pairs from ({_EPOCH}) t where call_id is not null group by 1, 2, 3 having count(*) > 1")
+@R.query("determinism_pairs", """
+with e as (select session_id, seq, k % 4 as key, value > 30 as output, kind, sum(case when kind = 'user' then 1 else 0 end) over (partition by session_id order by seq) as epoch from {elog}),
+p as (select session_id, key, seq, output, lag(seq) over w as prev_seq, lag(output) over w as prev_output, lag(epoch) over w as prev_epoch, epoch from e where kind = 'result' and key is not null window w as (partition by session_id, key order by seq))
+select session_id, key, prev_seq as first_seq, seq as second_seq, output = prev_output as same from p where prev_epoch = epoch""")
 def determinism_pairs(elog):
-    own = elog.where("kind in ('call', 'user')")
-    e = own.withColumn("epoch", joins.epoch(F.col("kind") == "user", ["session_id"], ["seq"]))
-    return e.where("call_id is not null").groupBy("session_id", "epoch", "call_id").agg(F.count("*").alias("calls"), (F.count("*") - 1).alias("pairs")).where("calls > 1")
+    rows = elog.select("session_id", "seq", "kind", (F.col("k") % 4).alias("key"), (F.col("value") > 30).alias("output"))
+    return joins.repeated_calls(rows, ["session_id"], "seq", "key", "output", F.col("kind") == "user", F.col("kind") == "result")
 
 
 _SPANS = "select session_id, call_id, ts_us as a, ts_us + cast(floor(value * 60000000) as bigint) as b, event_id from {elog} where kind = 'call'"

@@ -84,10 +84,21 @@ def digest_defects(docs):
     return found.select("doc_id", "h", text.digest_defect(F.col("h")).alias("defect"))
 
 
-@R.query("digest_support", "select doc_id, starts_with(sha256(text), substr(sha256(text), 1, cast(8 + doc_id % 20 as int))) as supported from {docs}", ("docs",))
+@R.query("digest_support", """
+with h as (select doc_id, sha256(text) as sha, lag(sha256(text)) over (order by doc_id) as other from {docs}),
+c as (select *, substr(case when doc_id % 3 = 0 then coalesce(other, sha) else sha end, 1, cast(8 + doc_id % 20 as int)) || case when doc_id % 7 = 0 then 'g' else '' end as claimed from h)
+select doc_id, starts_with(sha, claimed) or starts_with(claimed, sha) as supported from c""", ("docs",))
 def digest_support(docs):
+    from ..tables import running
+
     full = F.sha2("text", 256)
-    return docs.select("doc_id", text.digest_supported(F.substr(full, F.lit(1), (8 + F.col("doc_id") % 20).cast("int")), F.array(full)).alias("supported"))
+    # the document before in the order of ids, by its number
+    numbered = running(docs.select("doc_id", full.alias("full")), [F.col("doc_id")])
+    before = numbered.select((F.col("no") + 1).alias("no"), F.col("full").alias("other"))
+    c = numbered.join(before, "no", "left")
+    own = F.when(F.col("doc_id") % 3 == 0, F.coalesce("other", "full")).otherwise(F.col("full"))
+    claimed = F.concat(F.substr(own, F.lit(1), (8 + F.col("doc_id") % 20).cast("int")), F.when(F.col("doc_id") % 7 == 0, "g").otherwise(""))
+    return c.select("doc_id", text.digest_supported(claimed, F.array("full")).alias("supported"))
 
 
 @R.query("url_paths", "select page_id, array_to_string(list_slice(list_filter(string_split(p, '/'), lambda x: x <> ''), -2, -1), '/') as key from (select page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/$', '') as p from {pages}) t", ("pages",))
@@ -96,9 +107,9 @@ def url_paths(pages):
     return pages.select("page_id", text.path_key(p).alias("key"))
 
 
-@R.query("clip", "select doc_id, length(case when length(text) > 150 then substr(text, 1, 100) || '...[' || cast(length(text) - 150 as string) || ']...' || substr(text, length(text) - 49) else text end) as chars from {docs}", ("docs",))
+@R.query("clip", "select doc_id, md5(case when length(text) > 150 then substr(text, 1, 100) || '...[' || cast(length(text) - 150 as string) || ']...' || substr(text, length(text) - 49) else text end) as clipped from {docs}", ("docs",))
 def clip(docs):
-    return docs.select("doc_id", F.length(text.clip(F.col("text"), 100, 50)).alias("chars"))
+    return docs.select("doc_id", F.md5(text.clip(F.col("text"), 100, 50)).alias("clipped"))
 
 
 @R.query("positional_entropy", "with c as (select unnest(range(1, 9)) as i, cast(doc_id as string) as s from {docs}), n as (select i - 1 as pos, substr(s, i, 1) as ch, count(*) as n from c where i <= length(s) group by 1, 2) select pos, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as bits, count(*) as symbols from n group by 1", ("docs",))
@@ -136,3 +147,40 @@ def large_integers(docs):
 def commands(conversations):
     c = F.concat(F.lit("cd /w && "), F.trim("text"), F.lit(" 2>&1"))
     return conversations.where("text is not null and role = 'user'").select("conv_id", "turn", text.normalize_command(c).alias("command"))
+
+
+@R.query("text_lines", r"""
+with t as (select doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g') as t from {docs})
+select doc_id, case when t = '' then 0 else len(string_split(t, chr(10))) - case when ends_with(t, chr(10)) then 1 else 0 end end as lines,
+       md5(case when ends_with(t, chr(10)) then substr(t, 1, length(t) - 1) else t end) as h from t""", ("docs",))
+def text_lines(docs):
+    lines = text.split_lines(F.col("text"))
+    return docs.select("doc_id", F.size(lines).alias("lines"), F.md5(F.array_join(lines, "\n")).alias("h"))
+
+
+@R.query("git_dates", """
+with d as (select o_orderkey, o_orderdate as t, o_orderkey % 3 as f from {orders})
+select o_orderkey, epoch_us(t) - 7200000000 as us from d""", ("orders",))
+def git_dates(orders):
+    t, f = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    spelled = F.when(f == 0, F.concat(F.lit("Mon "), F.date_format(t, "MMM d HH:mm:ss yyyy"))).when(f == 1, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(F.lit("Tue, "), F.date_format(t, "d MMM yyyy HH:mm:ss")))
+    return orders.select("o_orderkey", F.unix_micros(text.git_date(F.concat(spelled, F.lit(" +0200")))).alias("us"))
+
+
+@R.query("path_depths", """
+with p as (select page_id, case page_id % 4 when 0 then '/w' when 1 then '/w/a/./b.txt' when 2 then '/other/c' else 'd//e/f.py' end as path from {pages})
+select page_id, case page_id % 4 when 0 then 0 when 1 then 2 when 3 then 3 end as depth from p""", ("pages",))
+def path_depths(pages):
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, "/w").when(k == 1, "/w/a/./b.txt").when(k == 2, "/other/c").otherwise("d//e/f.py")
+    return pages.select("page_id", text.path_depth(path, F.lit("/w/")).alias("depth"))
+
+
+@R.query("id_alphabets", """
+with i as (select doc_id, case doc_id % 5 when 0 then cast(doc_id as string) when 1 then md5(cast(doc_id as string)) when 2 then upper(md5(cast(doc_id as string))) when 3 then 'x_' || md5(cast(doc_id as string)) else repeat('ab', 6) end as v from {docs})
+select doc_id, case when regexp_matches(v, '^[0-9]+$') then 'digits' when doc_id % 5 = 1 then 'hex' when doc_id % 5 = 2 then 'HEX' when doc_id % 5 = 3 then 'base64url' else 'hex' end as alphabet,
+       len(list_distinct(string_split(v, ''))) < 3 or doc_id % 5 = 4 or (doc_id % 5 = 0 and length(v) >= 3 and length(v) % 3 = 0 and v = repeat(substr(v, 1, length(v) // 3), 3)) as degenerate from i where doc_id % 5 <> 0 or doc_id < 1000""", ("docs",))
+def id_alphabets(docs):
+    d, h = F.col("doc_id"), F.md5(F.col("doc_id").cast("string"))
+    v = F.when(d % 5 == 0, d.cast("string")).when(d % 5 == 1, h).when(d % 5 == 2, F.upper(h)).when(d % 5 == 3, F.concat(F.lit("x_"), h)).otherwise(F.lit("ab" * 6))
+    return docs.where("doc_id % 5 <> 0 or doc_id < 1000").select("doc_id", text.alphabet(v).alias("alphabet"), text.degenerate(v).alias("degenerate"))
