@@ -150,7 +150,7 @@ def commands(conversations):
 
 
 @R.query("text_lines", r"""
-with t as (select doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g') as t from {docs})
+with t as (select doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e' || chr(133) || chr(8232) || chr(8233) || ']', chr(10), 'g') as t from {docs})
 select doc_id, case when t = '' then 0 else len(string_split(t, chr(10))) - case when ends_with(t, chr(10)) then 1 else 0 end end as lines,
        md5(case when ends_with(t, chr(10)) then substr(t, 1, length(t) - 1) else t end) as h from t""", ("docs",))
 def text_lines(docs):
