@@ -242,22 +242,22 @@ def linked(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataF
 
 
 def _only_stars(edges: DataFrame) -> bool:
-    """Whether every u of edges(u, v) has one v, which is no u itself."""
-    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-    return several.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+    """Whether every u of edges(u, v) has one v, which is no u itself: one count of each node's parts."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")), F.struct(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))).alias("e")).select("e.*")
+    parts = ends.groupBy("x").agg(F.sum("as_u").alias("u"), F.max("as_v").alias("v"))
+    return parts.where("u > 1 or (u = 1 and v = 1)").isEmpty()
 
 
-def roots(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def roots(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): the smallest node that it reaches.
 
     Alternating stars: every node passes its smallest neighbour to its larger ones, then
     to its smaller ones, until only stars are left; a logarithmic number of written
     rounds. Neighbour lists are never gathered: a minimum per node is aggregated before
-    the shuffle and joined back, and Spark splits a hot node's side of that join. With
-    rounds, that many at most: a root is then some node that the node reaches.
+    the shuffle and joined back, and Spark splits a hot node's side of that join.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while rounds != 0 and not _only_stars(edges):
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -267,9 +267,7 @@ def roots(links: DataFrame, rounds: int | None = None) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
         release(large)
-        rounds = None if rounds is None else rounds - 1
-    own = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
-    return own.groupBy("node").agg(F.min("root").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, max_block: int) -> DataFrame:
@@ -328,7 +326,7 @@ SAMPLED, COMMON = 16, 100_000
 #: Rounds in which each set is compared with those next to it only, and how many of these.
 ROUNDS, LINKS = 2, 4
 #: Rows of a tile of a large block.
-TILE = 4096
+TILE = 2048
 
 
 def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
@@ -461,7 +459,10 @@ def _within(least: float, nearest: bool):
                 i = np.flatnonzero(closest < 1 << 30)
                 found = [name[i]], [name[next_to[i]]]
             if found[0] and len(found[0][0]):
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], names=["a", "b"])
+                a, b = (np.concatenate(x) for x in found)
+                if not nearest:  # a pair that several blocks here hold goes on once
+                    a, b = np.unique(np.stack([a, b], 1), axis=0).T
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -518,7 +519,7 @@ def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFra
             sets = written(classes.select("class", "members").join(alive, "class", "left_semi"), "sets")
         found = compared(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
         near = found if near is None else near.unionByName(found)
-        rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near, 1).withColumnRenamed("node", "class"), "class", "left")
+        rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near).withColumnRenamed("node", "class"), "class", "left")
         after = written(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
         release(best, rows)
         rows = after
