@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..operators import bootstrap, clocks, joins, knowledge, ordered, pairing, shares, views
+from ..operators import bootstrap, clocks, joins, knowledge, ordered, pairing, qualify, shares, views
 from .registry import Registry
 
 R = Registry()
@@ -471,6 +471,26 @@ def answers_last(checks):
     return views.answered(v.select("call_key", "verdict"), labels, "call_key", "label")
 
 
+@R.query("no_human_wait", """
+with c as (select session_id, seq, call_id, tool, k, value, event_id, max(seq) over (partition by session_id, cast(floor(seq / 4) as bigint)) = seq as last from {elog} where kind = 'call' and call_id is not null),
+h as (select distinct session_id, call_id from {elog} where kind = 'user' and call_id is not null and event_id % 3 = 0),
+p as (select session_id, seq, case when event_id % 4 = 0 then 'ask' else 'never' end as policy from {elog} where kind = 'assistant'),
+j as (select c.*, h.call_id is not null as hooked, (select arg_max(policy, p.seq) from p where p.session_id = c.session_id and p.seq < c.seq) as policy
+      from c left join h on h.session_id = c.session_id and h.call_id = c.call_id)
+select session_id, seq, case when not coalesce(value - 5 > 0, false) then 'latency' when not coalesce(tool in ('shell', 'read'), false) then 'class' when not last then 'last_of_message'
+       when coalesce(k % 7 = 0, false) then 'refusal' when coalesce(k % 5 = 0, false) then 'status' when hooked then 'hook' when coalesce(policy, 'x') <> 'never' then 'policy' when event_id % 11 = 0 then 'background' end as failed from j""")
+def no_human_wait(elog):
+    e, kind = F.col("event_id"), F.col("kind")
+    calls = elog.where("kind = 'call' and call_id is not null").withColumn("api_msg_id", F.floor(F.col("seq") / 4).cast("string"))
+    pairs = qualify.last_of_message(calls).select(
+        "session_id", "call_id", "seq", (F.col("value") - 5).alias("latency"), F.when(F.col("tool") == "read", "auto_read").otherwise(F.col("tool")).alias("cls"), "tool", "last",
+        F.when(F.col("k") % 7 == 0, "cc_permission_denied").alias("marker"), F.when(F.col("k") % 5 == 0, "declined").alias("status"), (e % 11 == 0).alias("background"),
+    )
+    hooks = elog.where((kind == "user") & F.col("call_id").isNotNull() & (e % 3 == 0))
+    policies = elog.where(kind == "assistant").select("session_id", "seq", F.when(e % 4 == 0, "ask").otherwise("never").alias("policy"))
+    return qualify.qualified(pairs, hooks, policies).select("session_id", "seq", "failed")
+
+
 # --- knowledge -------------------------------------------------------------------------------
 
 _TOKENS = r"""

@@ -16,6 +16,46 @@ def verdicts_jsonl(verdicts: DataFrame, path: str, places: int = 6) -> None:
     verdicts.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def session_summary(verdicts: DataFrame, path: str) -> None:
+    """Beside the verdicts of a file: one JSON object a session with its counts of verdicts and the checks that ran."""
+    v = lambda name: F.count_if(F.col("verdict") == name).alias(name)
+    g = verdicts.groupBy("session_id").agg(
+        F.countDistinct("call_key").alias("calls"), v("contradicted"), v("supported"), v("unconstrained"), F.array_sort(F.collect_set("check")).alias("checks")
+    )
+    g.select(F.to_json(F.struct(*g.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def packed(events: DataFrame, path: str, by: str = "corpus") -> dict:
+    """pack, then a file _META.json with counts and the schema's hash, which stands only when everything before it does: a folder without it isn't whole."""
+    from ..schema import schema_sha
+
+    spark = events.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_META.json")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(place, False)
+    pack(events, path, by)
+    held = spark.read.parquet(path)
+    rows = held.groupBy(by).agg(F.count("*").alias("rows"), F.countDistinct("session_id").alias("sessions")).orderBy(by).collect()
+    meta = {"schema": schema_sha(), "corpora": {r[by]: {"rows": r["rows"], "sessions": r["sessions"]} for r in rows}}
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_META.json.tmp")
+    out = system.create(part, True)
+    out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
+    out.close()
+    system.rename(part, place)
+    return meta
+
+
+def whole_pack(spark, path: str) -> dict:
+    """The meta of a packed folder; an error where it is missing."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/_META.json")
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def pack(events: DataFrame, path: str, by: str = "corpus") -> None:
     """Events as zstd Parquet in one folder per corpus, a session's rows together and in order."""
     events.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("overwrite").partitionBy(by).option("compression", "zstd").parquet(path)
