@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tracelode.llm import mixing, packing, quality, queries, toxicity
@@ -38,10 +37,10 @@ def mix(h, kind):
 
 
 def plain_grams(text):
-    words = text.split()
-    h = lambda x: xxhash.xxh64_intdigest(x.encode())
-    s = [h(quality.shape(w)) for w in words]
-    out = {mix(h(w.lower()), 11) for w in words}
+    words = [w.lower() for w in text.split()]
+    h = lambda x: sum((ord(c) + 1) * pow(0x100000001B3, k % 64 + 1, 2**64) for k, c in enumerate(x)) & M
+    s = [h(quality.shape(w)) for w in text.split()]
+    out = {mix(h(w), 11) for w in words}
     for k in range(len(s)):
         one = mix(s[k], 12)
         out.add(one)

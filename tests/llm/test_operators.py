@@ -276,7 +276,7 @@ def test_quality_and_dual_descent():
     texts, y = made(300, 3, junk)
     model = quality.fit(texts, y.tolist())
     texts, y = made(120, 4, junk)
-    score = np.array([model.score(t, quality.Shapes()) for t in texts])
+    score = np.array([model.score(t) for t in texts])
     assert area(score, y) > 0.99
     x = np.random.default_rng(0).normal(size=(40, 3))
     y = np.where(x[:, 0] + 0.2 * x[:, 1] > 0, 1.0, -1.0)
@@ -312,7 +312,7 @@ def test_samples_are_bounded(spark):
     few = learn.sample(docs, labels, "toxic", 1, 1, (3000, 3000), 128 * 100 // 80).where("y = 1").collect()
     assert sum(len(r.text) for r in few) <= 80
     model = learn.fitted(learn.sample(docs, labels, "quality", 1, 1), quality.fit)
-    assert 0 < model.score("a", quality.Shapes()) < 1
+    assert 0 < model.score("a") < 1
 
 
 def test_long_words_and_shapes_are_whole():
@@ -321,6 +321,15 @@ def test_long_words_and_shapes_are_whole():
     scorer = toxicity.Scorer(toxicity.fit(["a b", "bad worse"] * 5, [0, 1] * 5, visits=100))
     assert len(scorer(["é" * 300_000, "", "b"])) == 3
     assert quality.shape("aA0" * 30) == "aA0" * 30 and quality.shape("Hello!!World") == "Aa!Aa"
+    text = "Ünï Köln² ÀB\u00a0x12 \u2003 -- é!! İst 𝒳y \x1c end\n"
+    w, s = quality.hashes(text)
+    assert len(w) == len(s) == len(text.split())
+    each = [quality.hashes(x) for x in text.split()]
+    assert w.tolist() == [a[0][0] for a in each] and s.tolist() == [a[1][0] for a in each]
+    alike = [quality.hashes(quality.shape(x))[1][0] for x in text.split()]
+    assert s.tolist() == alike and len(set(alike)) == len({quality.shape(x) for x in text.split()})
+    long = "word " * 300_000 + "x" * 600_000 + " end"
+    assert len(quality.hashes(long)[0]) == 300_002 and quality.hashes("")[0].size == 0
 
 
 # --- 6 ---------------------------------------------------------------------------------------

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,49 +18,70 @@ from .learn import PER_CLASS, TEXT_BYTES, fitted, sample
 MIN_TEXTS = 2
 #: N-grams of a model at most, the most frequent ones: the bound on what is broadcast.
 MAX_GRAMS = 400_000
-#: Words whose shape a worker remembers, none longer than LONG_WORD; when full, it starts anew.
-MEMORY, LONG_WORD = 150_000, 40
 THRESHOLD = 0.3
 
-_RUNS = ((re.compile(r"[A-ZÀ-ÖØ-ÞẞŒŠŽ]+"), "A"), (re.compile(r"[^\W\dA_]+"), "a"), (re.compile(r"\d+"), "0"))
-_REPEAT = re.compile(r"(.)\1+", re.S)
+#: Characters that count as capitals in a shape.
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ") | {chr(c) for c in range(0xC0, 0xDF) if c != 0xD7} | set("ẞŒŠŽ")
+#: Characters of a text that are hashed at a time, up to the next white space.
+STEP = 500_000
+_BASE = np.uint64(0x100000001B3)
+_POWERS = np.cumprod(np.full(64, _BASE), dtype=np.uint64)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the sign that stands for it in a shape, and whether it is white space."""
+    chars = [chr(c) for c in range(0x110000)]
+    n = len(chars)
+    other = np.fromiter(map(str.isalnum, chars), bool, n)
+    digit = np.fromiter(map(str.isdecimal, chars), bool, n)
+    sign = np.where(digit, ord("0"), np.where(other, ord("a"), np.arange(n))).astype(np.uint32)
+    sign[[ord(c) for c in _CAPITALS]] = ord("A")
+    return sign, np.fromiter(map(str.isspace, chars), bool, n)
 
 
 def shape(word: str) -> str:
     """A word with its runs of capitals, other letters and digits each as one sign, and repeated signs once."""
-    for pattern, sign in _RUNS:
-        word = pattern.sub(sign, word)
-    return _REPEAT.sub(r"\1", word)
+    signs = ["A" if c in _CAPITALS else "0" if c.isdecimal() else "a" if c.isalnum() else c for c in word]
+    return "".join(c for c, before in zip(signs, ["", *signs]) if c != before)
+
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-class Shapes:
-    """Hashes of words, lower-cased, and of their shapes, remembered for words of up to LONG_WORD characters."""
 
-    def __init__(self):
-        self.place: dict[str, int] = {}
-        self.held = array("Q")  # word and shape hashes by turns
+def _word_hashes(codes: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of codes that aren't white space: a polynomial in its places, all at once."""
+    gap = space[codes]
+    begins = ~gap & np.r_[True, gap[:-1]]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return np.empty(0, np.uint64)
+    at = np.flatnonzero(~gap)
+    owner = np.cumsum(begins)[at] - 1
+    power = _POWERS[(at - first[owner]) % len(_POWERS)]
+    return np.add.reduceat((codes[at].astype(np.uint64) + np.uint64(1)) * power, np.searchsorted(at, first))
 
-    def _learn(self, words: set[str]) -> None:
-        for w in words:
-            self.place[w] = len(self.held) // 2
-            self.held.extend((_hash(w.lower()), _hash(shape(w))))
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, word hashes and shape hashes of the words in order."""
-        if len(self.place) > MEMORY:
-            self.__init__()
-        new = set(words).difference(self.place)
-        self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        both = np.frombuffer(self.held, np.uint64).reshape(-1, 2)[at] if words else np.empty((0, 2), np.uint64)
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.place[w]
-        return at, both[:, 0], both[:, 1]
+def _chunks(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + STEP)
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, lower-cased, and of their shapes, in order."""
+    sign, space = _tables()
+    words, shapes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for part in _chunks(text):
+        words.append(_word_hashes(_codes(part.lower()), space))
+        codes = sign[_codes(part)]
+        shapes.append(_word_hashes(codes[np.r_[True, codes[1:] != codes[:-1]]], space))
+    return np.concatenate(words), np.concatenate(shapes)
 
 
 def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
@@ -74,16 +93,15 @@ def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
 AGAIN, MOSTLY, SIZE = 1, 2, 3
 
 
-def ngrams(text: str, shapes: Shapes) -> np.ndarray:
-    """Indicators of a whole text as ascending 64-bit hashes: its words, their shapes in runs of one to three, and words that repeat at once."""
-    words = text.split()
-    at, w, s = shapes(words)
+def ngrams(text: str) -> np.ndarray:
+    """Indicators of a whole text as ascending 64-bit hashes: its words, their shapes in runs of one to three, and words that repeat at once, whatever their case."""
+    w, s = hashes(text)
     one = _mixed(s, 12)
-    two = _mixed(one[:-1] * np.uint64(0x100000001B3) + s[1:], 13)
-    three = _mixed(two[:-1] * np.uint64(0x100000001B3) + s[2:], 14)
-    again = int((at[1:] == at[:-1]).sum())
-    more = [SIZE + min(4, int(math.log10(len(words) + 1) * 2) // 2)]
-    more += [AGAIN] * bool(again) + [MOSTLY] * (2 * again > len(words))
+    two = _mixed(one[:-1] * _BASE + s[1:], 13)
+    three = _mixed(two[:-1] * _BASE + s[2:], 14)
+    again = int((w[1:] == w[:-1]).sum())
+    more = [SIZE + min(4, int(math.log10(len(w) + 1) * 2) // 2)]
+    more += [AGAIN] * bool(again) + [MOSTLY] * (2 * again > len(w))
     return np.unique(np.concatenate([_mixed(w, 11), one, two, three, np.array(more, np.uint64)]))
 
 
@@ -156,16 +174,16 @@ class Model:
     slope: float
     shift: float
 
-    def margin(self, text: str, shapes: Shapes) -> float:
+    def margin(self, text: str) -> float:
         if not len(self.grams):
             return self.offset
-        own = ngrams(text, shapes)
+        own = ngrams(text)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         at = at[self.grams[at] == own]
         return float(self.weight[at].sum()) / (math.sqrt(float(self.square[at].sum())) or 1.0) + self.offset
 
-    def score(self, text: str, shapes: Shapes) -> float:
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.margin(text, shapes) + self.shift))))
+    def score(self, text: str) -> float:
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.margin(text) + self.shift))))
 
 
 def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: float = 1.0, alpha: float = 1.0) -> Model:
@@ -183,8 +201,7 @@ def fit(texts: list[str], labels: list[int], usual: float | None = None, cost: f
     held = np.arange(len(texts)) % 5 == 4
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
-    shapes = Shapes()
-    sets = [ngrams(t, shapes) for t in texts]
+    sets = [ngrams(t) for t in texts]
     own = np.flatnonzero(~held)
     grams, often = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
     common = np.flatnonzero(often >= MIN_TEXTS)
@@ -224,9 +241,8 @@ def score(model: Model, text: Column, spark) -> Column:
 
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m, shapes = held.value, Shapes()
         for texts in batches:
-            yield pa.array([m.score(t.as_py() or "", shapes) for t in texts], pa.float64())
+            yield pa.array([held.value.score(t.as_py() or "") for t in texts], pa.float64())
 
     return quality(text)
 
