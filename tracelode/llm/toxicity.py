@@ -33,7 +33,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word is lower-cased and loses the signs at its ends. Hashes of all words are taken at once.
     """
-    marked = [f"<{_EDGES.sub('', w.lower())}>" for w in words]
+    marked = [f"<{w if w[:1].isalnum() and w[-1].isalnum() else _EDGES.sub('', w)}>" for w in map(str.lower, words)]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     start, owner = _starts(size), np.repeat(np.arange(len(marked)), size)
