@@ -36,8 +36,91 @@ FIND_WRITERS = frozenset("-delete -exec -execdir -ok -okdir -fprint -fprint0 -fp
 # --- shell -----------------------------------------------------------------------------------
 
 
+_SUM = re.compile(r"\$\(\(([\d\s+\-*/%()]+)\)\)")
+
+
+def arithmetic(text: str) -> int | None:
+    """The value of an integer expression as a shell computes it, in 64 bits with division towards zero; None if it has none."""
+    tokens = re.findall(r"\d+|[-+*/%()]", text)
+    at = 0
+
+    def peek() -> str:
+        return tokens[at] if at < len(tokens) else ""
+
+    def value(level: int) -> int:
+        nonlocal at
+        if level == 2:
+            t = peek()
+            at += 1
+            if t in ("+", "-"):
+                return value(2) * (1 if t == "+" else -1)
+            if t == "(":
+                v = value(0)
+                if peek() != ")":
+                    raise ValueError
+                at += 1
+                return v
+            if not t.isdigit() or len(t) > 1 and t[0] == "0":  # an octal number, or nothing
+                raise ValueError
+            return int(t)
+        left = value(level + 1)
+        while peek() in (("+", "-"), ("*", "/", "%"))[level]:
+            op = tokens[at]
+            at += 1
+            right = value(level + 1)
+            if op in "/%":
+                whole = abs(left) // abs(right) * (1 if (left < 0) == (right < 0) else -1)
+                left = whole if op == "/" else left - right * whole
+            else:
+                left = left + right if op == "+" else left - right if op == "-" else left * right
+        return left
+
+    try:
+        v = value(0)
+    except (ValueError, ZeroDivisionError):
+        return None
+    return v if at == len(tokens) and -(2**63) <= v < 2**63 else None
+
+
+def _summed(command: str) -> str:
+    """A command with its arithmetic of plain numbers done; others stay."""
+
+    def one(m: re.Match) -> str:
+        v = arithmetic(m[1])
+        return m[0] if v is None else str(v)
+
+    return _SUM.sub(one, command)
+
+
+_SPEC = re.compile(r"%(%|-?0?\d*[sd])|\\(.)|([^%\\]+)|(.)", re.S)
+
+
+def formatted(template: str, args: list[str]) -> str | None:
+    """What printf prints for %s, %d and %% with widths, and the escapes of newline, tab and backslash; the template repeats while arguments are left. None for anything else."""
+    out, rest = [], list(args)
+    while True:
+        before = len(rest)
+        for spec, escape, plain, odd in (m.groups() for m in _SPEC.finditer(template)):
+            if odd or escape and escape not in "nt\\":
+                return None
+            if plain:
+                out.append(plain)
+            elif escape:
+                out.append({"n": "\n", "t": "\t", "\\": "\\"}[escape])
+            elif spec == "%":
+                out.append("%")
+            else:
+                given = rest.pop(0) if rest else ("" if spec[-1] == "s" else "0")
+                if spec[-1] == "d" and not re.fullmatch(r"[-+]?(?:0|[1-9]\d*)", given):
+                    return None
+                out.append(f"%{spec}" % (int(given) if spec[-1] == "d" else given))
+        if not rest or len(rest) == before:
+            return "".join(out) if not rest else None
+
+
 def words(command: str) -> list[list[str]] | None:
     """Simple commands of a line joined by && || ; |, or None for anything with substitutions, redirections or open quotes."""
+    command = _summed(command)
     if re.search(r"[`\n]|\$\(|<\(|>\(|<<", command):
         return None
     lex = shlex.shlex(re.sub(r"\s2>(?:&1|\s*/dev/null)", " ", f" {command}"), posix=True, punctuation_chars="();<>|&")
@@ -75,8 +158,9 @@ def pure_output(argv: list[str], cwd: str | None) -> tuple[str, int] | None:
     head, args = argv[0], argv[1:]
     if head == "echo" and not (args and re.fullmatch(r"-[neE]+", args[0])) and not any("\\" in a for a in args):
         return " ".join(args) + "\n", 0
-    if head == "printf" and len(args) == 1 and "%" not in args[0] and not re.search(r"\\[^nt\\]", args[0]):
-        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), args[0]), 0
+    if head == "printf" and args and not args[0].startswith("-"):
+        shown = formatted(args[0], args[1:])
+        return None if shown is None else (shown, 0)
     if head == "pwd" and not args and cwd:
         return cwd + "\n", 0
     if head == "seq" and 1 <= len(args) <= 3 and all(re.fullmatch(r"-?\d+", a) for a in args):
