@@ -91,7 +91,7 @@ def laguerre(votes, seats):
     return won
 
 
-def plain_mix(spark, rows, seed=11):
+def plain_mix(spark, rows, seed=11, group=32, least=256):
     """(id, taken) by walking every block of every source; only the seeded hashes come from Spark."""
     df = spark.createDataFrame([(r.doc_id, r.source, r.text) for r in rows], "id long, source string, text string")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey")
@@ -113,9 +113,11 @@ def plain_mix(spark, rows, seed=11):
     taken = {}
     for s in sources:
         line = sorted((r for r in hashed if r.skey == s), key=lambda r: ((r.h >> 20) % 1024, r.h, r.id))
-        shards = max(1, min(1024, n[s] // 256))
+        shards = max(1, min(1024, n[s] // least))
         ends = [g * n[s] // shards for g in range(shards + 1)]
-        won = laguerre([b - a for a, b in itertools.pairwise(ends)], min(blocks[s], 2 * n[s]))
+        sizes = [b - a for a, b in itertools.pairwise(ends)]
+        teams = [sizes[k : k + group] for k in range(0, shards, group)]
+        won = [w for team, seats in zip(teams, laguerre(list(map(sum, teams)), min(blocks[s], 2 * n[s]))) for w in laguerre(team, min(seats, 2 * sum(team)))]
         times = [0] * n[s]
         for g in range(shards if n[s] else 0):
             m = ends[g + 1] - ends[g]
@@ -137,6 +139,14 @@ def test_mixing_is_brute_force(spark, tables):
     assert got == plain_mix(spark, list(docs.values()))
 
 
+def test_mixing_of_many_shards_is_brute_force(spark, tables, monkeypatch):
+    docs, _ = tables
+    monkeypatch.setattr(mixing, "MIN_BLOCKS", 8)
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    got = {r.doc_id: r.taken for r in queries.op3_mixing(spark, SF).collect()}
+    assert got == plain_mix(spark, list(docs.values()), group=5, least=8)
+
+
 def shingles(text, n=5):
     w = (text or "").encode().lower().split()
     return frozenset(b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()

@@ -12,6 +12,8 @@ from .common import WORD, nth_copy, running, word_count, wrapped, written
 BLOCK_WORDS = 32
 #: Shards of a source; each holds at least MIN_BLOCKS of its blocks.
 SHARDS, MIN_BLOCKS = 1024, 256
+#: Shards that share a quota first, so that a source with many shards is no hot group when these are ranked.
+GROUP = 32
 #: Hash ranges that a source's documents are laid out by.
 BUCKETS = 1024
 #: Weights of the sources in code point order, null last, repeating.
@@ -82,7 +84,7 @@ def plan(sized: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard
     row is a monotonically increasing id of written rows, tie a hash of what tells rows of one id apart. A
     source's rows lie on a line of words in seeded hash order; two-level prefix sums
     place them, so no task holds a source. The line is cut into equal blocks and those
-    into shards. Blocks go to sources, then to a source's shards, by Sainte-Laguë; a shard that
+    into shards. Blocks go to sources, to a source's teams of GROUP shards, then to shards, by Sainte-Laguë; a shard that
     wins all its blocks once or more takes them whole so often, and the rest as a run
     that starts at a seeded block and wraps around. No block is taken more than twice. Copies of a row are
     numbered and so spread over the line; which of them is which number changes nothing.
@@ -104,7 +106,11 @@ def plan(sized: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard
     cut = per.where("n > 0").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     cut = cut.withColumns({"b0": F.expr("g * n div s"), "b1": F.expr("(g + 1) * n div s")})
     cut = cut.select("skey", "words", F.col("n").alias("parts"), "g", "b0", "b1", F.col("won").alias("seats"), (F.col("b1") - F.col("b0")).cast("double").alias("m"))
-    cut = sainte_lague(cut, ["skey"], "g", "m", "seats").withColumn("blocks", F.col("b1") - F.col("b0"))
+    cut = cut.withColumn("team", F.expr(f"g div {GROUP}"))
+    teams = cut.groupBy("skey", "team").agg(F.sum("m").alias("m"), F.max("seats").alias("seats"))
+    teams = sainte_lague(teams, ["skey"], "team", "m", "seats").select("skey", "team", F.least("won", (MOST * F.col("m")).cast("long")).alias("seats"))
+    cut = cut.drop("seats").join(teams, ["skey", "team"])
+    cut = sainte_lague(cut, ["skey", "team"], "g", "m", "seats").withColumn("blocks", F.col("b1") - F.col("b0"))
     cut = cut.withColumn("won", F.least("won", MOST * F.col("blocks"))).withColumns({"times": F.expr("won div blocks"), "run": F.expr("won % blocks"), "at": F.pmod(F.xxhash64("skey", "g", F.lit(seed)), F.col("blocks"))})
     edge = lambda b: _edge(b, F.col("words"), F.col("parts"))
     end = F.col("at") + F.col("run")
