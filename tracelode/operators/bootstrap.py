@@ -28,8 +28,12 @@ def weight(cluster: Column, draw: Column, seed: int = SEED) -> Column:
 
 
 def drawn(per: DataFrame, cluster: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """per's rows once for each draw that takes their cluster, with draw and times."""
-    each = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """per's rows once for each draw that takes their cluster, with draw and times.
+
+    The few rows are dealt to all tasks first, as each becomes as many as there are draws.
+    """
+    tasks = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = per.repartition(tasks, cluster).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     return each.withColumn("times", weight(F.col(cluster), F.col("draw"), seed)).where("times > 0")
 
 
