@@ -24,17 +24,20 @@ def weight(cluster: Column, draw: Column, seed: int = SEED) -> Column:
     """How often a draw takes the cluster."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), cluster.cast("string"), draw.cast("string")))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return sum((F.when(u >= s, 1).otherwise(0) for s in STEPS), F.lit(0))
+    # the digest stands once, as the start of a fold, where a sum of comparisons would take it nine times
+    start = F.struct(u.alias("u"), F.lit(0).alias("n"))
+    fold = F.aggregate(F.array(*map(F.lit, STEPS)), start, lambda acc, s: F.struct(acc["u"].alias("u"), (acc["n"] + (acc["u"] >= s).cast("int")).alias("n")))
+    return fold["n"]
 
 
 def drawn(per: DataFrame, cluster: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """per's rows once for each draw that takes their cluster, with draw and times.
+    """per's rows once for each draw, with draw and times, how often the draw takes their cluster: 0 or more.
 
     The few rows are dealt to all tasks first, as each becomes as many as there are draws.
     """
     tasks = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = per.repartition(tasks, cluster).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    return each.withColumn("times", weight(F.col(cluster), F.col("draw"), seed)).where("times > 0")
+    return each.withColumn("times", weight(F.col(cluster), F.col("draw"), seed))
 
 
 def limits(per_draw: DataFrame, draws: int, value: str = "r") -> DataFrame:
