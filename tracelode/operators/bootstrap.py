@@ -7,8 +7,12 @@ A digest's first 32 bits are compared with the cumulated Poisson probabilities.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +20,8 @@ from pyspark.sql.window import Window
 SEED, DRAWS = 20261003, 1000
 #: Cumulated Poisson(1) probabilities, times 2 ** 32, of 0 to 8.
 STEPS = tuple(math.floor(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * 2**32) for n in range(9))
+#: Sums of draws that a task holds at a time.
+HELD = 2**22
 #: An interval is given where at least this share of the draws has a value.
 VALID = 0.9
 
@@ -112,24 +118,70 @@ def area(rows: DataFrame, cluster: str, score: str, positive: Column, draws: int
     return _with(whole.select(F.col("r").alias("auc")), limits(each, draws))
 
 
-def _rho(rows: DataFrame, times: Column) -> DataFrame:
-    """Weighted rank correlation of (draw, x, y) rows: ranks of equal values are the middle of their places."""
+def weights(cluster: str | None, draws: int, seed: int = SEED) -> np.ndarray:
+    """weight() of one cluster, named as Spark casts it to a string, in the draws from 1 on."""
+    head = ":".join([str(seed), *([] if cluster is None else [cluster]), ""]).encode()
+    held = b"".join(hashlib.md5(head + b"%d" % d, usedforsecurity=False).digest() for d in range(1, draws + 1))
+    return np.searchsorted(np.array(STEPS), np.frombuffer(held, ">u4")[::4].astype(np.int64), side="right")
+
+
+def _cell_sums(draws: int, seed: int):
+    """Reads (cluster, x, y, n) sorted by cluster; yields (x, y, sums), where sums has n times the cluster's weight in every draw, added up over rows of one (x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[float, float], np.ndarray] = {}
+        schema = pa.schema([("x", pa.float64()), ("y", pa.float64()), ("sums", pa.list_(pa.int64()))])
+
+        def out() -> pa.RecordBatch:
+            ends = np.arange(0, (len(held) + 1) * draws, draws, dtype=np.int32)
+            sums = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(held.values()))))
+            return pa.record_batch([pa.array([x for x, _ in held], pa.float64()), pa.array([y for _, y in held], pa.float64()), sums], schema=schema)
+
+        last, times = (), None
+        for b in batches:
+            for cluster, x, y, n in zip(*[c.to_pylist() for c in b.columns]):
+                if cluster != last:
+                    last, times = cluster, weights(cluster, draws, seed)
+                if (x, y) in held:
+                    held[x, y] += n * times
+                else:
+                    held[x, y] = n * times
+                if len(held) * draws >= HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
+def _rho(cells: DataFrame) -> DataFrame:
+    """Weighted rank correlation of cells(draw, x, y, t), one row a cell: ranks of equal values are the middle of their places.
+
+    A draw's cells are shuffled once: the places are running sums over windows of the draw.
+    """
     for c in ("x", "y"):
-        below = Window.partitionBy("draw").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        places = rows.groupBy("draw", c).agg(F.sum(times).alias("m"))
-        places = places.withColumn(f"r{c}", F.coalesce(F.sum("m").over(below), F.lit(0)) + (F.col("m") + 1) / 2.0).drop("m")
-        rows = rows.join(places, ["draw", c])
-    t = times.cast("double")
+        upto = F.sum("t").over(Window.partitionBy("draw").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        # the last place of the value, less half of its other places
+        cells = cells.withColumn(f"r{c}", upto - (F.sum("t").over(Window.partitionBy("draw", c)) - 1) / 2.0)
+    t = F.col("t").cast("double")
     s = lambda e: F.sum(t * e)
-    g = rows.groupBy("draw").agg(F.sum(t).alias("w"), s(F.col("rx")).alias("sx"), s(F.col("ry")).alias("sy"), s(F.col("rx") * F.col("ry")).alias("sxy"), s(F.col("rx") * F.col("rx")).alias("sxx"), s(F.col("ry") * F.col("ry")).alias("syy"))
+    g = cells.groupBy("draw").agg(F.sum(t).alias("w"), s(F.col("rx")).alias("sx"), s(F.col("ry")).alias("sy"), s(F.col("rx") * F.col("ry")).alias("sxy"), s(F.col("rx") * F.col("rx")).alias("sxx"), s(F.col("ry") * F.col("ry")).alias("syy"))
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("w")
     return g.select("draw", _ratio(cov("sx", "sy", "sxy"), F.sqrt(cov("sx", "sx", "sxx") * cov("sy", "sy", "syy"))).alias("r"))
 
 
 def spearman(rows: DataFrame, cluster: str, x: str, y: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(rho, lo, hi, valid_draws): rank correlation of the pooled rows, ranks being taken anew in each draw."""
+    """(rho, lo, hi, valid_draws): rank correlation of the pooled rows, ranks being taken anew in each draw.
+
+    A cluster's weights are taken once, and its rows are added to the sums of their (x, y) over all draws
+    before anything is shuffled, so what is shuffled has a row for each distinct pair of values of a task.
+    """
     own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     per = own.groupBy(cluster, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
-    each = _rho(drawn(per, cluster, draws, seed).withColumn("t", F.col("n") * F.col("times")), F.col("t"))
-    whole = _rho(per.withColumns({"draw": F.lit(0), "t": F.col("n")}), F.col("t"))
-    return _with(whole.select(F.col("r").alias("rho")), limits(each, draws))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = per.select(F.col(cluster).cast("string").alias("cluster"), "x", "y", "n")
+    sums = named.repartition(tasks, "cluster").sortWithinPartitions("cluster").mapInArrow(_cell_sums(draws, seed), "x double, y double, sums array<long>")
+    each = sums.select("x", "y", F.posexplode("sums").alias("at", "t")).groupBy((F.col("at") + 1).alias("draw"), "x", "y").agg(F.sum("t").alias("t"))
+    whole = per.groupBy(F.lit(0).alias("draw"), "x", "y").agg(F.sum("n").alias("t"))
+    return _with(_rho(whole).select(F.col("r").alias("rho")), limits(_rho(each), draws))
