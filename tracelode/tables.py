@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import threading
 import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +78,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release_unread(df: DataFrame) -> None:
-    """Deletes all tables that this thread has written and that df doesn't read: for steps that each begin with what the one before has stored elsewhere."""
-    read = [f.split("://", 1)[-1].lstrip("/") for f in df.inputFiles()]
+    """Deletes all tables that this thread has written and that df doesn't read: for steps that each begin with what the one before has stored elsewhere.
+
+    A folder has many spellings (file:/x, file:///x, /x, //x, x) and input files are given with escapes, so both are
+    compared by their qualified paths.
+    """
+    read = [unquote(urlsplit(f).path) for f in df.inputFiles()]
     for path in list(_held.__dict__.get("paths", ())):
-        folder = path.split("://", 1)[-1].lstrip("/") + "/"
+        place, system = _file(df.sparkSession, path)
+        folder = system.makeQualified(place).toUri().getPath() + "/"
         if not any(f.startswith(folder) for f in read):
             _delete(df.sparkSession, path)
 
