@@ -598,3 +598,29 @@ def test_one_long_text_leaves_the_buckets_alone(spark):
     lengths = [1, 2, 3, 5, 7, 11, 200_001, 10_000_001]
     sized = spark.createDataFrame([(k, k, x, 0) for k, x in enumerate(lengths)], "row long, id long, length long, tie long")
     assert {r.length: r.padded for r in packing.pack(sized).collect()} == {x: x for x in lengths}
+
+
+def test_near_duplicates_meet_by_fingerprint_first(spark, monkeypatch):
+    """Fingerprints that the pivot table leaves within the radius give the first pairs; these are checked on their sets, and the rest is still found."""
+    rng, rows = random.Random(8), []
+    for k in range(0, 30, 2):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join(w + ["end"] if k % 4 else w[:330]))]
+    prints = [simhash.set_fingerprint(simhash.distinct_hashes(t.encode())) for _, t in rows]
+    sets = [simhash.shingle_set(t.encode())[0] for _, t in rows]
+    apart = [(a ^ b) & (2**64 - 1) for a, b in itertools.combinations(prints, 2)]
+    want = {(min(a, b), max(a, b)) for (a, b), x in zip(itertools.combinations(sets, 2), apart) if x.bit_count() <= simhash.RADIUS}
+    classes = spark.createDataFrame(list(zip(sets, prints)), "class long, fp long")
+    got = {(r.a, r.b) for r in simhash.fingerprint_pairs(classes).collect()}
+    assert got == want and 0 < len(want) < 15
+    seen, whole = [], simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda c, *a: seen.append(whole(c, *a)) or seen[-1])
+    kept = {r.doc_id for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(seen) == 1 and kept == set(range(0, 30, 2))
+
+
+def test_set_fingerprint_is_that_of_a_text_without_repeats():
+    text = " ".join(f"w{k}" for k in range(90)).encode()
+    assert simhash.set_fingerprint(simhash.distinct_hashes(text)) % 2**64 == simhash.fingerprint_bytes(text, 5)
+    assert simhash.set_fingerprint(simhash.distinct_hashes(text + b" " + text + b" " + text)) == simhash.set_fingerprint(simhash.distinct_hashes(text + b" " + text))
+    assert simhash.set_fingerprint(simhash.distinct_hashes(b" ")) == 0

@@ -325,20 +325,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 SAMPLED, COMMON = 16, 100_000
 #: Rounds in which each set is compared with those next to it only, and how many of these.
 ROUNDS, LINKS = 2, 4
+#: Differing bits at which the fingerprints of two sets make them candidates.
+RADIUS = 2
 #: Rows of a tile of a large block.
 TILE = 2048
 
 
-def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
-    """(class, set): all distinct 32-bit shingle hashes in ascending order, and a digest of them as a signed long."""
-    found = np.empty(0, np.uint32)
+def distinct_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """All distinct 64-bit shingle hashes in ascending order."""
+    found = np.empty(0, np.uint64)
     for h in shingle_hashes(text, words):
-        found = np.unique(np.r_[found, (h >> np.uint64(32)).astype(np.uint32)])
-    held = found.astype("<u4").tobytes()
+        found = np.unique(np.r_[found, h])
+    return found
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed SimHash of a set's distinct hashes, which repeats in a text don't move; 0 without any."""
+    fp = _vote(sum((_ones(hashes[at : at + _STEP]) for at in range(0, len(hashes), _STEP)), np.zeros(64, np.int64)), len(hashes))
+    return fp - (1 << 64) * (fp >> 63)
+
+
+def _named(hashes: np.ndarray) -> tuple[int, bytes]:
+    held = np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
     name = xxhash.xxh64_intdigest(held, 1)
     return name - (1 << 64) * (name >> 63), held
 
 
+def shingle_set(text: bytes, words: int = 5) -> tuple[int, bytes]:
+    """(class, set): all distinct 32-bit shingle hashes in ascending order, and a digest of them as a signed long."""
+    return _named(distinct_hashes(text, words))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Exact Jaccard similarity of two ascending sets; 1 for two empty ones."""
     both = np.concatenate([a, b])
@@ -467,14 +484,25 @@ def _within(least: float, nearest: bool):
     return run
 
 
+def fingerprint_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) between the classes of classes(class, fp): each with the first of its fingerprint, and the firsts of fingerprints that `linked` joins through their pivot table."""
+    first = written(classes.groupBy("fp").agg(F.min("class").alias("first"), F.count("*").alias("n")), "prints")
+    same = classes.join(first.where("n > 1"), "fp").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_class"))
+    near = linked(first.select("fp"), radius).join(of("a"), "a").join(of("b"), "b").select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+    return same.unionByName(near).where("a <> b").distinct()
+
+
 def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
-    """(a, b) between the classes of classes(class, members, table), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
+    """(a, b) between the classes of classes(class, members, table, fp), one row a class: pairs whose closure is that of all pairs of a similarity of at least `least`.
 
-    Two sets of that similarity share at least ceil(least * size) hashes of either. So, in
+    Classes whose SimHash fingerprints meet within RADIUS bits, by the pivot table of fingerprints, are compared first, and those
+    that are similar are connected. A fingerprint's distance bounds no set similarity, so a prefix filter finds all others:
+    two sets of that similarity share at least ceil(least * size) hashes of either. So, in
     any one order of all hashes, they share one among the first size - ceil(least * size) + 1
     of each: these are a set's keys, and every pair meets under one. The order puts hashes
     that are common in a sample last, which keeps blocks small and decides nothing else.
-    First each class is compared with those that lie next to it by pivot distance in most of its
+    Then each class is compared with those that lie next to it by pivot distance in most of its
     blocks, in ROUNDS rounds, each time among those that aren't connected to it yet, which connects most of
     what is alike; a class that meets no other within reach leaves. In the end all pairs of a block that aren't
     connected yet and that their sizes, places in the order and pivot tables allow are compared,
@@ -492,9 +520,6 @@ def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFra
     up = np.argsort(h)
     keys = written(classes.select("class", "members").mapInArrow(_prefixes(h[up], n[up], least), "key int, class long, size int, at int"), "keys")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(keys.join(several, "key").join(classes.select("class", "table"), "class").withColumn("root", F.col("class")), "blocks")
-    release(keys)
-
     def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         x, y = (sets.select(F.col("class").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
@@ -508,17 +533,25 @@ def similar_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFra
         blocks = rows.select(F.xxhash64("key", *tiles).alias("block"), side.alias("side"), "class", "size", "at", "root", "table")
         return blocks.repartition("block").sortWithinPartitions("block", "size").mapInArrow(_within(least, nearest), "a long, b long")
 
-    near, sets, deal = None, classes, F.ceil(F.col("n") / tile)
+    met_by_print = written(fingerprint_pairs(classes.select("class", "fp")), "candidates")
+    of_those = met_by_print.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = written(classes.select("class", "members").join(of_those, "class", "left_semi"), "sets")
+    near = compared(met_by_print, sets)
+    release(met_by_print, sets)
+    blocks = keys.join(several, "key").join(classes.select("class", "table"), "class").join(roots(near).withColumnRenamed("node", "class"), "class", "left")
+    rows = written(blocks.withColumn("root", F.coalesce("root", "class")), "blocks")
+    release(keys)
+    sets, deal = classes, F.ceil(F.col("n") / tile)
     for k in range(ROUNDS):
         dealt = F.pmod(F.xxhash64("class", F.lit(k)), deal)
         best = met(rows, [dealt], F.lit(2), True).groupBy("a", "b").agg(F.count("*").alias("n"))
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("nth") <= LINKS)
         best = written(best.select("a", "b"), "nearest")
         alive = best.select(F.col("a").alias("class")).unionByName(rows.where(F.col("n") > tile).select("class")).distinct()
-        if near is None:  # from here on only these classes' sets are needed
+        if k == 0:  # from here on only these classes' sets are needed
             sets = written(classes.select("class", "members").join(alive, "class", "left_semi"), "sets")
         found = compared(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(found)
         rooted = rows.drop("root").join(alive, "class", "left_semi").join(roots(near).withColumnRenamed("node", "class"), "class", "left")
         after = written(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
         release(best, rows)
@@ -549,26 +582,32 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
     """docs with one row of each group of texts whose shingle sets reach each other at a similarity of at least `least`; see _keep.
 
-    Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at.
+    Null, empty and white-space texts are one group. Equal texts collapse before any pair is looked at; see similar_links
+    for the SimHash fingerprints, their pivot table and the exact search behind them.
     """
-    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("members", pa.binary()), ("table", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("members", pa.binary()), ("table", pa.binary()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 ids, some = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
-                name, members = zip(*[shingle_set(t.as_py() or b"", words) for t in some])
+                name, members, prints = [], [], []
+                for t in some:
+                    hashes = distinct_hashes(t.as_py() or b"", words)
+                    prints.append(set_fingerprint(hashes))
+                    for held, x in zip((name, members), _named(hashes)):
+                        held.append(x)
                 tables = [pivot_row(np.frombuffer(m, "<u4")) for m in members]
-                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary()), pa.array(tables, pa.binary())], schema=schema)
+                yield pa.record_batch([ids, pa.array(name, pa.int64()), pa.array(members, pa.binary()), pa.array(tables, pa.binary()), pa.array(prints, pa.int64())], schema=schema)
 
     @F.arrow_udf("long")
     def class_of(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set((t.as_py() or "").encode(), words)[0] for t in texts], pa.int64())
 
-    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary")
+    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, class long, members binary, table binary, fp long")
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     one = made.where(F.length("members") > 0).groupBy("class").agg(F.min("row").alias("row"))
-    classes = written(made.join(one.select("row"), "row", "left_semi").select("class", "members", "table"), "classes")
+    classes = written(made.join(one.select("row"), "row", "left_semi").select("class", "members", "table", "fp"), "classes")
     known = written(made.select("id", "class"), "members")
     release(made)
     links = similar_links(classes, least, tile)
